@@ -31,7 +31,7 @@ def parse_yyyymmdd(c: Column, rollover: bool = False) -> Column:
     """
     digits = c.rlike("^[0-9]{8}$")
     if not rollover:
-        return F.when(digits, F.try_to_timestamp(c, F.lit("yyyyMMdd")).cast("timestamp_ntz"))
+        return F.when(digits, F.try_to_date(c, "yyyyMMdd")).cast("timestamp_ntz")
     year, month, day = (F.substring(c, a, n).cast("int") for a, n in ((1, 4), (5, 2), (7, 2)))
     first = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month - 1)
     return F.when(digits, F.date_add(first, day - 1).cast("timestamp_ntz"))

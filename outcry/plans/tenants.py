@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from outcry.functions.codes import first_match
 from outcry.plans.views import complaints, table
 
-K = F.get_json_object(F.col("props"), "$.k").cast("int")
+def k_value():
+    return F.get_json_object(F.col("props"), "$.k").cast("int")
+
+
 K_SQL = "CAST(json_extract_string(props, '$.k') AS INT)"
 
 
@@ -95,7 +98,7 @@ def audit(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("k")
     resource = (F.when(k < 20, "complaints").when(k < 50, "patterns").when(k < 70, "generated_complaints")
                 .when(k < 85, "users").otherwise("organizations"))
-    log = table(spark, sf, "events").withColumn("k", K).select(
+    log = table(spark, sf, "events").withColumn("k", k_value()).select(
         F.col("event_id").alias("id"), "user_id", action.alias("action"), access.alias("access"),
         resource.alias("resource"), F.when(k > 30, k.cast("string")).alias("resource_id"), F.col("ts").alias("created_at"))
     who = users(spark, sf).select("user_id", "organization_id", "role")
