@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["series_queries", "list_queries", "clean_queries", "vector_queries", "table_queries"]
+MODULES = ["series_queries", "list_queries", "clean_queries", "vector_queries", "table_queries", "stream_queries"]
 
 
 def load():
