@@ -391,7 +391,8 @@ def distinct_makes_raw(spark, sf):
 
 NEW_COLS = ["source_id"] + ORDER
 FIRST = f"row_number() OVER (PARTITION BY source_id ORDER BY {', '.join(ORDER)})"
-KNOWN_SQL = f"known AS (SELECT DISTINCT source_id FROM clean WHERE date_added <= TIMESTAMP '2001-06-30')"
+# The target table as an earlier sync left it: the first row of each key.
+KNOWN_SQL = f"known AS (SELECT * FROM (SELECT *, {FIRST} AS k FROM clean WHERE date_added <= TIMESTAMP '2001-06-30') WHERE k = 1)"
 
 
 def new_sql(where: str) -> str:
@@ -412,13 +413,13 @@ def insert_new(spark, sf):
 
 
 @query("sync_incremental", f"WITH {CLEAN_SQL}, {KNOWN_SQL} " + new_sql(
-    "strftime(date_added, '%Y%m%d') > (SELECT strftime(max(date_added), '%Y%m%d') FROM clean WHERE date_added <= TIMESTAMP '2001-06-30')"))
+    "strftime(date_added, '%Y%m%d') > (SELECT strftime(max(date_added), '%Y%m%d') FROM known)"))
 def sync_incremental(spark, sf):
     return sync.sync_incremental(landed(spark, sf), known_rows(spark, sf), AS_OF, arrival())[0].select(*NEW_COLS)
 
 
 @query("sync_status", f"""WITH {CLEAN_SQL}, {KNOWN_SQL},
-mark AS (SELECT max(date_added) AS m FROM clean WHERE date_added <= TIMESTAMP '2001-06-30'),
+mark AS (SELECT max(date_added) AS m FROM known),
 fetched AS (SELECT * FROM raw_bulk WHERE datea > (SELECT strftime(m, '%Y%m%d') FROM mark)),
 news AS ({new_sql("strftime(date_added, '%Y%m%d') > (SELECT strftime(m, '%Y%m%d') FROM mark)")})
 SELECT (SELECT m FROM mark) AS last_sync_date, (SELECT count(*) FROM fetched) AS total_complaints,
