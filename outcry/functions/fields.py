@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 BLANK = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+# The same class for the JVM: the leading negation settles nearly every character with one comparison.
+_ANY = f"[[^!-~]&&{BLANK}]"
+_NOT_SPACE = f"[[^ -~]&&{BLANK}]"
+# Matches only where something changes: a run of blanks, or one blank that is not a plain space.
+BLANKS_TO_FOLD = f" {_ANY}+|{_NOT_SPACE}{_ANY}*"
+BLANKS_AT_ENDS = f"^{_ANY}+|{_ANY}+$"
+
+
 def ntz(value) -> Column:
     """A timestamp without zone from a date, datetime or ISO text; keeps comparisons free of the session zone."""
     if isinstance(value, Column):
@@ -21,7 +29,10 @@ def ntz(value) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), BLANK + "+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), BLANKS_TO_FOLD, " "))
+
+
+CALENDAR_DAY = "^[0-9]{4}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])$"
 
 
 def parse_yyyymmdd(c: Column, rollover: bool = False) -> Column:
@@ -29,12 +40,13 @@ def parse_yyyymmdd(c: Column, rollover: bool = False) -> Column:
 
     ``rollover=True`` carries an impossible month or day forward (month 13 is January of the next year).
     """
-    digits = c.rlike("^[0-9]{8}$")
     if not rollover:
-        return F.when(digits, F.try_to_date(c, "yyyyMMdd")).cast("timestamp_ntz")
-    year, month, day = (F.substring(c, a, n).cast("int") for a, n in ((1, 4), (5, 2), (7, 2)))
+        # The pattern rejects nearly every bad value; a failing parse raises inside and is dear.
+        return F.when(c.rlike(CALENDAR_DAY), F.try_to_date(c, "yyyyMMdd")).cast("timestamp_ntz")
+    digits = c.rlike("^[0-9]{8}$")
+    year, month, day = (F.when(digits, F.substring(c, a, n).cast("int")) for a, n in ((1, 4), (5, 2), (7, 2)))
     first = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month - 1)
-    return F.when(digits, F.date_add(first, day - 1).cast("timestamp_ntz"))
+    return F.date_add(first, day - 1).cast("timestamp_ntz")
 
 
 def parse_yn(c: Column) -> Column:
@@ -43,7 +55,16 @@ def parse_yn(c: Column) -> Column:
 
 def parse_int0(c: Column) -> Column:
     """Leading integer of a text, 0 when there is none."""
-    return F.coalesce(F.regexp_extract(c.cast("string"), r"^\s*([+-]?[0-9]+)", 1).try_cast("int"), F.lit(0))
+    text = c.cast("string")
+    leading = F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1)
+    # The tolerant cast is dear where it fails, so it only sees what begins with a number.
+    return (F.when(text.rlike("^[0-9]{1,9}$"), text.cast("int"))
+            .when(text.rlike(r"^\s*[+-]?[0-9]"), F.coalesce(leading.try_cast("int"), F.lit(0))).otherwise(F.lit(0)))
+
+
+def positive(c: Column) -> Column:
+    """Whether a text is a whole number above zero."""
+    return F.coalesce(c.rlike(r"^\+?[0-9]*[1-9][0-9]*$"), F.lit(False))
 
 
 def primary_component(c: Column) -> Column:

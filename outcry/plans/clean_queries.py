@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from outcry.functions import codes, fields, text
 from outcry.functions.fields import BLANK
 from outcry.operators import clean, quality
-from outcry.plans.feeds_raw import RAW_API_SQL, RAW_BULK_SQL, land, raw_bulk
+from outcry.plans.feeds_raw import RAW_API_SQL, RAW_BULK_SQL, land
 from outcry.plans.registry import query
 from outcry.plans.tenants import AUDIT_SQL, DOCUMENTS_SQL, K_SQL, audit, documents, k_value
 from outcry.plans.views import AS_OF, COMPLAINTS_SQL, complaints, table
@@ -50,18 +50,22 @@ FROM raw_bulk WHERE {date_sql('datea')} IS NULL"""
 ORDER = ["date_added", "make", "model", "model_year", "component", "description", "crash", "fire", "injuries", "deaths"]
 
 
+def landed(spark, sf):
+    return readers.read_bulk_complaints(spark, land(spark, sf, "json"))
+
+
 def arrival():
     return [F.asc(c) for c in ORDER]
 
 
 @query("clean_bulk", f"WITH {CLEAN_SQL} SELECT * FROM clean")
 def clean_bulk(spark, sf):
-    return clean.clean_bulk_table(raw_bulk(spark, sf))[0]
+    return clean.clean_bulk_table(landed(spark, sf))[0]
 
 
 @query("clean_bulk_quarantine", f"WITH {RAW_BULK_SQL} {QUARANTINE_SQL}")
 def clean_bulk_quarantine(spark, sf):
-    return clean.clean_bulk_table(raw_bulk(spark, sf))[1]
+    return clean.clean_bulk_table(landed(spark, sf))[1]
 
 
 ROLL_SQL = """CASE WHEN regexp_matches(datea, '^[0-9]{8}$') THEN
@@ -72,7 +76,7 @@ ROLL_SQL = """CASE WHEN regexp_matches(datea, '^[0-9]{8}$') THEN
 @query("clean_bulk_rollover", f"""WITH {RAW_BULK_SQL} SELECT date_added, count(*) AS complaints
 FROM (SELECT {ROLL_SQL} AS date_added FROM raw_bulk) WHERE date_added IS NOT NULL GROUP BY 1""")
 def clean_bulk_rollover(spark, sf):
-    rows = clean.clean_bulk_table(raw_bulk(spark, sf), rollover=True)[0]
+    rows = clean.clean_bulk_table(landed(spark, sf), rollover=True)[0]
     return rows.groupBy("date_added").agg(F.count("*").alias("complaints"))
 
 
@@ -106,7 +110,7 @@ def clean_api_quarantine(spark, sf):
 @query("validate_complaint", f"""WITH {CLEAN_SQL} SELECT source_id, 'Invalid year: ' || model_year AS errors FROM clean
 WHERE model_year < 1900 OR model_year > 2100""")
 def validate_complaint(spark, sf):
-    checked = quality.validate_complaint(clean.clean_bulk_table(raw_bulk(spark, sf))[0])
+    checked = quality.validate_complaint(clean.clean_bulk_table(landed(spark, sf))[0])
     return checked.where(F.size("errors") > 0).select("source_id", F.concat_ws(";", "errors").alias("errors"))
 
 
@@ -114,7 +118,7 @@ def validate_complaint(spark, sf):
 SELECT 'year' AS rule, (SELECT count(*) FROM bad) AS violations, string_agg(source_id, ',' ORDER BY source_id) AS sample_keys
 FROM (SELECT DISTINCT source_id FROM bad ORDER BY 1 LIMIT 5)""")
 def quality_report(spark, sf):
-    report = quality.quality_report(clean.clean_bulk_table(raw_bulk(spark, sf))[0])
+    report = quality.quality_report(clean.clean_bulk_table(landed(spark, sf))[0])
     return report.withColumn("sample_keys", F.concat_ws(",", "sample_keys"))
 
 
@@ -314,10 +318,6 @@ def conform_codes(spark, sf):
 R = f"WITH {RAW_BULK_SQL} "
 
 
-def landed(spark, sf):
-    return readers.read_bulk_complaints(spark, land(spark, sf, "json"))
-
-
 @query("read_bulk_complaints", R + """SELECT cmplid, maketxt, datea FROM raw_bulk WHERE maketxt = 'brand#9 ' AND datea >= '2000'
 ORDER BY datea DESC, cmplid LIMIT 500""")
 def read_bulk_complaints(spark, sf):
@@ -401,14 +401,14 @@ WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM known WHERE known.source_id = x.source
 
 
 def known_rows(spark, sf):
-    rows = clean.clean_bulk_table(raw_bulk(spark, sf))[0]
+    rows = clean.clean_bulk_table(landed(spark, sf))[0]
     old = rows.where(F.col("date_added") <= fields.ntz("2001-06-30"))
     return sync.first_per_key(old, "source_id", arrival())
 
 
 @query("insert_new", f"WITH {CLEAN_SQL}, {KNOWN_SQL} {new_sql('TRUE')}")
 def insert_new(spark, sf):
-    rows = clean.clean_bulk_table(raw_bulk(spark, sf))[0]
+    rows = clean.clean_bulk_table(landed(spark, sf))[0]
     return sync.insert_new(rows, known_rows(spark, sf), order=arrival()).select(*NEW_COLS)
 
 
@@ -448,7 +448,7 @@ def sync_high_severity(spark, sf):
 olds AS (SELECT {', '.join(NEW_COLS)} FROM (SELECT *, {FIRST} AS k FROM clean WHERE date_added <= TIMESTAMP '2001-06-30') WHERE k = 1)
 SELECT make, model, count(*) AS complaints, min(date_added) AS first_date FROM (SELECT * FROM olds UNION ALL SELECT * FROM news) GROUP BY 1, 2""")
 def seed_upsert(spark, sf):
-    rows = clean.clean_bulk_table(raw_bulk(spark, sf))[0]
+    rows = clean.clean_bulk_table(landed(spark, sf))[0]
     merged = sync.seed_upsert(rows, known_rows(spark, sf), order=arrival())
     return merged.groupBy("make", "model").agg(F.count("*").alias("complaints"), F.min("date_added").alias("first_date"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from outcry.functions.fields import positive
 from outcry.schemas import RAW_API, RAW_BULK
 
 CORRUPT = "corrupt_record"
@@ -70,8 +71,7 @@ def complaints_by_component(raw: DataFrame, component: str, limit: int | None =
 
 
 def high_severity_raw(raw: DataFrame, limit: int | None = 500) -> DataFrame:
-    bad = ((F.col("crash") == "Y") | (F.col("fire") == "Y") | (F.col("injured").try_cast("int") > 0)
-           | (F.col("deaths").try_cast("int") > 0))
+    bad = (F.col("crash") == "Y") | (F.col("fire") == "Y") | positive(F.col("injured")) | positive(F.col("deaths"))
     return newest(raw.where(bad), limit)
 
 

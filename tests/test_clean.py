@@ -166,3 +166,8 @@ def test_audit_line(spark, action, resource_id, line):
     df = spark.createDataFrame([("u1", action, "patterns", resource_id, dt.datetime(2024, 1, 2, 3, 4, 5, 6000))],
                                "u string, a string, r string, i string, t timestamp_ntz")
     assert df.select(codes.audit_line(*[F.col(c) for c in "uarit"])).first()[0] == line
+
+
+def test_composition(spark):
+    given = ("été", "Å", "한", "déjà", "plain")
+    assert apply(spark, text.sanitize_string, *given) == ["été", "Å", "한", "déjà", "plain"]
