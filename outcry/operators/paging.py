@@ -68,6 +68,25 @@ def top_per_group(df: DataFrame, group: list[str] | str, order: list[Column], n:
     return ranked.where(F.col("rank_in_group") <= n)
 
 
+def number_rows(df: DataFrame, sort: list[tuple[str, str]]) -> DataFrame:
+    """Adds ``row_no`` from 1 in the order of ``sort`` and ``total``, without a window over the table.
+
+    Rows are range-partitioned by the whole sort key, so even rows of one value spread out, and sorted where they are.
+    The result is written before its partitions are counted, as a repeated range split need not fall alike.
+    """
+    from outcry.session import cut_lineage
+
+    order = order_columns(sort)
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("at_", 33), F.col("at_").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("part_")).agg(F.count("*").alias("c_"))
+    # One row per partition of the sort.
+    starts = counts.select("part_", (F.sum("c_").over(W.orderBy("part_")) - F.col("c_")).alias("start_"),
+                           F.sum("c_").over(W.partitionBy()).alias("total"))
+    return (placed.withColumn("part_", part).join(F.broadcast(starts), "part_")
+            .withColumn("row_no", F.col("start_") + inside + 1).drop("part_", "start_", "at_"))
+
+
 # Order of alert kinds.
 PRIORITY = {"critical": 0, "warning": 1, "info": 2}
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outcry.functions.text import FORMATS
+from outcry.operators.paging import top_per_group
 
 # Required texts and counts of a case.
 CASE_REQUIRED = [
@@ -45,7 +46,7 @@ def validate_complaint(complaints: DataFrame) -> DataFrame:
 
 
 def quality_report(complaints: DataFrame, samples: int = 5, key: str = "source_id") -> DataFrame:
-    """Violations per rule with the smallest offending keys, in one pass over the table."""
+    """Violations per rule with the smallest offending keys."""
     rules = complaint_rules()
     broken = (
         complaints.select(F.col(key).alias("key"),
@@ -54,11 +55,10 @@ def quality_report(complaints: DataFrame, samples: int = 5, key: str = "source_i
         .where(F.size("rules") > 0)
         .select("key", F.explode("rules").alias("rule"))
     )
-    from outcry.operators.paging import top_per_group
-
-    counts = broken.groupBy("rule").agg(F.count("*").alias("violations"))
-    # Distinct keys per rule first, so copies of one bad row do not fill the sample.
-    first = (top_per_group(broken.groupBy("rule", "key").agg(F.count("*").alias("copies")), "rule", [F.asc("key")], samples)
+    # Copies of a bad row are one row from here on; the counts and the sample both come from this aggregate.
+    per_key = broken.groupBy("rule", "key").agg(F.count("*").alias("copies"))
+    counts = per_key.groupBy("rule").agg(F.sum("copies").alias("violations"))
+    first = (top_per_group(per_key, "rule", [F.asc("key")], samples)
              .groupBy("rule").agg(F.array_sort(F.collect_list("key")).alias("sample_keys")))
     return counts.join(first, "rule")
 

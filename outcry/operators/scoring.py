@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from outcry.operators.paging import number_rows
 from outcry.operators.stats import pattern_stats
 
 # Fixed values.
@@ -54,21 +55,11 @@ def rank_patterns(scored: DataFrame, limit: int = 100, min_score: float = 0.0, p
 
 
 def relative_severity(scored: DataFrame, pattern_key: str = "pattern_id") -> DataFrame:
-    """Score, rank and percentile of every active pattern.
-
-    Ranks come from counts per score slice, so no window spans all patterns: the rows above a slice are a running sum
-    over the slices, and only inside a slice are rows ordered.
-    """
-    active = scored.where("is_active").select(pattern_key, "score")
-    slices = active.withColumn("slice", F.floor(F.col("score")))
-    counts = slices.groupBy("slice").agg(F.count("*").alias("c"))
-    above = counts.select("slice", (F.sum("c").over(W.orderBy(F.desc("slice"))) - F.col("c")).alias("above"),
-                          F.sum("c").over(W.partitionBy()).alias("total"))
-    inside = F.row_number().over(W.partitionBy("slice").orderBy(F.desc("score"), pattern_key))
-    ranked = slices.withColumn("place", inside).join(above, "slice").withColumn("rank", F.col("above") + F.col("place"))
-    share = (F.col("total") - F.col("rank") + 1) / F.col("total") * 100
+    """Score, rank and percentile of every active pattern."""
+    ranked = number_rows(scored.where("is_active").select(pattern_key, "score"), [("score", "desc"), (pattern_key, "asc")])
+    share = (F.col("total") - F.col("row_no") + 1) / F.col("total") * 100
     return ranked.select(pattern_key, "score", F.floor(share + 0.5).cast("long").alias("percentile"),
-                         F.col("rank").cast("long").alias("rank"), F.col("total").alias("total_patterns"))
+                         F.col("row_no").alias("rank"), F.col("total").alias("total_patterns"))
 
 
 def refresh_severity(scored: DataFrame, as_of, pattern_key: str = "pattern_id", pattern_id=None) -> DataFrame:

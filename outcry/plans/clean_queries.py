@@ -122,6 +122,19 @@ def quality_report(spark, sf):
     return report.withColumn("sample_keys", F.concat_ws(",", "sample_keys"))
 
 
+@query("parse_fields", f"""WITH {RAW_BULK_SQL} SELECT datea, yeartxt, injured, crash, compdesc, {date_sql('datea')} AS day, {ROLL_SQL} AS rolled_day,
+{int0_sql('yeartxt')} AS year, {int0_sql('injured')} AS injuries, {yn_sql('crash')} AS crashed, {component_sql('compdesc')} AS component, count(*) AS records
+FROM raw_bulk GROUP BY ALL""")
+def parse_fields(spark, sf):
+    """The single field parsers side by side over every distinct raw value."""
+    raw = landed(spark, sf).groupBy("datea", "yeartxt", "injured", "crash", "compdesc").agg(F.count("*").alias("records"))
+    return raw.select(
+        "datea", "yeartxt", "injured", "crash", "compdesc", fields.parse_yyyymmdd(F.col("datea")).alias("day"),
+        fields.parse_yyyymmdd(F.col("datea"), rollover=True).alias("rolled_day"), fields.parse_int0(F.col("yeartxt")).alias("year"),
+        fields.parse_int0(F.col("injured")).alias("injuries"), fields.parse_yn(F.col("crash")).alias("crashed"),
+        fields.primary_component(F.col("compdesc")).alias("component"), "records")
+
+
 SEVERITY_SQL = """least(200, 10 + CASE WHEN crash THEN 30 ELSE 0 END + CASE WHEN fire THEN 40 ELSE 0 END
  + CASE WHEN injuries > 0 THEN 20 + least(injuries*10, 50) ELSE 0 END
  + CASE WHEN deaths > 0 THEN 50 + least(deaths*25, 100) ELSE 0 END)"""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from outcry.operators import filters, joins, paging, stats
+from outcry.operators import detect, filters, joins, paging, stats
 from outcry.plans.registry import query
 from outcry.plans.tenants import (AUDIT_SQL, DOCUMENTS_SQL, ORGS_SQL, TENANT_PATTERNS_SQL, USERS_SQL, audit, documents,
                                   orgs, tenant_patterns, users)
-from outcry.plans.views import AS_OF, COMPLAINTS_SQL, PATTERNS_SQL, complaints, patterns, table
+from outcry.plans.views import AS_OF, AS_OF_TREND, COMPLAINTS_SQL, FIT_SQL, PATTERNS_SQL, complaints, patterns, series_sql, table
 
 C = f"WITH {COMPLAINTS_SQL} "
 P = f"WITH {PATTERNS_SQL} "
@@ -393,3 +393,27 @@ def audit_activity(spark, sf):
 count(DISTINCT user_id) AS active_users FROM events GROUP BY 1, 2""")
 def audit_activity_weekly(spark, sf):
     return stats.audit_activity(table(spark, sf, "events"), "week")
+
+
+# ---- further pattern lists ----------------------------------------------------------------------------------------
+
+
+@query("trending_patterns", f"""WITH {PATTERNS_SQL}, {series_sql(84, AS_OF_TREND)}, {FIT_SQL}
+SELECT pattern_id, direction, round(t.trend_score, 6) AS trend_score FROM patterns JOIN trends t ON t.key = pattern_id
+WHERE is_active ORDER BY round(t.trend_score, 6) DESC, pattern_id LIMIT 10""")
+def trending_patterns(spark, sf):
+    active = patterns(spark, sf).where("is_active").drop("trend_score")
+    scored = detect.pattern_trends(active, complaints(spark, sf), AS_OF_TREND).withColumn("trend_score", F.round("trend_score", 6))
+    return stats.sorted_top(scored, [("trend_score", "desc"), ("pattern_id", "asc")], 10).select("pattern_id", "direction", "trend_score")
+
+
+@query("global_patterns", f"""WITH {COMPLAINTS_SQL}, {TENANT_PATTERNS_SQL}, every AS (
+  SELECT pattern_id, organization_id, severity_score FROM tenant_patterns
+  UNION ALL SELECT make, CAST(NULL AS INT), CAST(count(*) AS DOUBLE) FROM complaints GROUP BY make)
+SELECT pattern_id, severity_score FROM every WHERE organization_id IS NULL ORDER BY severity_score DESC, pattern_id LIMIT 20""")
+def global_patterns(spark, sf):
+    own = tenant_patterns(spark, sf).select("pattern_id", "organization_id", "severity_score")
+    shared = complaints(spark, sf).groupBy("make").agg(F.count("*").cast("double").alias("severity_score")).select(
+        F.col("make").alias("pattern_id"), F.lit(None).cast("int").alias("organization_id"), "severity_score")
+    return filters.filter_patterns(own.unionByName(shared), org=None, sort="severity_score", limit=20).select(
+        "pattern_id", "severity_score")

@@ -358,3 +358,9 @@ def validate_case(spark, sf):
         "deathCount": F.col("death_count"), "causesOfAction": F.array(F.lit("NEGLIGENCE")), "reliefRequested": F.array(F.lit("DAMAGES"))})
     checked = quality.validate_case(filled.select("pattern_id", *[c.alias(n) for n, c in columns.items()]))
     return checked.select("pattern_id", "is_valid", F.concat_ws(";", "errors").alias("errors"))
+
+
+@query("case_totals", f"SELECT pattern_id, injury_count, death_count, crash_complaints, fire_complaints, true_crashes, true_fires FROM ({CASE_SQL})")
+def case_totals(spark, sf):
+    return facts(spark, sf).select("pattern_id", "injury_count", "death_count", "crash_complaints", "fire_complaints",
+                                   "true_crashes", "true_fires")

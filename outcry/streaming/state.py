@@ -14,8 +14,12 @@ def stream_subscription_state(events: DataFrame, base: str, checkpoint: str) ->
     customer is ignored."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        state = read_version(batch.sparkSession, base, number - 1) if number else None
-        write_batch(maintain.subscription_state(batch, state).select(*maintain.STATE_COLUMNS), base, number)
+        if not number:
+            return write_batch(maintain.subscription_state(batch).select(*maintain.STATE_COLUMNS), base, number)
+        # Only the state of customers with new events is folded again; the rest is carried over.
+        state, touched = read_version(batch.sparkSession, base, number - 1), batch.select("customer").distinct()
+        folded = maintain.subscription_state(batch, state.join(touched, "customer", "left_semi")).select(*maintain.STATE_COLUMNS)
+        write_batch(folded.unionByName(state.join(touched, "customer", "left_anti")), base, number)
 
     run_available(events, handle, checkpoint)
 
@@ -25,7 +29,9 @@ def stream_upsert_users(events: DataFrame, users: DataFrame, orgs: DataFrame, ba
 
     def handle(batch: DataFrame, number: int) -> None:
         current = read_version(batch.sparkSession, base, number - 1) if number else users
-        write_batch(maintain.upsert_users(current, batch, orgs), base, number)
+        touched = batch.select("user_id").distinct()
+        changed = maintain.upsert_users(current.join(touched, "user_id", "left_semi"), batch, orgs)
+        write_batch(changed.unionByName(current.join(touched, "user_id", "left_anti").select(*changed.columns)), base, number)
 
     run_available(events, handle, checkpoint)
 

@@ -344,3 +344,11 @@ def test_plan_limits(spark):
     assert all(v for (o, _), v in got.items() if o == "b")
     features = {r["organization_id"]: r for r in maintain.plan_features(orgs).collect()}
     assert features["b"]["prioritySupport"] and not features["a"]["semanticSearch"]
+
+
+def test_row_numbers_over_one_hot_value(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("v")).repartition(9)
+    got = paging.number_rows(df, [("v", "desc"), ("id", "asc")]).collect()
+    want = [r["id"] for r in df.orderBy(F.desc("v"), "id").collect()]
+    assert [r["id"] for r in sorted(got, key=lambda r: r["row_no"])] == want
+    assert sorted(r["row_no"] for r in got) == list(range(1, 5001)) and {r["total"] for r in got} == {5000}
