@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from outcry.functions.fields import ntz
+from outcry.operators.detect import fit_from_sums, trend_direction
 from outcry.operators.paging import number_rows
-from outcry.operators.stats import pattern_stats
+from outcry.operators.series import TREND_WEEKS, week_start
+from outcry.operators.stats import outcome_aggregates, pattern_stats
 
 # Fixed values.
 DEFAULT_WEIGHTS = {"deaths": 100, "injuries": 20, "crashes": 10, "fires": 15, "complaint_count": 1, "trend_score": 5}
@@ -22,6 +25,39 @@ def weighted_score(weights: dict | None = None) -> Column:
     return total
 
 
+def with_score(metrics: DataFrame, weights: dict | None = None) -> DataFrame:
+    """Adds the score and the part of each factor to a frame that carries the six factors."""
+    parts = {f"part_{name}": F.col(name).cast("double") * F.lit(float(weight))
+             for name, weight in {**DEFAULT_WEIGHTS, **(weights or {})}.items()}
+    return metrics.withColumn("score", weighted_score(weights)).withColumns(parts)
+
+
+def pattern_metrics(complaints: DataFrame, as_of, *, key: str = "cluster_id", date: str = "date_added", days: int = TREND_WEEKS * 7,
+                    carry: tuple[str, ...] = (), strict_fit: bool = False) -> DataFrame:
+    """Outcome totals and recent trend of every pattern from one scan and one shuffle of the complaints.
+
+    Complaints are summed per pattern and week first. That small table gives the totals over all weeks and, over the
+    weeks inside the window, the positions and sums of the trend. ``carry`` names columns that are constant per pattern.
+    """
+    recent = F.col(date) >= ntz(as_of) - F.expr(f"interval {int(days)} days")
+    # Carried columns are grouping keys: a minimum over texts would turn the hash aggregate into a sort.
+    rollup = complaints.where(F.col(key).isNotNull()).groupBy(
+        F.col(key).alias("key"), *carry, week_start(F.col(date)).alias("wk")).agg(*outcome_aggregates(), F.count_if(recent).alias("v"))
+    inside = F.col("v") > 0
+    placed = rollup.withColumn("i", F.sum(inside.cast("int")).over(W.partitionBy("key").orderBy("wk")) - 1)
+    v, i = F.when(inside, F.col("v").cast("double")), F.when(inside, F.col("i").cast("double"))
+
+    def total(c: Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0.0))
+
+    sums = placed.groupBy("key", *carry).agg(
+        F.sum("total").alias("complaint_count"), F.sum("crashes").alias("crashes"), F.sum("fires").alias("fires"),
+        F.sum("injuries").alias("injuries"), F.sum("deaths").alias("deaths"),
+        F.count_if(inside).cast("double").alias("n"), total(i).alias("si"), total(v).alias("sv"), total(i * i).alias("sii"),
+        total(v * v).alias("svv"), total(i * v).alias("siv"))
+    return trend_direction(fit_from_sums(sums, strict_fit)).withColumnRenamed("key", key)
+
+
 def severity_score(patterns: DataFrame, complaints: DataFrame, weights: dict | None = None, *,
                    pattern_key: str = "pattern_id", key: str = "cluster_id", normalize: str | None = None) -> DataFrame:
     """Metrics, the part of each factor, and the score of every pattern.
@@ -34,10 +70,8 @@ def severity_score(patterns: DataFrame, complaints: DataFrame, weights: dict | N
         patterns.join(per_key, F.col(pattern_key) == F.col(key), "left").drop(key)
         .withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
         .withColumn("trend_score", F.coalesce("trend_score", F.lit(0.0)))
-        .withColumn("score", weighted_score(weights))
+        .transform(with_score, weights)
     )
-    for name, weight in {**DEFAULT_WEIGHTS, **(weights or {})}.items():
-        scored = scored.withColumn(f"part_{name}", F.col(name).cast("double") * F.lit(float(weight)))
     if normalize == "0-10":
         one = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).withColumn("one", F.lit(1))
         scored = (scored.withColumn("one", F.lit(1)).join(F.broadcast(one), "one")
@@ -64,8 +98,6 @@ def relative_severity(scored: DataFrame, pattern_key: str = "pattern_id") -> Dat
 
 def refresh_severity(scored: DataFrame, as_of, pattern_key: str = "pattern_id", pattern_id=None) -> DataFrame:
     """The new version of the severity columns, for one pattern or all."""
-    from outcry.functions.fields import ntz
-
     rows = scored if pattern_id is None else scored.where(F.col(pattern_key) == pattern_id)
     return rows.select(pattern_key, F.col("score").alias("severity_score"), "complaint_count",
                        ntz(as_of).alias("last_updated"))

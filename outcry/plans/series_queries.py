@@ -237,10 +237,11 @@ def growth_wow(spark, sf):
 
 
 def scored(spark, sf):
-    """Patterns with their trend and severity score: the flagship plan."""
-    c = complaints(spark, sf)
-    trends = detect.pattern_trends(patterns(spark, sf).drop("trend_score"), c, AS_OF_TREND)
-    return scoring.severity_score(trends.drop("complaint_count", "severity_score"), c)
+    """Patterns with their trend and severity score: the flagship plan, one scan of the complaints."""
+    metrics = scoring.pattern_metrics(complaints(spark, sf), AS_OF_TREND, carry=("make", "model"))
+    named = metrics.withColumnRenamed("cluster_id", "pattern_id").withColumns({
+        "name": F.concat("make", F.lit(" "), "model"), "is_active": F.col("deaths") > 0})
+    return named.transform(scoring.with_score)
 
 
 SCORED_SQL = f"""WITH {PATTERNS_SQL}, {series_sql(84, AS_OF_TREND)}, {FIT_SQL},
@@ -262,6 +263,16 @@ def severity_score(spark, sf):
                                     *r6("trend_score", "score", "part_trend_score"))
 
 
+@query("severity_score_joined", SCORED_SQL + """ SELECT pattern_id, complaint_count, round(trend_score, 6) AS trend_score,
+round(score, 6) AS score FROM scored""")
+def severity_score_joined(spark, sf):
+    """The same scores from a given pattern table and its trends."""
+    c = complaints(spark, sf)
+    trends = detect.pattern_trends(patterns(spark, sf).drop("trend_score"), c, AS_OF_TREND)
+    return scoring.severity_score(trends.drop("complaint_count", "severity_score"), c).select(
+        "pattern_id", "complaint_count", *r6("trend_score", "score"))
+
+
 @query("rank_patterns", SCORED_SQL + """, best AS (SELECT * FROM scored WHERE is_active AND score >= 0
 ORDER BY score DESC, pattern_id LIMIT 100)
 SELECT row_number() OVER (ORDER BY score DESC, pattern_id) AS rank, pattern_id, name, direction,
