@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from outcry.operators.joins import salted_join
 from outcry.operators.paging import top_per_group
-from outcry.operators.vectors import BLOCK_ROWS, matrix, unit, vector_mean
+from outcry.operators.vectors import BLOCK_ROWS, matrix, to_list_array, unit, vector_mean
 from outcry.session import cut_lineage
 
 SIMILARITY, MIN_SIZE, BATCH = 0.75, 5, 1000
@@ -213,7 +213,7 @@ def similarity_forest(vectors: DataFrame, threshold: float, *, id_col: str = "id
             rows, cells = np.nonzero(near)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cells, pa.int32()), pa.array(cells == home[rows]), batch.column("id").take(pa.array(rows)),
-                 pa.array(list(m[rows]), pa.list_(pa.float64()))], names=["cell", "home", "id", "v"])
+                 to_list_array(m[rows])], names=["cell", "home", "id", "v"])
 
     filed = distinct.select("id", "v").mapInArrow(file, filed_schema)
     sizes = filed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
@@ -236,26 +236,25 @@ def similarity_forest(vectors: DataFrame, threshold: float, *, id_col: str = "id
     return edges.unionByName(copies)
 
 
-def local_roots(m: np.ndarray, home: np.ndarray, threshold: float, step: int = 1024) -> np.ndarray:
-    """Smallest position connected to each row inside one block pair; two visiting rows are not compared here."""
-    root = np.arange(len(m))
+def local_roots(m: np.ndarray, home: np.ndarray, threshold: float) -> np.ndarray:
+    """First position connected to each row inside one block pair; two visiting rows are not compared here.
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for lo in range(0, len(m), step):
-        sims = m[lo:lo + step] @ m.T
-        hit = (sims >= threshold) & (home[lo:lo + step, None] | home[None, :])
-        later = np.arange(len(m))[None, :] > np.arange(lo, lo + len(sims))[:, None]
-        rows, cols = np.nonzero(hit & later)
-        for r, c in zip(rows + lo, cols):
-            a, b = find(int(r)), find(int(c))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return np.array([find(i) for i in range(len(m))], dtype=int) if len(m) else root
+    The search spreads from one row over what is not reached yet, so a block of near copies is done after one step.
+    """
+    root = np.arange(len(m))
+    rest, left, at_home = np.arange(len(m)), m, home
+    while len(rest):
+        start, front = rest[0], rest[:1]
+        rest, left, at_home = rest[1:], left[1:], at_home[1:]
+        while len(front) and len(rest):
+            near = left @ m[front].T >= threshold
+            near &= at_home[:, None] | home[front][None, :]
+            hit = near.any(axis=1)
+            front = rest[hit]
+            if len(front):
+                root[front] = start
+                rest, left, at_home = rest[~hit], left[~hit], at_home[~hit]
+    return root
 
 
 def connected_components(edges: DataFrame, salts: int = 16, max_rounds: int = 60) -> DataFrame:

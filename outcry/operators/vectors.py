@@ -67,6 +67,12 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def to_list_array(m: np.ndarray) -> pa.ListArray:
+    """A matrix as a list column, without a Python object per number."""
+    offsets = np.arange(len(m) + 1, dtype=np.int32) * (m.shape[1] if m.ndim == 2 else 0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(m).ravel(), pa.float64()))
+
+
 def unit(m: np.ndarray) -> np.ndarray:
     length = np.sqrt(np.einsum("ij,ij->i", m, m))
     return m / np.where(length == 0, 1.0, length)[:, None]
@@ -81,7 +87,11 @@ def _nearest(left_ids, left, right_ids, right, k, skip_same):
         raise ValueError("vectors must have the same width")
     sims = left @ right.T
     if skip_same:
-        sims[left_ids[:, None] == right_ids[None, :]] = -np.inf
+        where: dict = {}
+        for at, name in enumerate(right_ids):
+            where.setdefault(name, []).append(at)
+        for row, name in enumerate(left_ids):
+            sims[row, where.get(name, [])] = -np.inf
     take = min(k, sims.shape[1])
     order = np.argsort(-sims, axis=1, kind="stable")[:, :take]
     rows = np.repeat(np.arange(len(left)), take)

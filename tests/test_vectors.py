@@ -220,3 +220,18 @@ def test_embed_missing_and_one(spark):
     assert embed.embed_one(rows, 3).first()["error"] is None
     with pytest.raises(Exception, match="no row 77"):
         embed.embed_one(rows, 77).collect()
+
+
+def test_reduction_keeps_the_leading_components(spark):
+    m, _ = planted(200, dims=8)
+    got = np.array([r["reduced"] for r in vectors.reduce_dimensions(frame(spark, m), 3).orderBy("id").collect()])
+    x = m.astype(np.float64)
+    _, _, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(x @ v[:3].T), atol=1e-6)
+
+
+def test_dense_block_of_near_copies(spark):
+    rng = np.random.RandomState(5)
+    m = np.vstack([np.ones((400, 8)) + 0.001 * rng.standard_normal((400, 8)), 3 * rng.standard_normal((60, 8))]).astype(np.float32)
+    got = cluster.similarity_components(frame(spark, m), 0.97, 1, block_rows=100).collect()
+    assert {r["id"]: r["cluster_id"] for r in got} == components(m, 0.97)
