@@ -41,7 +41,8 @@ def embed(rows: DataFrame, embedder: Embedder = hashed_words, *, key: str = "id"
     """``(key, embedding, error)`` for every row.
 
     Empty text is an error of its row and is not sent. A failing call is an error of the rows of its batch and of no
-    others. ``concurrency`` bounds the calls made at the same time.
+    others. ``concurrency`` sets how many calls run at the same time: it spreads a few large files over the cluster, and
+    holds a cluster back from a service that allows only so many. An embedding costs more than moving its text.
     """
     prepared = rows.select(key, prepare_text(F.col(text)).alias("text"))
     if concurrency:

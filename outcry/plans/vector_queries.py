@@ -214,7 +214,8 @@ weights AS (SELECT doc_id, slot, c / l AS weight FROM slots JOIN lengths USING (
 {slots_sql('todo')} SELECT doc_id, slot, round(weight, 6) AS weight FROM weights""")
 def embed_missing(spark, sf):
     known = vecs(spark, sf).withColumnRenamed("vec_id", "doc_id")
-    found = embed.embed_missing(table(spark, sf, "documents").select("doc_id", "text"), known, key="doc_id")
+    found = embed.embed_missing(table(spark, sf, "documents").select("doc_id", "text"), known, key="doc_id",
+                                concurrency=spark.sparkContext.defaultParallelism)
     return found.select("doc_id", F.posexplode("embedding").alias("slot", "w")).where("w > 0").select(
         "doc_id", "slot", F.round("w", 6).alias("weight"))
 
