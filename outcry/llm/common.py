@@ -31,6 +31,13 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join where one key of ``big`` may hold a large part of all rows and ``small`` has a row for each key, which is repeated."""
+    left = big.withColumn("salt_", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
+    right = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "salt_"], how).drop("salt_")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, safe from lost executors."""
     spark = df.sparkSession

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outcry.llm import decontaminate, html_text, packing, token_count, token_file, warc
+from outcry.llm import ann, dart_dedup, decontaminate, html_text, packing, token_count, token_file, warc
 from outcry.llm.common import crc, table, tokenizer_path, written
 from outcry.session import scratch_path
 
@@ -20,11 +20,21 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+@query
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"), min_bytes=0)
