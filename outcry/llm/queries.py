@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outcry.llm import ann, dart_dedup, decontaminate, html_text, packing, token_count, token_file, warc
+from outcry.llm import ann, dart_dedup, decontaminate, html_text, packing, pii, token_count, token_file, toxicity, warc
 from outcry.llm.common import crc, table, tokenizer_path, written
 from outcry.session import scratch_path
 
@@ -35,6 +35,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"), min_bytes=0)
@@ -46,6 +51,15 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+@query
+def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_private(table(spark, sf_dir, "documents"))
+    counts = {f"n_{kind}": pii.count_of(kind) for kind in pii.KINDS}
+    return found.withColumns(counts).select(
+        "doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        F.concat_ws(",", *(F.when(F.size(c) > 0, pii.listed(F.col(c))) for c in ("base", "revealing"))).alias("spans"))
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
