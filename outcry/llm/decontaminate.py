@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from outcry.llm import common
 
@@ -226,3 +227,34 @@ def find_contamination(
         result += ", text string, clean_text string"
     out = pa.schema(fields)
     return passing.mapInArrow(report, result)
+
+
+def uncontaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20, text_col: str = "text", per_automaton: int = WORDS_PER_AUTOMATON,
+) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all columns as they are."""
+    place = docs.columns.index(text_col)
+    spec = T.StructType([*docs.schema.fields, T.StructField("marks_", T.BinaryType())])
+    passing = docs.withColumn("marks_", F.lit(None).cast("binary"))
+
+    def through(shared, last: bool):
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton, no_items = shared.value, set()
+            for batch in batches:
+                marked, clean = [], []
+                for text, marks in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                    words = words_of(text or "")
+                    marks = automaton.mark(words, bytearray(marks) if marks else None, no_items)
+                    marked.append(bytes(marks) if marks else None)
+                    clean.append(not marks or one_in * marks.count(1) < len(words))
+                if last:
+                    yield batch.filter(pa.array(clean, pa.bool_()))
+                else:
+                    yield batch.set_column(batch.num_columns - 1, "marks_", pa.array(marked, pa.binary()))
+
+        return stream
+
+    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, per_automaton)]
+    for i, one in enumerate(shared):
+        passing = passing.mapInArrow(through(one, i + 1 == len(shared)), spec)
+    return passing.drop("marks_")

@@ -144,9 +144,10 @@ def revealing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float =
     return rated.filter(F.col("ratio") >= generalise).groupBy("term").agg(F.max("ratio").alias("ratio"))
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, width: int = CONTEXT) -> DataFrame:
-    """doc_id, text, base (base spans) and revealing (spans of revealing terms, with their ratio) of every row."""
-    docs = common.texts(docs, id_col, text_col)
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, width: int = CONTEXT, keep: Column | None = None) -> DataFrame:
+    """doc_id, text, base (base spans) and revealing (spans of revealing terms, with their ratio) of every row; with ``keep`` also that, as ``kept``."""
+    kept = [] if keep is None else [keep.alias("kept")]
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept)
     risky = common.written(revealing_terms(docs, support, generalise, width), "pii-terms")
     keyed = docs.withColumn("key", F.xxhash64("text"))
     where = only(all_terms(keyed, "doc_id", "key"), risky).join(risky, "term")
@@ -158,7 +159,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = with_matches(detected(rows), "found", F.col("text"), F.col("pattern"), "term", F.col("pattern").isNotNull())
     free = F.filter("found", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     revealing = F.transform(free, lambda x: F.struct(x["kind"], x["start"], x["end"], x["value"], F.element_at("ratios", F.lower(x["value"])).alias("ratio")))
-    return rows.select("doc_id", "text", "base", F.coalesce(revealing, F.array().cast("array<struct<kind:string,start:long,end:long,value:string,ratio:double>>")).alias("revealing"))
+    return rows.select("doc_id", "text", *(["kept"] if kept else []), "base", F.coalesce(revealing, F.array().cast("array<struct<kind:string,start:long,end:long,value:string,ratio:double>>")).alias("revealing"))
 
 
 def count_of(kind: str) -> Column:
@@ -195,3 +196,12 @@ def clean_text(remove: float = REMOVE) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, text, base, revealing and clean_text of every row."""
     return find_private(docs, id_col, text_col, support, generalise).withColumn("clean_text", clean_text(remove))
+
+
+def sanitised_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """The rows of ``docs`` with sanitised texts; other columns stay, and so do null texts."""
+    others = [c for c in docs.columns if c != text_col]
+    keep = F.struct(*(F.col(c) for c in others), F.col(text_col).isNull().alias("was_null_"))
+    found = find_private(docs, id_col, text_col, support, generalise, keep=keep)
+    clean = F.when(~F.col("kept.was_null_"), clean_text(remove))
+    return found.select(*(clean.alias(text_col) if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in docs.columns))

@@ -72,7 +72,10 @@ class Chain:
 
     def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id and the probability ``p_<category>`` of each category for every row."""
-        rows = featured(common.texts(docs, id_col, text_col), self.vocabulary)
+        return self.rate(featured(common.texts(docs, id_col, text_col), self.vocabulary))
+
+    def rate(self, rows: DataFrame) -> DataFrame:
+        """The rows of ``featured`` with a probability ``p_<category>`` for each category instead of their features."""
         for i, (category, model) in enumerate(zip(self.categories, self.models, strict=True)):
             rows = _probability(model, rows, ["x", *(f"p_{c}" for c in self.categories[:i])], f"p_{category}")
         return rows.drop("x")
