@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BLANK = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+BLANK_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 # The same class for the JVM: the leading negation settles nearly every character with one comparison.
 _ANY = f"[[^!-~]&&{BLANK}]"
 _NOT_SPACE = f"[[^ -~]&&{BLANK}]"
@@ -49,8 +51,13 @@ def parse_yyyymmdd(c: Column, rollover: bool = False) -> Column:
     return F.date_add(first, day - 1).cast("timestamp_ntz")
 
 
+def strip_blanks(c: Column) -> Column:
+    """Without the white space at both ends, of any kind."""
+    return F.btrim(c, F.lit(BLANK_CHARS))
+
+
 def parse_yn(c: Column) -> Column:
-    return F.coalesce(F.upper(F.trim(c)).isin("Y", "YES"), F.lit(False))
+    return F.coalesce(F.upper(strip_blanks(c)).isin("Y", "YES"), F.lit(False))
 
 
 def parse_int0(c: Column) -> Column:
@@ -96,11 +103,14 @@ def embedding_text() -> Column:
 MAX_EMBED_CHARS = 8191 * 4
 
 
-def prepare_text(c: Column, max_chars: int = MAX_EMBED_CHARS) -> Column:
-    """Collapse blanks, then drop everything outside printable ASCII, then mark a cut with three dots.
+def prepare_text(c: Column, max_chars: int | None = None) -> Column:
+    """Collapse blanks, then drop everything outside printable ASCII; with ``max_chars``, which an embedder of limited
+    length may ask for (``MAX_EMBED_CHARS``), cut there and mark the cut with three dots.
 
     Blanks are collapsed first, so a dropped character between two blanks leaves a double blank.
     """
     ascii_only = F.regexp_replace(normalize_text(c), r"[^\x20-\x7E]", "")
+    if max_chars is None:
+        return ascii_only
     return F.when(F.length(ascii_only) > max_chars, F.concat(F.substring(ascii_only, 1, max_chars), F.lit("..."))) \
         .otherwise(ascii_only)

@@ -5,27 +5,28 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outcry.functions.fields import BLANKS_AT_ENDS
+from outcry.functions.fields import BLANK, BLANK_CHARS, strip_blanks
 
 # ---- fixed values -------------------------------------------------------------------------------------------------
 SCRIPT_BLOCK = r"(?is)<script\b.*?</script>"
-SCRIPT_BROKEN = r"(?i)<+[\t\n\x0B\f\r ]*s+c+r+i+p+t+"
-EVENT_HANDLER = r"""(?i)[\t\n\x0B\f\r ]*on[a-z0-9_]+[\t\n\x0B\f\r ]*=[\t\n\x0B\f\r ]*["'][^"']*["']"""
-SCRIPT_URL = r"(?i)javascript[\t\n\x0B\f\r ]*:"
+SCRIPT_BROKEN = rf"(?i)<+{BLANK}*s+c+r+i+p+t+"
+EVENT_HANDLER = rf"""(?i){BLANK}*on[a-z0-9_]+{BLANK}*={BLANK}*["'][^"']*["']"""
+SCRIPT_URL = rf"(?i)javascript{BLANK}*:"
 SCRIPT_WORD = r"(?i)script"
 CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 
 FORMATS = {
-    "email": r"^[^\s@]+@[^\s@]+\.[^\s@]+$",
+    "email": rf"^[^{BLANK[1:-1]}@]+@[^{BLANK[1:-1]}@]+\.[^{BLANK[1:-1]}@]+$",
     "alphanumeric": r"^[a-zA-Z0-9]+$",
     "number": r"^-?[0-9]+(\.[0-9]+)?$",
     "uuid": r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    "url": r"(?i)^https?://[^\s/$.?#].[^\s]*$",
+    "url": rf"(?i)^https?://[^{BLANK[1:-1]}/$.?#].[^{BLANK[1:-1]}]*$",
     "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
 }
 
@@ -55,29 +56,49 @@ def sanitize_html(c: Column) -> Column:
     return c
 
 
+def _each_text(values: pa.Array, change) -> pa.Array:
+    """The array with every text in it changed, at any depth."""
+    kind = values.type
+    if values.offset:
+        values = pa.concat_arrays([values, values.slice(0, 0)])
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        return change(values)
+    if pa.types.is_struct(kind):
+        parts = [_each_text(part, change) for part in values.flatten()]
+        return pa.StructArray.from_arrays(parts, fields=list(kind), mask=values.is_null())
+    if pa.types.is_map(kind):
+        return pa.MapArray.from_arrays(values.offsets, values.keys, _each_text(values.items, change), type=kind, mask=values.is_null())
+    if pa.types.is_list(kind):
+        return pa.ListArray.from_arrays(values.offsets, _each_text(values.values, change), type=kind, mask=values.is_null())
+    return values
+
+
 # Text below U+0300 holds no combining mark and is composed already.
 MAY_COMPOSE = r"[^\x{0000}-\x{02FF}]"
 
 
-@F.pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: s if s is None or unicodedata.is_normalized("NFC", s) else unicodedata.normalize("NFC", s))
+def _composed(values: pa.Array) -> pa.Array:
+    """NFC. The Arrow kernel for it cuts texts whose length changes, so the few texts that may change go one by one."""
+    open_ = pc.fill_null(pc.match_substring_regex(values, MAY_COMPOSE), False)
+    if not pc.any(open_).as_py():
+        return values
+    changed = pa.array([unicodedata.normalize("NFC", s) for s in values.filter(open_).to_pylist()], values.type)
+    return pc.replace_with_mask(values, open_, changed)
 
 
-def strip_blanks(c: Column) -> Column:
-    # Nearly all text begins and ends with something printable and is left alone.
-    edge = r"^[^!-~]|[^!-~]$"
-    return F.when(c.rlike(edge), F.regexp_replace(c, BLANKS_AT_ENDS, "")).otherwise(c)
+def _cleaned(values: pa.Array) -> pa.Array:
+    bare = pc.replace_substring_regex(values, CONTROL_CHARS, "")
+    return pc.utf8_trim(_composed(bare), characters=BLANK_CHARS)
 
 
-def sanitize_string(c: Column) -> Column:
-    """Drop control characters, compose accents, trim.
+@F.arrow_udf(T.StringType())
+def cleaned(values: pa.Array) -> pa.Array:
+    return _cleaned(values)
 
-    A Python function is called for every row whatever surrounds it, so it is handed null instead of text that cannot
-    change.
-    """
-    bare = F.regexp_replace(F.coalesce(c, F.lit("")), CONTROL_CHARS, "")
-    return strip_blanks(F.coalesce(nfc(F.when(bare.rlike(MAY_COMPOSE), bare)), bare))
+
+def sanitize_string(c: Column) -> Column:
+    """Drop control characters, compose accents, trim; all three in one pass over a column of texts."""
+    return cleaned(F.coalesce(c, F.lit("")))
 
 
 def sanitize_search(c: Column, max_chars: int = MAX_SEARCH_CHARS) -> Column:
@@ -100,17 +121,18 @@ def escape_html(c: Column) -> Column:
     return c
 
 
-def numbered_allegations(c: Column, limit: int = 10) -> Column:
+def numbered_allegations(c: Column, limit: int | None = None) -> Column:
     lines = F.transform(F.split(c, "\n"), strip_blanks)
     kept = F.filter(lines, lambda s: s.rlike(r"^[0-9]+\.|^[A-Z]") & (F.length(s) > 20))
-    return F.slice(F.transform(kept, lambda s: F.regexp_replace(s, r"^[0-9]+\.\s*", "")), 1, limit)
+    out = F.transform(kept, lambda s: F.regexp_replace(s, r"^[0-9]+\.\s*", ""))
+    return out if limit is None else F.slice(out, 1, limit)
 
 
-def relief_items(c: Column, limit: int = 8) -> Column:
+def relief_items(c: Column, limit: int | None = None) -> Column:
     lines = F.transform(F.split(c, "\n"), strip_blanks)
     kept = F.filter(lines, lambda s: s.rlike(r"^[0-9]+\.|^[a-z]\)|^\x{2022}") & (F.length(s) > 10))
-    return F.slice(
-        F.transform(kept, lambda s: F.regexp_replace(s, r"^[0-9]+\.\s*|^[a-z]\)\s*|^\x{2022}\s*", "")), 1, limit)
+    out = F.transform(kept, lambda s: F.regexp_replace(s, r"^[0-9]+\.\s*|^[a-z]\)\s*|^\x{2022}\s*", ""))
+    return out if limit is None else F.slice(out, 1, limit)
 
 
 def is_sensitive(key: Column) -> Column:
@@ -143,23 +165,13 @@ def map_struct(c: Column, dtype: T.DataType, leaf, into_arrays: bool = True, key
 
 
 def sanitize_struct(c: Column, dtype: T.DataType) -> Column:
-    """Clean every text below a nested column. Inside arrays lambdas cannot call Python, so accents stay as they are
-    there; flatten such arrays first (``sanitize_table``) when composition matters."""
+    """Clean every text below a nested column: in fields, arrays and the values of maps. Nulls stay."""
 
-    def light(x: Column) -> Column:
-        return strip_blanks(F.regexp_replace(x, CONTROL_CHARS, ""))
+    @F.arrow_udf(dtype)
+    def nested(values: pa.Array) -> pa.Array:
+        return _each_text(values, _cleaned)
 
-    def walk(col: Column, t: T.DataType) -> Column:
-        if isinstance(t, T.StringType):
-            return F.when(col.isNotNull(), sanitize_string(col))
-        if isinstance(t, T.StructType):
-            return F.when(col.isNotNull(),
-                          F.struct(*[walk(col.getField(f.name), f.dataType).alias(f.name) for f in t.fields]))
-        if isinstance(t, T.ArrayType):
-            return F.transform(col, lambda x: map_struct(x, t.elementType, light))
-        return col
-
-    return walk(c, dtype)
+    return nested(c)
 
 
 def redact_struct(c: Column, dtype: T.DataType) -> Column:
@@ -200,6 +212,7 @@ def pii_counts(c: Column) -> dict[str, Column]:
 
 def redact_pii(c: Column) -> Column:
     """Blank every finding; cards go before phones so that a card number is not half eaten."""
+    out = c
     for kind in ("ssn", "card", "phone", "email"):
-        c = F.when(_candidate(kind, c), F.regexp_replace(c, pii_pattern(kind), REDACTED)).otherwise(c)
-    return c
+        out = F.regexp_replace(out, pii_pattern(kind), REDACTED)
+    return F.when(_candidate("email", c) | _candidate("ssn", c), out).otherwise(c)

@@ -108,7 +108,7 @@ def severity_profile(complaints: DataFrame) -> DataFrame:
 
 
 def embedding_input(complaints: DataFrame, key: str = "source_id", text_col: Column | None = None,
-                    max_chars: int = fields.MAX_EMBED_CHARS) -> DataFrame:
+                    max_chars: int | None = None) -> DataFrame:
     """Key and prepared text; ``error`` marks rows that have no text left."""
     source = fields.embedding_text() if text_col is None else text_col
     prepared = complaints.select(key, fields.prepare_text(source, max_chars).alias("text"))

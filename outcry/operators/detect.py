@@ -233,7 +233,8 @@ def anomaly_alerts(patterns: DataFrame, complaints: DataFrame, as_of, *, pattern
 
 
 def pattern_anomalies(complaints: DataFrame, pattern_id, as_of, *, weeks: int = 12, key: str = "cluster_id") -> DataFrame:
-    only = complaints.where(F.col(key) == pattern_id)
+    """Anomalies in the last ``weeks`` of one pattern, or of every pattern where ``pattern_id`` is None."""
+    only = complaints if pattern_id is None else complaints.where(F.col(key) == pattern_id)
     return detect_anomalies(weekly_counts(only, as_of, key=key, days=weeks * 7))
 
 

@@ -9,7 +9,7 @@ from outcry.operators.paging import top_per_group
 
 # Fixed values.
 CRITICAL_USE, WARNING_USE = 0.9, 0.75
-HIGH_SEVERITY, HIGH_SEVERITY_MAX = 8, 5
+HIGH_SEVERITY = 8
 MANY_DRAFTS = 5
 
 
@@ -56,7 +56,7 @@ def dashboard_alerts(usage: DataFrame, patterns: DataFrame, documents: DataFrame
                F.concat(F.lit("You've used "), now, F.lit(" of "), top, F.lit(" patterns ("), percent, F.lit("%)")))
         .otherwise(F.concat(F.lit("You've generated "), now, F.lit(" of "), top, F.lit(" complaints this month"))).alias("message"))
     rising = patterns.where((F.col("severity_score") >= HIGH_SEVERITY) & (F.col("trend_direction") == "INCREASING")) \
-        .groupBy(org).agg(F.least(F.count("*"), F.lit(HIGH_SEVERITY_MAX)).alias("c")).select(
+        .groupBy(org).agg(F.count("*").alias("c")).select(
             org, F.lit("high-severity-patterns").alias("id"), F.lit("warning").alias("type"),
             F.lit("High-Severity Patterns Trending Up").alias("title"),
             F.concat(F.col("c").cast("string"), F.lit(" pattern(s) with severity ≥8 are showing upward trends")).alias("message"))

@@ -187,8 +187,9 @@ def failed_logins(events: DataFrame, as_of, action: str = "LOGIN_FAILED", hours:
             .groupBy("user_id").agg(F.count("*").alias("failed"), F.max("created_at").alias("last_failed_at")))
 
 
-def user_actions(events: DataFrame, user, limit: int = 1000) -> DataFrame:
-    return events.where(F.col("user_id") == user).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+def user_actions(events: DataFrame, user, limit: int | None = None) -> DataFrame:
+    out = events.where(F.col("user_id") == user).orderBy(F.desc("created_at"), F.desc("id"))
+    return out if limit is None else out.limit(limit)
 
 
 def resource_accesses(events: DataFrame, resource: str, resource_id) -> DataFrame:

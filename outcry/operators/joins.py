@@ -47,18 +47,18 @@ def document_with_pattern(documents: DataFrame, patterns: DataFrame, pattern_key
     return documents.join(p, pattern_key)
 
 
-def org_profile(orgs: DataFrame, users: DataFrame, subscriptions: DataFrame | None = None, newest: int = 20,
+def org_profile(orgs: DataFrame, users: DataFrame, subscriptions: DataFrame | None = None,
                 org: str = "organization_id") -> DataFrame:
-    """Each organisation with its subscription state, its user count and its newest users."""
+    """A row for each user of each organisation, or one without user, with subscription state and user count."""
     counts = users.groupBy(org).agg(F.count("*").alias("user_count"))
-    recent = (top_per_group(users, org, [F.desc("created_at"), F.desc("user_id")], newest)
-              .groupBy(org).agg(F.array_sort(F.collect_list(F.struct("rank_in_group", "user_id"))).alias("u"))
-              .select(org, F.transform("u", lambda x: x["user_id"]).alias("newest_users")))
+    people = users.select(org, "user_id", F.col("created_at").alias("user_since"))
     out = orgs
     if subscriptions is not None:
         out = out.join(subscriptions, org, "left")
-    return (out.join(counts, org, "left").join(recent, org, "left")
-            .withColumn("user_count", F.coalesce("user_count", F.lit(0))))
+    out = out.join(counts, org, "left").withColumn("user_count", F.coalesce("user_count", F.lit(0)))
+    spread = people.where(F.col(org).isNotNull())
+    known = salted_join(spread, out, org, F.col("user_id"))
+    return known.unionByName(out.where(F.col("user_count") == 0), allowMissingColumns=True)
 
 
 def user_with_org(users: DataFrame, orgs: DataFrame, org: str = "organization_id") -> DataFrame:
@@ -67,7 +67,7 @@ def user_with_org(users: DataFrame, orgs: DataFrame, org: str = "organization_id
 
 def anti_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not known yet."""
-    return rows.join(known.select(key).distinct(), key, "left_anti")
+    return rows.join(known.select(key), key, "left_anti")
 
 
 def semi_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:

@@ -308,18 +308,16 @@ def plan_features(orgs: DataFrame, org: str = "organization_id") -> DataFrame:
 CRASH_SHARE, FIRE_SHARE = 0.3, 0.05   # fixed values: shares assumed in a case
 
 
-def case_facts(patterns: DataFrame, complaints: DataFrame, as_of_year: int, *, sample: int = 50, excerpts: int = 5,
+def case_facts(patterns: DataFrame, complaints: DataFrame, as_of_year: int, *, excerpts: int = 5,
                key: str = "cluster_id", pattern_key: str = "pattern_id", id_col: str = "source_id") -> DataFrame:
     """The facts behind a case document for every pattern at once.
 
-    Injuries and deaths come from the first ``sample`` complaints by id, crash and fire counts are assumed shares; the
-    true totals stand beside them.
+    Injuries and deaths are totals over all complaints, crash and fire counts are assumed shares with the true totals
+    beside them; excerpts come from the first complaints by id.
     """
-    head = top_per_group(complaints.where(F.col(key).isNotNull()), key, [F.asc(id_col), F.asc("date_added")], sample)
-    texts = F.when((F.col("rank_in_group") <= excerpts) & (F.coalesce("description", F.lit("")) != ""),
-                   F.struct("rank_in_group", "description"))
+    head = top_per_group(complaints.where(F.col(key).isNotNull()), key, [F.asc(id_col), F.asc("date_added")], excerpts)
+    texts = F.when(F.coalesce("description", F.lit("")) != "", F.struct("rank_in_group", "description"))
     sampled = head.groupBy(F.col(key).alias("k")).agg(
-        F.sum("injuries").alias("injury_count"), F.sum("deaths").alias("death_count"),
         F.transform(F.array_sort(F.collect_list(texts)), lambda x: x["description"]).alias("representative_complaints"))
     true = complaints.groupBy(F.col(key).alias("k")).agg(*outcome_aggregates()).select(
         "k", F.col("total").alias("true_total"), F.col("crashes").alias("true_crashes"), F.col("fires").alias("true_fires"),
@@ -338,7 +336,7 @@ def case_facts(patterns: DataFrame, complaints: DataFrame, as_of_year: int, *, s
             codes.failure_mode(name).alias("failure_mode"), codes.consequence_band(F.col("severity_score")).alias("consequences"),
             codes.class_size_band(count).alias("class_size"), count.alias("total_complaints"),
             F.floor(count * CRASH_SHARE).alias("crash_complaints"), F.floor(count * FIRE_SHARE).alias("fire_complaints"),
-            F.coalesce("injury_count", F.lit(0)).alias("injury_count"), F.coalesce("death_count", F.lit(0)).alias("death_count"),
+            F.coalesce("true_injuries", F.lit(0)).alias("injury_count"), F.coalesce("true_deaths", F.lit(0)).alias("death_count"),
             F.coalesce("representative_complaints", F.array().cast("array<string>")).alias("representative_complaints"),
             *[F.coalesce(c, F.lit(0)).alias(c) for c in ("true_total", "true_crashes", "true_fires", "true_injuries", "true_deaths")],
         )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from outcry.functions.fields import strip_blanks
 from outcry.functions.text import FORMATS
 from outcry.operators.paging import top_per_group
 
@@ -45,8 +46,8 @@ def validate_complaint(complaints: DataFrame) -> DataFrame:
     return complaints.withColumn("errors", messages(complaint_rules()))
 
 
-def quality_report(complaints: DataFrame, samples: int = 5, key: str = "source_id") -> DataFrame:
-    """Violations per rule with the smallest offending keys."""
+def offending_keys(complaints: DataFrame, key: str = "source_id") -> DataFrame:
+    """Every key that breaks a rule (rule, key, copies). Copies of a bad row are one row."""
     rules = complaint_rules()
     broken = (
         complaints.select(F.col(key).alias("key"),
@@ -55,8 +56,12 @@ def quality_report(complaints: DataFrame, samples: int = 5, key: str = "source_i
         .where(F.size("rules") > 0)
         .select("key", F.explode("rules").alias("rule"))
     )
-    # Copies of a bad row are one row from here on; the counts and the sample both come from this aggregate.
-    per_key = broken.groupBy("rule", "key").agg(F.count("*").alias("copies"))
+    return broken.groupBy("rule", "key").agg(F.count("*").alias("copies"))
+
+
+def quality_report(complaints: DataFrame, samples: int = 5, key: str = "source_id") -> DataFrame:
+    """Violations per rule with the smallest offending keys as a sample; ``offending_keys`` has them all."""
+    per_key = offending_keys(complaints, key)
     counts = per_key.groupBy("rule").agg(F.sum("copies").alias("violations"))
     first = (top_per_group(per_key, "rule", [F.asc("key")], samples)
              .groupBy("rule").agg(F.array_sort(F.collect_list("key")).alias("sample_keys")))
@@ -74,7 +79,7 @@ def validate_format(df: DataFrame, column: str, kinds: list[str] | None = None)
 
 def validate_case(cases: DataFrame) -> DataFrame:
     """Checks a case: required texts, year order, non-negative counts, at least one claim and one relief."""
-    rules = {c: (F.trim(F.coalesce(F.col(c), F.lit(""))) == "", F.lit(f"{c} is required")) for c in CASE_REQUIRED}
+    rules = {c: (strip_blanks(F.coalesce(F.col(c), F.lit(""))) == "", F.lit(f"{c} is required")) for c in CASE_REQUIRED}
     rules["years"] = (F.coalesce(F.col("vehicleYearStart") > F.col("vehicleYearEnd"), F.lit(False)),
                       F.lit("vehicleYearStart must be before or equal to vehicleYearEnd"))
     rules.update({c: (F.coalesce(F.col(c) < 0, F.lit(False)), F.lit(f"{c} must be non-negative")) for c in CASE_COUNTS})

@@ -163,13 +163,13 @@ def vector_mean(df: DataFrame, key: list[str] | str, vec: str = "embedding") ->
             .select(*key, vector_to_array("m").alias("centroid"), "members"))
 
 
-def pattern_centroids(members: DataFrame, patterns: DataFrame | None = None, sample: int = 50, *, key: str = "cluster_id",
+def pattern_centroids(members: DataFrame, patterns: DataFrame | None = None, sample: int | None = None, *, key: str = "cluster_id",
                       id_col: str = "id", vec: str = "embedding", pattern_key: str = "pattern_id") -> DataFrame:
-    """Centroid of each active pattern from its first ``sample`` members by id."""
+    """Centroid of each active pattern from all its members, or from the first ``sample`` by id."""
     rows = members.where(F.col(key).isNotNull() & F.col(vec).isNotNull())
     if patterns is not None:
         rows = rows.join(patterns.where("is_active").select(F.col(pattern_key).alias(key)), key, "left_semi")
-    return vector_mean(top_per_group(rows, key, [F.asc(id_col)], sample), key, vec)
+    return vector_mean(rows if sample is None else top_per_group(rows, key, [F.asc(id_col)], sample), key, vec)
 
 
 def assign_to_cluster(rows: DataFrame, centroids: DataFrame, min_similarity: float = 0.7, *, id_col: str = "id",
@@ -222,14 +222,16 @@ def embedding_drift(old: DataFrame, new: DataFrame, *, id_col: str = "id", vec:
                     cluster: str = "cluster_id", max_shift: float = 0.05, max_moved: float = 0.10) -> DataFrame:
     """How far vectors and cluster membership moved between two runs, in one row.
 
-    Membership is compared through the counts of (old cluster, new cluster), so no pair of rows is formed.
+    Membership is compared through the counts of (old cluster, new cluster), so no pair of rows is formed. Rows that only
+    one run has are counted as ``gone`` or ``added`` and as moved.
     """
     both = old.select(id_col, F.col(vec).alias("a"), F.col(cluster).alias("ca")).join(
-        new.select(id_col, F.col(vec).alias("b"), F.col(cluster).alias("cb")), id_col)
-    shift = both.agg(F.count("*").alias("rows"), F.avg(1 - cosine(F.col("a"), F.col("b"))).alias("mean_shift"))
+        new.select(id_col, F.col(vec).alias("b"), F.col(cluster).alias("cb")), id_col, "full")
+    here = F.col("a").isNotNull() & F.col("b").isNotNull()
+    shift = both.agg(F.count_if(here).alias("rows"), F.count_if(F.col("b").isNull()).alias("gone"), F.count_if(F.col("a").isNull()).alias("added"), F.avg(F.when(here, 1 - cosine(F.col("a"), F.col("b")))).alias("mean_shift"))
     cells = both.groupBy("ca", "cb").agg(F.count("*").alias("c"))
-    kept = cells.groupBy("ca").agg(F.max("c").alias("kept"), F.sum("c").alias("all")).agg(
-        (1 - F.sum("kept") / F.sum("all")).alias("moved_share"))
+    per_old = cells.groupBy("ca").agg(F.max(F.when(F.col("ca").isNotNull() & F.col("cb").isNotNull(), F.col("c"))).alias("kept"), F.sum("c").alias("all"))
+    kept = per_old.agg((1 - F.coalesce(F.sum("kept"), F.lit(0)) / F.sum("all")).alias("moved_share"))
     from outcry.operators.paging import one_row
 
     return one_row(shift, kept).withColumns({"shift_alert": F.col("mean_shift") > max_shift,

@@ -28,7 +28,7 @@ def date_sql(c: str) -> str:
 
 
 def yn_sql(c: str) -> str:
-    return f"coalesce(upper(trim({c})) IN ('Y', 'YES'), FALSE)"
+    return f"coalesce(upper(regexp_replace({c}, '^{BLANK}+|{BLANK}+$', '', 'g')) IN ('Y', 'YES'), FALSE)"
 
 
 def component_sql(c: str) -> str:
@@ -122,6 +122,12 @@ def quality_report(spark, sf):
     return report.withColumn("sample_keys", F.concat_ws(",", "sample_keys"))
 
 
+@query("offending_keys", f"""WITH {CLEAN_SQL} SELECT 'year' AS rule, source_id AS key, count(*) AS copies FROM clean
+WHERE model_year < 1900 OR model_year > 2100 GROUP BY 2""")
+def offending_keys(spark, sf):
+    return quality.offending_keys(clean.clean_bulk_table(landed(spark, sf))[0])
+
+
 @query("parse_fields", f"""WITH {RAW_BULK_SQL} SELECT datea, yeartxt, injured, crash, compdesc, {date_sql('datea')} AS day, {ROLL_SQL} AS rolled_day,
 {int0_sql('yeartxt')} AS year, {int0_sql('injured')} AS injuries, {yn_sql('crash')} AS crashed, {component_sql('compdesc')} AS component, count(*) AS records
 FROM raw_bulk GROUP BY ALL""")
@@ -159,7 +165,7 @@ def normalize_text(spark, sf):
 
 
 @query("embedding_input", f"""WITH p AS (SELECT doc_id, regexp_replace({norm_sql('text')}, '[^\\x20-\\x7E]', '', 'g') AS t FROM documents)
-SELECT doc_id, CASE WHEN length(t) > 32764 THEN substr(t, 1, 32764) || '...' ELSE t END AS text,
+SELECT doc_id, t AS text,
        CASE WHEN t = '' THEN 'Text cannot be empty' END AS error FROM p""")
 def embedding_input(spark, sf):
     return clean.embedding_input(table(spark, sf, "documents"), "doc_id", F.col("text"))
@@ -176,7 +182,7 @@ def lines_sql(c: str) -> str:
 
 
 @query("extract_numbered_lines", f"""SELECT doc_id, array_to_string(list_transform(list_filter({lines_sql('text')},
-  lambda x: regexp_matches(x, '^[0-9]+\\.|^[A-Z]') AND length(x) > 20), lambda x: regexp_replace(x, '^[0-9]+\\.\\s*', ''))[1:10], '|') AS allegations
+  lambda x: regexp_matches(x, '^[0-9]+\\.|^[A-Z]') AND length(x) > 20), lambda x: regexp_replace(x, '^[0-9]+\\.\\s*', '')), '|') AS allegations
 FROM documents""")
 def extract_numbered_lines(spark, sf):
     return table(spark, sf, "documents").select(
@@ -184,7 +190,7 @@ def extract_numbered_lines(spark, sf):
 
 
 @query("extract_relief_items", f"""SELECT page_id, array_to_string(list_transform(list_filter({lines_sql("regexp_replace(html, '<[^>]*>', chr(10), 'g')")},
-  lambda x: regexp_matches(x, '^[0-9]+\\.|^[a-z]\\)|^•') AND length(x) > 10), lambda x: regexp_replace(x, '^[0-9]+\\.\\s*|^[a-z]\\)\\s*|^•\\s*', ''))[1:8], '|') AS items
+  lambda x: regexp_matches(x, '^[0-9]+\\.|^[a-z]\\)|^•') AND length(x) > 10), lambda x: regexp_replace(x, '^[0-9]+\\.\\s*|^[a-z]\\)\\s*|^•\\s*', '')), '|') AS items
 FROM pages""")
 def extract_relief_items(spark, sf):
     plain = F.regexp_replace("html", "<[^>]*>", "\n")
@@ -361,31 +367,28 @@ def read_flat_file(spark, sf):
         F.min("cmplid").alias("first_id"), F.count("*").alias("records"), F.count("fire").alias("fires"))
 
 
-@query("complaints_since", R + "SELECT cmplid, datea FROM raw_bulk WHERE datea > '20010601' ORDER BY datea DESC, cmplid LIMIT 1000")
+@query("complaints_since", R + "SELECT cmplid, datea FROM raw_bulk WHERE datea > '20010601'")
 def complaints_since(spark, sf):
     return readers.complaints_since(landed(spark, sf), "20010601").select("cmplid", "datea")
 
 
-@query("complaints_in_range", R + """SELECT cmplid, datea FROM raw_bulk WHERE datea >= '20000101' AND datea <= '20000630'
-ORDER BY datea DESC, cmplid LIMIT 10000""")
+@query("complaints_in_range", R + """SELECT cmplid, datea FROM raw_bulk WHERE datea >= '20000101' AND datea <= '20000630'""")
 def complaints_in_range(spark, sf):
     return readers.complaints_in_range(landed(spark, sf), "20000101", "20000630").select("cmplid", "datea")
 
 
-@query("complaints_by_make", R + """SELECT cmplid, datea FROM raw_bulk WHERE upper(maketxt) = 'BRAND#11 '
-ORDER BY datea DESC, cmplid LIMIT 1000""")
+@query("complaints_by_make", R + """SELECT cmplid, datea FROM raw_bulk WHERE upper(maketxt) = 'BRAND#11 '""")
 def complaints_by_make(spark, sf):
     return readers.complaints_by_make(landed(spark, sf), "Brand#11 ").select("cmplid", "datea")
 
 
-@query("complaints_by_component", R + """SELECT cmplid, datea FROM raw_bulk WHERE upper(compdesc) LIKE '%BOLT%'
-ORDER BY datea DESC, cmplid LIMIT 1000""")
+@query("complaints_by_component", R + """SELECT cmplid, datea FROM raw_bulk WHERE upper(compdesc) LIKE '%BOLT%'""")
 def complaints_by_component(spark, sf):
     return readers.complaints_by_component(landed(spark, sf), "bolt").select("cmplid", "datea")
 
 
 @query("high_severity_raw", R + """SELECT cmplid, datea FROM raw_bulk WHERE crash = 'Y' OR fire = 'Y' OR TRY_CAST(injured AS INT) > 0
-OR TRY_CAST(deaths AS INT) > 0 ORDER BY datea DESC, cmplid LIMIT 500""")
+OR TRY_CAST(deaths AS INT) > 0""")
 def high_severity_raw(spark, sf):
     return readers.high_severity_raw(landed(spark, sf)).select("cmplid", "datea")
 
@@ -395,7 +398,7 @@ def count_where(spark, sf):
     return readers.count_where(landed(spark, sf), "crash = 'Y' AND yeartxt = '9999'")
 
 
-@query("distinct_makes_raw", R + "SELECT DISTINCT maketxt FROM raw_bulk WHERE maketxt <> '' ORDER BY 1 LIMIT 1000")
+@query("distinct_makes_raw", R + "SELECT DISTINCT maketxt FROM raw_bulk WHERE maketxt <> ''")
 def distinct_makes_raw(spark, sf):
     return readers.distinct_makes_raw(landed(spark, sf))
 

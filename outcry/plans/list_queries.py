@@ -277,14 +277,12 @@ def count_by_plan(spark, sf):
 
 
 @query("org_profile", f"""WITH {ORGS_SQL}, {USERS_SQL},
-r AS (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY created_at DESC, user_id DESC) AS k FROM users)
-SELECT o.organization_id, name, plan, (SELECT count(*) FROM users u WHERE u.organization_id = o.organization_id) AS user_count,
-       coalesce((SELECT string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY k) FROM r WHERE r.organization_id = o.organization_id AND k <= 20), '') AS newest_users
-FROM orgs o""")
+n AS (SELECT organization_id, count(*) AS n FROM users GROUP BY 1)
+SELECT o.organization_id, o.name, o.plan, coalesce(n, 0) AS user_count, u.user_id, u.created_at AS user_since
+FROM orgs o LEFT JOIN n USING (organization_id) LEFT JOIN users u ON u.organization_id = o.organization_id""")
 def org_profile(spark, sf):
     out = joins.org_profile(orgs(spark, sf), users(spark, sf))
-    return out.select("organization_id", "name", "plan", "user_count",
-                      F.concat_ws(",", F.col("newest_users").cast("array<string>")).alias("newest_users"))
+    return out.select("organization_id", "name", "plan", "user_count", "user_id", "user_since")
 
 
 @query("user_with_org", f"""WITH {ORGS_SQL}, {USERS_SQL} SELECT user_id, u.organization_id, role, name, plan
@@ -371,8 +369,7 @@ def failed_logins(spark, sf):
     return filters.failed_logins(audit(spark, sf), "2024-01-30")
 
 
-@query("user_actions", f"""WITH {AUDIT_SQL} SELECT id, action, resource, created_at FROM audit WHERE user_id = 12
-ORDER BY created_at DESC, id DESC LIMIT 1000""")
+@query("user_actions", f"""WITH {AUDIT_SQL} SELECT id, action, resource, created_at FROM audit WHERE user_id = 12""")
 def user_actions(spark, sf):
     return filters.user_actions(audit(spark, sf), 12).select("id", "action", "resource", "created_at")
 

@@ -207,11 +207,9 @@ def anomaly_alerts(spark, sf):
 
 
 @query("pattern_anomalies", f"""WITH {COMPLAINTS_SQL}, {series_sql(84, AS_OF_TREND)}, {QUARTILES}, {ANOMALIES}
-SELECT key, wk, v, i, round(expected,6) AS expected, round(deviation,6) AS deviation, type FROM anomalies
-WHERE key LIKE 'Brand#2/%'""")
+SELECT key, wk, v, i, round(expected,6) AS expected, round(deviation,6) AS deviation, type FROM anomalies""")
 def pattern_anomalies(spark, sf):
-    only = complaints(spark, sf).where(F.col("cluster_id").startswith("Brand#2/"))
-    found = detect.detect_anomalies(series.weekly_counts(only, AS_OF_TREND))
+    found = detect.pattern_anomalies(complaints(spark, sf), None, AS_OF_TREND)
     return found.select("key", "wk", "v", "i", *r6("expected", "deviation"), "type")
 
 

@@ -259,7 +259,7 @@ FROM used WHERE resource = 'patterns' AND share >= 0.75
 UNION ALL SELECT organization_id, 'complaint-limit-' || level, level, CASE level WHEN 'critical' THEN 'Monthly Complaint Limit Almost Reached' ELSE 'Monthly Complaint Limit Warning' END,
   'You''ve generated ' || current || ' of ' || "limit" || ' complaints this month' FROM used WHERE resource = 'complaintsPerMonth' AND share >= 0.75
 UNION ALL SELECT organization_id, 'high-severity-patterns', 'warning', 'High-Severity Patterns Trending Up',
-  least(count(*), 5) || ' pattern(s) with severity ≥8 are showing upward trends' FROM tenant_patterns WHERE severity_score >= 8 AND trend_direction = 'INCREASING' GROUP BY 1
+  count(*) || ' pattern(s) with severity ≥8 are showing upward trends' FROM tenant_patterns WHERE severity_score >= 8 AND trend_direction = 'INCREASING' GROUP BY 1
 UNION ALL SELECT organization_id, 'draft-complaints', 'info', 'Draft Complaints Pending', 'You have ' || count(*) || ' draft complaints awaiting review'
 FROM documents_made WHERE status = 'DRAFT' GROUP BY 1 HAVING count(*) > 5""")
 def dashboard_alerts(spark, sf):
@@ -292,8 +292,7 @@ def when_sql(rules: list[tuple[str, str]], default: str) -> str:
 
 CASE_SQL = f"""WITH {PATTERNS_SQL.replace("make || ' ' || model AS name", "make || ' ' || model || CASE model WHEN 'PROMO' THEN ' Brake fade' WHEN 'ECONOMY' THEN ' engine stall' ELSE '' END AS name")},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY source_id, date_added) AS k FROM complaints),
-s AS (SELECT cluster_id, CAST(sum(injuries) AS BIGINT) AS injury_count, CAST(sum(deaths) AS BIGINT) AS death_count,
-  string_agg(description, '|' ORDER BY k) FILTER (k <= 5) AS excerpts FROM ranked WHERE k <= 50 GROUP BY 1),
+s AS (SELECT cluster_id, string_agg(description, '|' ORDER BY k) AS excerpts FROM ranked WHERE k <= 5 GROUP BY 1),
 t AS (SELECT cluster_id, count(*) AS n, count(*) FILTER (crash) AS cr, count(*) FILTER (fire) AS fi, CAST(sum(injuries) AS BIGINT) AS inj,
   CAST(sum(deaths) AS BIGINT) AS de FROM complaints GROUP BY 1)
 SELECT pattern_id, 'Class Action Complaint: ' || make || ' ' || model || ' ' || name AS title, make || ' ' || model || ' (' || year_start || '-' || year_end || ')' AS vehicle,
@@ -303,7 +302,7 @@ make || ' Motor Corporation' AS defendant, year_start, year_end,
 {when_sql([(f"severity_score >= {n}", v) for n, v in codes.CONSEQUENCES], codes.DEFAULT_CONSEQUENCE)} AS consequences,
 {when_sql([(f"complaint_count * 100 >= {n}", v + codes.CLASS_SIZE_SUFFIX) for n, v in codes.CLASS_SIZES], codes.CLASS_SIZE_DEFAULT + codes.CLASS_SIZE_SUFFIX)} AS class_size,
 complaint_count AS total_complaints, CAST(floor(complaint_count * 0.3::DOUBLE) AS BIGINT) AS crash_complaints,
-CAST(floor(complaint_count * 0.05::DOUBLE) AS BIGINT) AS fire_complaints, injury_count, death_count, excerpts AS representative_complaints,
+CAST(floor(complaint_count * 0.05::DOUBLE) AS BIGINT) AS fire_complaints, inj AS injury_count, de AS death_count, excerpts AS representative_complaints,
 n AS true_total, cr AS true_crashes, fi AS true_fires, inj AS true_injuries, de AS true_deaths
 FROM patterns JOIN s ON s.cluster_id = pattern_id JOIN t ON t.cluster_id = pattern_id"""
 

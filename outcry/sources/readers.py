@@ -53,24 +53,24 @@ def newest(raw: DataFrame, limit: int | None) -> DataFrame:
     return out if limit is None else out.limit(limit)
 
 
-def complaints_since(raw: DataFrame, day: str, limit: int | None = 1000) -> DataFrame:
+def complaints_since(raw: DataFrame, day: str, limit: int | None = None) -> DataFrame:
     """Filed after ``day`` (yyyymmdd), newest first."""
     return newest(raw.where(F.col("datea") > day), limit)
 
 
-def complaints_in_range(raw: DataFrame, first: str, last: str, limit: int | None = 10000) -> DataFrame:
+def complaints_in_range(raw: DataFrame, first: str, last: str, limit: int | None = None) -> DataFrame:
     return newest(raw.where(F.col("datea").between(first, last)), limit)
 
 
-def complaints_by_make(raw: DataFrame, make: str, limit: int | None = 1000) -> DataFrame:
+def complaints_by_make(raw: DataFrame, make: str, limit: int | None = None) -> DataFrame:
     return newest(raw.where(F.upper("maketxt") == make.upper()), limit)
 
 
-def complaints_by_component(raw: DataFrame, component: str, limit: int | None = 1000) -> DataFrame:
+def complaints_by_component(raw: DataFrame, component: str, limit: int | None = None) -> DataFrame:
     return newest(raw.where(F.upper("compdesc").contains(component.upper())), limit)
 
 
-def high_severity_raw(raw: DataFrame, limit: int | None = 500) -> DataFrame:
+def high_severity_raw(raw: DataFrame, limit: int | None = None) -> DataFrame:
     bad = (F.col("crash") == "Y") | (F.col("fire") == "Y") | positive(F.col("injured")) | positive(F.col("deaths"))
     return newest(raw.where(bad), limit)
 
@@ -79,5 +79,6 @@ def count_where(raw: DataFrame, where: Column | str | None = None) -> DataFrame:
     return (raw if where is None else raw.where(where)).agg(F.count("*").alias("count"))
 
 
-def distinct_makes_raw(raw: DataFrame, limit: int = 1000) -> DataFrame:
-    return raw.select("maketxt").where(F.col("maketxt") != "").distinct().orderBy("maketxt").limit(limit)
+def distinct_makes_raw(raw: DataFrame, limit: int | None = None) -> DataFrame:
+    out = raw.select("maketxt").where(F.col("maketxt") != "").distinct().orderBy("maketxt")
+    return out if limit is None else out.limit(limit)
