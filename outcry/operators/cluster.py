@@ -22,74 +22,63 @@ SIMILARITY, MIN_SIZE, BATCH = 0.75, 5, 1000
 # ---- greedy clusters ----------------------------------------------------------------------------------------------
 
 
-def greedy_pass(m: np.ndarray, threshold: float, weights: np.ndarray | None = None) -> np.ndarray:
-    """Cluster number of each row, taken in order: the cluster whose current centroid is most similar, if above the
-    threshold, else a new one. A running sum stands for the centroid, as cosine ignores length."""
-    weights = np.ones(len(m)) if weights is None else weights
-    sums = np.empty_like(m)
-    lengths = np.empty(len(m))
-    own = np.sqrt(np.einsum("ij,ij->i", m, m))
+def leader_pass(m: np.ndarray, threshold: float) -> np.ndarray:
+    """Row that leads each row, rows taken in order: the first leader so far that is similar above the threshold, else
+    the row itself, which leads from then on."""
+    m = unit(m)
+    leaders = np.empty_like(m)
+    rows = np.empty(len(m), dtype=int)
     label = np.empty(len(m), dtype=int)
     used = 0
     for r in range(len(m)):
-        best = -1
-        if used and own[r] > 0:
-            sims = np.divide(sums[:used] @ m[r], lengths[:used] * own[r], out=np.zeros(used), where=lengths[:used] > 0)
-            top = int(np.argmax(sims))
-            if sims[top] > threshold and sims[top] > 0:
-                best = top
-        if best < 0:
-            best, used = used, used + 1
-            sums[best] = 0.0
-        sums[best] += weights[r] * m[r]
-        lengths[best] = math.sqrt(float(sums[best] @ sums[best]))
-        label[r] = best
+        near = similar(leaders[:used] @ m[r], threshold)
+        if near.any():
+            label[r] = rows[np.argmax(near)]
+        else:
+            leaders[used], rows[used], label[r], used = m[r], r, r, used + 1
     return label
 
 
+def similar(sims: np.ndarray, threshold: float) -> np.ndarray:
+    """Rounded, so that the order of a sum decides nothing."""
+    return np.round(sims, 9) > max(threshold, 0.0)
+
+
 def greedy_clusters(vectors: DataFrame, *, id_col: str = "id", vec: str = "embedding", block: list[str] | None = None,
-                    threshold: float = SIMILARITY, batch: int = BATCH, weight: str | None = None) -> DataFrame:
+                    threshold: float = SIMILARITY, batch: int = BATCH) -> DataFrame:
     """``(id, leader)`` for every row with a vector; ``leader`` is the first member of the row's cluster.
 
-    Rows meet only inside their block. A block of up to ``batch`` rows is clustered in id order with moving centroids,
-    exactly as one sequential pass. A larger block takes rounds: its first ``batch`` rows are clustered that way, all
-    other rows join those clusters in parallel where similar enough, and what is left enters the next round. No task
-    holds more than ``batch`` leaders and one chunk of rows, whatever the size of a block.
+    Rows meet only inside their block, in the order of their ids: a row joins the first leader whose vector is similar
+    above ``threshold``, and leads itself where there is none. The work goes in rounds. The first ``batch`` rows that are
+    left find their leaders one after another; all other rows that are similar to one of those leaders join the first of
+    them in parallel. Rows that stay are similar to no leader so far, so the next round goes on as if there had been no
+    cut: the result depends on neither ``batch`` nor the partitioning. No task holds more than ``batch`` leaders and one
+    chunk of rows, whatever the size of a block.
     """
     spark = vectors.sparkSession
     id_type = vectors.schema[id_col].dataType
     arrow_id = to_arrow_type(id_type)
     cell = F.xxhash64(*block) if block else F.lit(0).cast("long")
     pending = vectors.where(F.col(vec).isNotNull()).select(
-        F.col(id_col).alias("id"), cell.alias("cell"), F.transform(vec, lambda x: x.cast("double")).alias("v"),
-        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+        F.col(id_col).alias("id"), cell.alias("cell"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
     seed_schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("id", id_type),
                                 T.StructField("leader", id_type), T.StructField("centre", T.ArrayType(T.DoubleType()))])
     join_schema = T.StructType([T.StructField("id", id_type), T.StructField("leader", id_type)])
 
     def seed(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("id")
-        m = matrix(rows.column("v"))
-        w = rows.column("w").to_numpy()
-        label = greedy_pass(m, threshold, w)
-        ids = rows.column("id").to_pylist()
-        first, centre = {}, {}
-        for r, c in enumerate(label):
-            first.setdefault(c, r)
-            centre[c] = centre.get(c, 0.0) + w[r] * m[r]
+        label = leader_pass(matrix(rows.column("v")), threshold)
+        ids, v = rows.column("id").to_pylist(), rows.column("v").to_pylist()
         return pa.table({
-            "cell": rows.column("cell"), "id": rows.column("id"),
-            "leader": pa.array([ids[first[c]] for c in label], arrow_id),
-            "centre": pa.array([centre[c].tolist() if first[c] == r else None for r, c in enumerate(label)],
-                               pa.list_(pa.float64()))})
+            "cell": rows.column("cell"), "id": rows.column("id"), "leader": pa.array([ids[c] for c in label], arrow_id),
+            "centre": pa.array([v[r] if c == r else None for r, c in enumerate(label)], pa.list_(pa.float64()))})
 
     def adopt(rows: pa.Table, leaders: pa.Table) -> pa.Table:
         if not rows.num_rows or not leaders.num_rows:
             return pa.table({"id": pa.array([], arrow_id), "leader": pa.array([], arrow_id)})
         leaders = leaders.sort_by("leader")
-        sims = unit(matrix(rows.column("v"))) @ unit(matrix(leaders.column("centre"))).T
-        top = sims.argmax(axis=1)
-        keep = sims[np.arange(len(top)), top] > max(threshold, 0.0)
+        near = similar(unit(matrix(rows.column("v"))) @ unit(matrix(leaders.column("centre"))).T, threshold)
+        top, keep = near.argmax(axis=1), near.any(axis=1)
         names = leaders.column("leader").to_pylist()
         return pa.table({"id": rows.column("id").filter(pa.array(keep)),
                          "leader": pa.array([names[t] for t, k in zip(top, keep) if k], arrow_id)})
@@ -99,7 +88,7 @@ def greedy_clusters(vectors: DataFrame, *, id_col: str = "id", vec: str = "embed
         pending = cut_lineage(pending)
         if pending.isEmpty():
             break
-        seeds = top_per_group(pending, "cell", [F.asc("id")], batch).select("cell", "id", "v", "w")
+        seeds = top_per_group(pending, "cell", [F.asc("id")], batch).select("cell", "id", "v")
         seeded = cut_lineage(seeds.groupBy("cell").applyInArrow(seed, seed_schema))
         rest = pending.join(seeded.select("id"), "id", "left_anti")
         chunks = rest.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("chunks"))
@@ -132,28 +121,20 @@ def plane_cells(df: DataFrame, vec: str, bits: int, seed: int) -> DataFrame:
 
 
 def leader_clusters(vectors: DataFrame, *, id_col: str = "id", vec: str = "embedding", threshold: float = SIMILARITY,
-                    batch: int = BATCH, merges: int = 2, seed: int = 42) -> DataFrame:
-    """Greedy clusters over a whole table of any size.
+                    batch: int = BATCH, bits: int = 0, merges: int = 2, seed: int = 42) -> DataFrame:
+    """Greedy clusters over a whole table, inside ``2 ** bits`` cells of fixed random planes.
 
-    A table of at most ``batch`` rows gives exactly the sequential result. A larger one is first clustered inside cells
-    of random planes; the centroids are then clustered again across other planes, which joins what a plane had cut.
+    The leaders of all cells are then clustered again, ``merges`` times, in cells of other planes, which joins what a
+    plane had cut. The number of cells is the caller's choice and never follows the row count; without cells the result
+    is that of ``greedy_clusters``.
     """
     present = vectors.where(F.col(vec).isNotNull()).select(id_col, vec)
-    total = present.count()
-
-    def bits_for(n: int) -> int:
-        return max(0, math.ceil(math.log2(max(1, n) / batch)))
-
-    celled = plane_cells(present, vec, bits_for(total), seed)
-    assigned = cut_lineage(greedy_clusters(celled, id_col=id_col, vec=vec, block=["cell_"], threshold=threshold, batch=batch))
-    if total <= batch:
-        return assigned
-    for step in range(merges):
-        centres = cut_lineage(vector_mean(assigned.join(present, id_col), "leader", vec))
-        celled = plane_cells(centres, "centroid", bits_for(centres.count()), seed + 1 + step)
-        merged = greedy_clusters(celled.withColumnRenamed("leader", "old"), id_col="old", vec="centroid", block=["cell_"],
-                                 threshold=threshold, batch=batch, weight="members") \
-            .select(F.col("old").alias("leader"), F.col("leader").alias("leader_new"))
+    assigned = cut_lineage(greedy_clusters(plane_cells(present, vec, bits, seed), id_col=id_col, vec=vec, block=["cell_"], threshold=threshold, batch=batch))
+    for step in range(merges if bits else 0):
+        leaders = assigned.select(F.col("leader").alias(id_col)).distinct().join(present, id_col)
+        celled = plane_cells(leaders, vec, bits, seed + 1 + step)
+        merged = greedy_clusters(celled, id_col=id_col, vec=vec, block=["cell_"], threshold=threshold, batch=batch) \
+            .select(F.col(id_col).alias("leader"), F.col("leader").alias("leader_new"))
         # One row per cluster on this side; the row side may hold one huge cluster, hence the salt.
         assigned = cut_lineage(salted_join(assigned, merged, "leader", F.col(id_col)).select(id_col, F.col("leader_new").alias("leader")))
     return assigned

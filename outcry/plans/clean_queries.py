@@ -483,7 +483,7 @@ def export_result(spark, sf):
 
 
 def digest_sql(name: str, rows: str, columns: list[str]) -> str:
-    text_ = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    text_ = " || ".join(f"CASE WHEN {c} IS NULL THEN 'n' ELSE length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in columns)
     sql = f"""SELECT h AS p, sha256(h || ':' || count(*)) AS d, count(*) AS c FROM (SELECT sha256({text_}) AS h FROM ({rows})) GROUP BY h"""
     for n in writers.PREFIXES:
         sql = f"SELECT substr(p, 1, {n}) AS p, sha256(string_agg(d, '' ORDER BY p)) AS d, CAST(sum(c) AS BIGINT) AS c FROM ({sql}) GROUP BY substr(p, 1, {n})"
@@ -493,10 +493,12 @@ def digest_sql(name: str, rows: str, columns: list[str]) -> str:
 @query("export_with_manifest", f"WITH {DOCUMENTS_SQL}, {AUDIT_SQL} " + digest_sql(
     "documents", "SELECT * FROM documents_made WHERE organization_id = 3 AND created_at >= TIMESTAMP '1996-01-01' AND created_at <= TIMESTAMP '2000-01-01'",
     ["document_id", "pattern_id", "title", "status"]) + " UNION ALL " + digest_sql(
-    "audit", "SELECT * FROM audit WHERE organization_id = 3", ["id", "user_id", "action", "resource", "resource_id"]))
+    "audit", "SELECT * FROM audit WHERE organization_id = 3", ["id", "user_id", "action", "resource", "resource_id"])
+    + " UNION ALL SELECT 'nothing', 0, sha256('')")
 def export_with_manifest(spark, sf):
     docs = writers.export_scope(documents(spark, sf), 3, "1996-01-01", "2000-01-01")
     log = writers.export_scope(audit(spark, sf), 3)
     return writers.export_with_manifest({
         "documents": (docs, ["document_id", "pattern_id", "title", "status"]),
-        "audit": (log, ["id", "user_id", "action", "resource", "resource_id"])}, scratch_path(spark, "manifest"))
+        "audit": (log, ["id", "user_id", "action", "resource", "resource_id"]),
+        "nothing": (docs.limit(0), ["document_id"])}, scratch_path(spark, "manifest"))

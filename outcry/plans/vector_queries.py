@@ -97,20 +97,39 @@ def assign_to_cluster(spark, sf):
     return vectors.assign_to_cluster(rows, centres, 0.2, id_col="vec_id").select("vec_id", "cluster_id", *r6("similarity"))
 
 
-@query("greedy_clusters")
+def leaders_sql(block: str) -> str:
+    """(vec_id, leader) by the plain loop over the ids of each block."""
+    return f"""pos AS (SELECT vec_id, embedding, {block} AS block, row_number() OVER (PARTITION BY {block} ORDER BY vec_id) AS i FROM embeddings),
+sizes AS (SELECT block, count(*) AS n FROM pos GROUP BY 1),
+near AS (SELECT b.block, b.i, list(a.i ORDER BY a.i) AS l FROM pos a JOIN pos b ON a.block = b.block AND a.i < b.i
+  WHERE round({cos('a.embedding', 'b.embedding')}, 9) > {THR} GROUP BY 1, 2),
+step(block, i, leaders) AS (SELECT block, 0::BIGINT, []::BIGINT[] FROM sizes UNION ALL
+  SELECT s.block, s.i + 1, CASE WHEN len(list_intersect(coalesce(n.l, []::BIGINT[]), s.leaders)) > 0 THEN s.leaders ELSE list_append(s.leaders, s.i + 1) END
+  FROM step s JOIN sizes z ON z.block = s.block AND s.i < z.n LEFT JOIN near n ON n.block = s.block AND n.i = s.i + 1),
+led AS (SELECT p.vec_id, p.block, coalesce(list_min(list_intersect(n.l, s.leaders)), p.i) AS first
+  FROM pos p JOIN sizes z USING (block) JOIN step s ON s.block = p.block AND s.i = z.n LEFT JOIN near n ON n.block = p.block AND n.i = p.i),
+asg AS (SELECT led.vec_id, pos.vec_id AS leader FROM led JOIN pos ON pos.block = led.block AND pos.i = led.first),
+members AS (SELECT leader, count(*) AS size FROM asg GROUP BY 1)"""
+
+
+MEMBERS_SQL = "SELECT vec_id, CASE WHEN size >= 2 THEN leader END AS cluster_id, size, size < 2 AS noise FROM asg JOIN members USING (leader)"
+
+
+@query("greedy_clusters", f"WITH RECURSIVE {leaders_sql('label')} {MEMBERS_SQL}")
 def greedy_clusters(spark, sf):
     """Greedy clusters inside each label."""
     found = cluster.greedy_clusters(vecs(spark, sf), id_col="vec_id", block=["label"], threshold=THR)
     return cluster.cluster_members(found, 2, "vec_id")
 
 
-@query("leader_clusters")
+@query("leader_clusters", f"WITH RECURSIVE {leaders_sql('0')} {MEMBERS_SQL}")
 def leader_clusters(spark, sf):
     found = cluster.leader_clusters(vecs(spark, sf), id_col="vec_id", threshold=THR)
     return cluster.cluster_members(found, 2, "vec_id")
 
 
-@query("cluster_summary")
+@query("cluster_summary", f"""WITH RECURSIVE {leaders_sql('0')} SELECT count(*) FILTER (size >= 2) AS clusters,
+CAST(coalesce(sum(size) FILTER (size < 2), 0) AS BIGINT) AS noise_count, CAST(sum(size) AS BIGINT) AS total_processed FROM members""")
 def cluster_summary(spark, sf):
     return cluster.cluster_summary(cluster.leader_clusters(vecs(spark, sf), id_col="vec_id", threshold=THR), 2)
 

@@ -36,9 +36,11 @@ PREFIXES = [9, 6, 3, 0]
 def integrity_digest(rows: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
     """Record count and digest per group, independent of row order and partitioning.
 
-    Equal rows become one leaf with a count, so copies of one row never pile up in a list.
+    Equal rows become one leaf with a count, so copies of one row never pile up in a list. Each value goes in with its
+    length, a null as a mark of its own, so no two different rows give one text.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    values = [F.col(c).cast("string") for c in columns]
+    text = F.concat(*[F.when(v.isNull(), "n").otherwise(F.concat(F.length(v).cast("string"), F.lit(":"), v)) for v in values])
     leaves = (rows.select(*group, F.sha2(text, 256).alias("h")).groupBy(*group, "h").agg(F.count("*").alias("c"))
               .select(*group, "h", F.sha2(F.concat("h", F.lit(":"), F.col("c").cast("string")), 256).alias("d"), "c"))
     nodes = leaves.withColumn("prefix", F.col("h"))
@@ -52,7 +54,7 @@ def integrity_digest(rows: DataFrame, group: list[str], columns: list[str]) -> D
 
 def export_with_manifest(resources: dict[str, tuple[DataFrame, list[str]]], path: str | None = None,
                          fmt: str = "json") -> DataFrame:
-    """Write each resource and return its manifest: records and digest per resource. ``resources`` maps a name to its
+    """Write each resource and return its manifest: records and digest per resource, of an empty one too. ``resources`` maps a name to its
     rows and the columns that enter the digest."""
     manifest = None
     for name, (rows, columns) in resources.items():
@@ -61,4 +63,9 @@ def export_with_manifest(resources: dict[str, tuple[DataFrame, list[str]]], path
         part = integrity_digest(rows.withColumn("export_name", F.lit(name)), ["export_name"], columns)
         part = part.withColumnRenamed("export_name", "resource")
         manifest = part if manifest is None else manifest.unionByName(part)
-    return manifest
+    if manifest is None:
+        raise ValueError("nothing to export")
+    names = manifest.sparkSession.createDataFrame([(name,) for name in resources], "resource string")
+    empty = F.sha2(F.lit(""), 256)
+    return names.join(manifest, "resource", "left").select(
+        "resource", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("digest", empty).alias("digest"))

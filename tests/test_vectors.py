@@ -93,28 +93,32 @@ def test_inactive_patterns_and_sample(spark):
 
 
 def sequential(m, threshold):
-    """The plain loop: join the most similar centroid above the threshold, else start a cluster."""
-    groups = []
-    for i, v in enumerate(m.astype(np.float64)):
-        best, best_sim = None, 0.0
-        for g in groups:
-            c = np.mean(m[g].astype(np.float64), axis=0)
-            sim = float(v @ c / (np.linalg.norm(v) * np.linalg.norm(c)))
-            if sim > threshold and sim > best_sim:
-                best, best_sim = g, sim
-        if best is None:
-            groups.append([i])
-        else:
-            best.append(i)
-    return {i: g[0] for g in groups for i in g}
-
-
-def test_greedy_equals_the_loop(spark):
+    """The plain loop: join the first leader that is similar above the threshold, else lead."""
+    m = m.astype(np.float64)
+    leaders, found = [], {}
+    for i, v in enumerate(m):
+        near = [j for j in leaders if round(float(v @ m[j] / (np.linalg.norm(v) * np.linalg.norm(m[j]))), 9) > threshold]
+        found[i] = near[0] if near else i
+        if not near:
+            leaders.append(i)
+    return found
+
+
+@pytest.mark.parametrize("batch", [1000, 17])
+def test_greedy_equals_the_loop(spark, batch):
     m, _ = planted(250, noise=0.6)
-    got = {r["id"]: r["leader"] for r in cluster.greedy_clusters(frame(spark, m).repartition(7), threshold=0.75).collect()}
+    got = {r["id"]: r["leader"] for r in cluster.greedy_clusters(frame(spark, m).repartition(7), threshold=0.75, batch=batch).collect()}
     assert got == sequential(m, 0.75)
 
 
+def test_clusters_do_not_depend_on_batch_or_partitions(spark):
+    m, _ = planted(300, noise=0.5)
+    m = np.concatenate([m, m[:100]])
+    runs = [{r["id"]: r["leader"] for r in cluster.leader_clusters(frame(spark, m).repartition(p), threshold=0.6, batch=b, bits=2).collect()} for p, b in ((1, 1000), (5, 60), (3, 200))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 400
+    assert all(runs[0][300 + i] == runs[0][i] for i in range(100))
+
+
 def test_greedy_small_cases(spark):
     df = frame(spark, [[0.1, 0.2, 0.3], [0.11, 0.21, 0.31], [0.9, 0.8, 0.7], [0.91, 0.81, 0.71]])
     for threshold, clusters in ((0.8, 1), (0.95, 2)):
@@ -139,12 +143,12 @@ def test_greedy_inside_blocks(spark):
 
 def test_leader_rounds_find_planted_groups(spark):
     m, pick = planted(600, noise=0.2)
-    found = {r["id"]: r["leader"] for r in cluster.leader_clusters(frame(spark, m), threshold=0.75, batch=40).collect()}
+    found = {r["id"]: r["leader"] for r in cluster.leader_clusters(frame(spark, m), threshold=0.75, batch=40, bits=3).collect()}
     assert sorted(found) == list(range(600))
     # Rows of one planted group share a cluster, nearly always, and clusters never mix groups.
     for leader in set(found.values()):
         assert len({pick[i] for i, l in found.items() if l == leader}) == 1
-    assert len(set(found.values())) <= 12
+    assert len(set(found.values())) <= 40
 
 
 def components(m, threshold):
