@@ -291,9 +291,10 @@ def cluster_topics(df: DataFrame, k: int = 5, *, cluster: str = "cluster_id", te
     counts = df.select(F.col(cluster).alias("cluster"), words.alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("tf"))
     size = counts.groupBy("cluster").agg(F.sum("tf").alias("words"))
     freq = counts.groupBy("term").agg(F.sum("tf").alias("freq"))
-    average = size.agg(F.avg("words").alias("avg_words")).withColumn("one", F.lit(1))
-    scored = (counts.join(freq, "term").join(size, "cluster").withColumn("one", F.lit(1)).join(F.broadcast(average), "one")
-              .withColumn("score", F.round(F.col("tf") / F.col("words") * F.log1p(F.col("avg_words") / F.col("freq")), 9)))
+    average = size.agg(F.avg("words")).scalar()
+    # a term may stand in every cluster and a cluster may hold most terms, so both sides of single rows are salted
+    known = salted_join(salted_join(counts, freq, "term", F.col("cluster")), size, "cluster", F.col("term"))
+    scored = known.withColumn("score", F.round(F.col("tf") / F.col("words") * F.log1p(average / F.col("freq")), 9))
     return top_per_group(scored, "cluster", [F.desc("score"), F.asc("term")], k).select(
         "cluster", F.col("rank_in_group").cast("long").alias("rank"), "term", "tf", "score")
 

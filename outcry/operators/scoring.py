@@ -73,11 +73,9 @@ def severity_score(patterns: DataFrame, complaints: DataFrame, weights: dict | N
         .transform(with_score, weights)
     )
     if normalize == "0-10":
-        one = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).withColumn("one", F.lit(1))
-        scored = (scored.withColumn("one", F.lit(1)).join(F.broadcast(one), "one")
-                  .withColumn("score_10", F.coalesce((F.col("score") - F.col("lo")) * 10
-                                                     / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.0)))
-                  .drop("one", "lo", "hi"))
+        range_ = scored.agg(F.struct(F.min("score").alias("lo"), F.max("score").alias("hi")).alias("r")).scalar()
+        lo, hi = range_["lo"], range_["hi"]
+        scored = scored.withColumn("score_10", F.coalesce((F.col("score") - lo) * 10 / F.nullif(hi - lo, F.lit(0.0)), F.lit(0.0)))
     return scored
 
 

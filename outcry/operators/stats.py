@@ -90,9 +90,7 @@ def dashboard_stats(patterns: DataFrame, complaints: DataFrame, documents: DataF
         org, *[F.coalesce(c, F.lit(0)).alias(c) for c in
                ("total_patterns", "high_severity_patterns", "upward_trend_patterns", "recent_patterns",
                 "generated_documents")])
-    # The one-row side carries a constant key, so this is an equi-join with a single small build row.
-    return (joined.withColumn("one", F.lit(1))
-            .join(F.broadcast(everywhere.withColumn("one", F.lit(1))), "one").drop("one"))
+    return joined.withColumns({c: everywhere.select(c).scalar() for c in everywhere.columns})
 
 
 def embedding_coverage(vectors: DataFrame, vec: str = "embedding") -> DataFrame:

@@ -93,7 +93,13 @@ def _nearest(left_ids, left, right_ids, right, k, skip_same):
         for row, name in enumerate(left_ids):
             sims[row, where.get(name, [])] = -np.inf
     take = min(k, sims.shape[1])
-    order = np.argsort(-sims, axis=1, kind="stable")[:, :take]
+    if take < sims.shape[1]:  # only what reaches the k-th best is put in order
+        bound = np.partition(sims, sims.shape[1] - take, axis=1)[:, sims.shape[1] - take]
+        most = int((sims >= bound[:, None]).sum(axis=1).max())
+        some = np.sort(np.argpartition(-sims, most - 1, axis=1)[:, :most], axis=1) if most < sims.shape[1] else np.broadcast_to(np.arange(sims.shape[1]), sims.shape)
+        order = np.take_along_axis(some, np.argsort(-np.take_along_axis(sims, some, axis=1), axis=1, kind="stable")[:, :take], axis=1)
+    else:
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :take]
     rows = np.repeat(np.arange(len(left)), take)
     cols = order.ravel()
     values = sims[rows, cols]
@@ -183,21 +189,20 @@ def assign_to_cluster(rows: DataFrame, centroids: DataFrame, min_similarity: flo
 # ---- inverted lists -----------------------------------------------------------------------------------------------
 
 
-def build_lists(df: DataFrame, path: str, lists: int = 100, *, id_col: str = "id", vec: str = "embedding", seed: int = 42,
-                train_rows: int = 200_000) -> DataFrame:
+def build_lists(df: DataFrame, path: str, lists: int = 100, *, id_col: str = "id", vec: str = "embedding", seed: int = 42) -> DataFrame:
     """Write the vectors in one folder per list and return the list centres.
 
-    The centres are learned on a sample whose size does not grow with the table; every row is then filed.
+    The centres are learned on all rows. A zero vector has no direction: it is no part of that and is filed in list 0.
     """
     from pyspark.ml.clustering import KMeans
 
     present = df.where(F.col(vec).isNotNull())
-    total = present.count()
-    units = present.select(id_col, vec, array_to_vector(
+    zero = ~F.exists(vec, lambda x: x != 0)
+    units = present.where(~zero).select(id_col, vec, array_to_vector(
         F.transform(vec, lambda x: x.cast("double"))).alias("features"))
-    train = units if total <= train_rows else units.sample(train_rows / total, seed)
-    model = KMeans(k=min(lists, max(1, total)), seed=seed, maxIter=10, distanceMeasure="cosine").fit(train)
-    model.transform(units).select(id_col, vec, F.col("prediction").alias("list")) \
+    model = KMeans(k=min(lists, max(1, units.count())), seed=seed, maxIter=10, distanceMeasure="cosine").fit(units)
+    filed = model.transform(units).select(id_col, vec, F.col("prediction").alias("list"))
+    filed.unionByName(present.where(zero).select(id_col, vec, F.lit(0).alias("list"))) \
         .write.mode("overwrite").partitionBy("list").parquet(path)
     centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return df.sparkSession.createDataFrame(centres, "list int, centroid array<double>")

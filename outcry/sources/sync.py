@@ -25,12 +25,10 @@ def sync_incremental(raw: DataFrame, target: DataFrame, as_of, order: list[Colum
                      key: str = "source_id", default_days: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows to append, rejected rows, status) of the records after the newest row of ``target``.
 
-    The high-water mark stays inside the plan. Nothing is capped, so a large backlog is taken whole.
+    The high-water mark is a scalar of the plan, so it reaches the scan of the feed. Nothing is capped, so a large backlog is taken whole.
     """
-    mark = target.agg(F.coalesce(F.max("date_added"), ntz(as_of) - F.expr(f"interval {default_days} days")).alias("mark"),
-                      F.lit(1).alias("one"))
-    marked = raw.withColumn("one", F.lit(1)).join(F.broadcast(mark), "one")
-    fetched = marked.where(F.col("datea") > F.date_format("mark", "yyyyMMdd")).drop("one", "mark")
+    mark = target.agg(F.coalesce(F.max("date_added"), ntz(as_of) - F.expr(f"interval {default_days} days")).alias("mark"))
+    fetched = raw.where(F.col("datea") > mark.select(F.date_format("mark", "yyyyMMdd")).scalar())
     checked = check_bulk(fetched)
     new, bad = insert_new(good(checked), target, key, order), quarantine(checked)
     status = one_row(
