@@ -282,12 +282,19 @@ def similarity_components(vectors: DataFrame, threshold: float = SIMILARITY, min
 
 # ---- descriptions -------------------------------------------------------------------------------------------------
 
+# Words that say nothing about a cluster; give others for other languages.
+STOP_WORDS = ("about", "after", "all", "also", "and", "any", "are", "but", "can", "for", "from", "had", "has", "have", "her", "his", "into", "its",
+              "not", "our", "out", "she", "that", "the", "their", "them", "then", "there", "they", "this", "was", "were", "when", "which", "who",
+              "will", "with", "would", "you", "your")
+
 
 def cluster_topics(df: DataFrame, k: int = 5, *, cluster: str = "cluster_id", text: str = "description",
-                   min_letters: int = 3) -> DataFrame:
+                   min_letters: int = 3, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """Top ``k`` terms per cluster by class-based tf-idf: share of the term in the cluster times
-    log(1 + average words per cluster / frequency of the term)."""
-    words = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"[a-z]{{{min_letters},}}"), F.lit(0)))
+    log(1 + average words per cluster / frequency of the term). Terms are runs of letters of any script that are no stop
+    words."""
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"\\p{{L}}{{{min_letters},}}"), F.lit(0))
+    words = F.explode(F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found)
     counts = df.select(F.col(cluster).alias("cluster"), words.alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("tf"))
     size = counts.groupBy("cluster").agg(F.sum("tf").alias("words"))
     freq = counts.groupBy("term").agg(F.sum("tf").alias("freq"))

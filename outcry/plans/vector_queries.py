@@ -183,8 +183,10 @@ def reduce_dimensions(spark, sf):
     return vectors.reduce_dimensions(vecs(spark, sf), 16, id_col="vec_id")
 
 
-@query("cluster_topics", """WITH words AS (SELECT lang AS cluster, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents),
-counts AS (SELECT cluster, term, count(*) AS tf FROM words GROUP BY 1, 2),
+@query("cluster_topics", """WITH words AS (SELECT lang AS cluster, unnest(regexp_extract_all(lower(text), '\\p{L}{3,}')) AS term FROM documents),
+counts AS (SELECT cluster, term, count(*) AS tf FROM words WHERE term NOT IN ('about', 'after', 'all', 'also', 'and', 'any', 'are', 'but', 'can', 'for',
+  'from', 'had', 'has', 'have', 'her', 'his', 'into', 'its', 'not', 'our', 'out', 'she', 'that', 'the', 'their', 'them', 'then', 'there', 'they', 'this',
+  'was', 'were', 'when', 'which', 'who', 'will', 'with', 'would', 'you', 'your') GROUP BY 1, 2),
 size AS (SELECT cluster, sum(tf) AS words FROM counts GROUP BY 1), freq AS (SELECT term, sum(tf) AS freq FROM counts GROUP BY 1),
 scored AS (SELECT cluster, term, tf, round(tf::DOUBLE / words * ln(1 + (SELECT avg(words) FROM size) / freq), 9) AS score
            FROM counts JOIN size USING (cluster) JOIN freq USING (term))
