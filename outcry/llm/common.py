@@ -31,6 +31,14 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt: Column, how: str = "inner", salts: int = 16) -> DataFrame:
     """Join where one key of ``big`` may hold a large part of all rows and ``small`` has a row for each key, which is repeated."""
     left = big.withColumn("salt_", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))

@@ -234,8 +234,9 @@ def uncontaminated(
 ) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns as they are."""
     place = docs.columns.index(text_col)
-    spec = T.StructType([*docs.schema.fields, T.StructField("marks_", T.BinaryType())])
-    passing = docs.withColumn("marks_", F.lit(None).cast("binary"))
+    name = common.free_name(docs, "marks")
+    spec = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
+    passing = docs.withColumn(name, F.lit(None).cast("binary"))
 
     def through(shared, last: bool):
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,11 +251,11 @@ def uncontaminated(
                 if last:
                     yield batch.filter(pa.array(clean, pa.bool_()))
                 else:
-                    yield batch.set_column(batch.num_columns - 1, "marks_", pa.array(marked, pa.binary()))
+                    yield batch.set_column(batch.num_columns - 1, name, pa.array(marked, pa.binary()))
 
         return stream
 
     shared = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, per_automaton)]
     for i, one in enumerate(shared):
         passing = passing.mapInArrow(through(one, i + 1 == len(shared)), spec)
-    return passing.drop("marks_")
+    return passing.drop(name)
