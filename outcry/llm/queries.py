@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outcry.llm import ann, dart_dedup, decontaminate, html_text, packing, pii, token_count, token_file, toxicity, warc
+from outcry.llm import ann, dart_dedup, decontaminate, html_text, oracles, packing, pii, token_count, token_file, toxicity, warc
 from outcry.llm.common import crc, table, tokenizer_path, written
 from outcry.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_near_duplicates": oracles.NEAR_DUPLICATES, "op5_warc": oracles.WARC, "op6_main_text": oracles.MAIN_TEXT, "op10_decontaminate": oracles.DECONTAMINATION}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
