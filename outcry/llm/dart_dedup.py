@@ -8,10 +8,11 @@ probability of their weighted Jaccard similarity.
 
 Documents with equal weighted sets are one node. A bucket holds the nodes that agree in all ROWS coordinates of a band. In
 each bucket every node is held against the smallest one; links are checked exactly on the texts and joined to components.
-Buckets that still hold several components are looked at once more: each pair of nodes in different components is checked
-if their lengths and a sketch (a bit of each coordinate) leave a similarity of ``threshold`` possible; the bounds are those of
-four standard deviations. Pairs inside a component are already one class, so they need no check: no link between different
-texts that share a bucket is lost, and a group of n copies costs n checks for each band at most.
+Buckets that still hold several components are looked at once more, in blocks: nodes outside the largest component meet all
+nodes of the bucket, and each pair in different components is checked, once, if lengths and sketches leave a similarity of
+``threshold`` possible. Sketches hold a byte of each of LONG further coordinates, made for the nodes that share a bucket. That bound is three standard deviations below the agreement expected; pairs
+inside a component are already one class and need no check. So links between different texts are lost only as signatures lose
+them, and a group of n copies costs n checks for each band at most.
 
 Words are runs of letters, digits and characters beyond ASCII, in lower case. A text of fewer words is one shingle; texts
 without a word, empty and null ones, are classes of their own. Rows without id join a class only by equal sets. Repeated ids
@@ -25,7 +26,7 @@ from math import ceil, log, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outcry.llm import common
@@ -33,6 +34,10 @@ from outcry.llm.components import components
 from outcry.llm.tokens import parts
 
 WORDS, BANDS, ROWS, THRESHOLD = 5, 20, 5, 0.8
+#: Coordinates of the longer signature that nodes get which share a bucket.
+LONG = 400
+#: Nodes outside the main component of a bucket that one task compares with the others.
+BLOCK = 128
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ODD = 0xD6E8FEB86659FD93
@@ -187,9 +192,9 @@ def _keys(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int) ->
 
 
 def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node, weight, bands and sketch (two numbers with a bit for each coordinate) of every row."""
+    """doc_id, node, weight, bands and sketch (the low byte of each coordinate) of every row."""
     k = bands * rows
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64())), ("s1", pa.int64()), ("s2", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,56 +209,138 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
                     band = mix(np.arange(bands, dtype=np.uint64))[None, :].repeat(len(some), 0)
                     for r in range(rows):
                         band = mix(band ^ signs[:, r::rows])
-                    bits = np.zeros((len(some), 128), np.uint8)
-                    bits[:, :min(k, 128)] = ((signs >> np.uint64(40)) & np.uint64(1))[:, :128]
-                    sketch = np.packbits(bits, axis=1).view(">i8")
+                    # a band's coordinates lie together; its equality shows in these bytes as well
+                    low = (signs >> np.uint64(40)).astype(np.uint8).reshape(len(some), bands, rows)
                     total = np.bincount(text_no, weights=weight, minlength=len(some)).astype(np.int64)
-                    columns = [ids[start:i + 1], _keys(text_no, element, weight, len(some)), total, band.view(np.int64).tolist(), sketch[:, 0].astype(np.int64), sketch[:, 1].astype(np.int64)]
+                    columns = [ids[start:i + 1], _keys(text_no, element, weight, len(some)), total, band.view(np.int64).tolist(), [x.tobytes() for x in low]]
                     yield pa.record_batch(columns, schema=schema)
                     start, size = i + 1, 0
 
-    return docs.mapInArrow(sign, "doc_id long, node binary, weight long, bands array<long>, s1 long, s2 long")
+    return docs.mapInArrow(sign, "doc_id long, node binary, weight long, bands array<long>, sketch binary")
 
 
-def _possible(a: str, b: str, threshold: float, k: int) -> Column:
-    """Whether lengths and sketches leave the threshold possible."""
-    k = min(k, 128)
-    agree = (1 + threshold) / 2
-    least = ceil(k * agree - 4 * sqrt(k * agree * (1 - agree)))
-    differ = F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1"))) + F.bit_count(F.col(f"{a}.s2").bitwiseXOR(F.col(f"{b}.s2")))
-    wa, wb = F.col(f"{a}.weight"), F.col(f"{b}.weight")
-    return (F.least(wa, wb) >= threshold * F.greatest(wa, wb)) & (differ <= k - least)
+def least_agreement(threshold: float, k: int) -> int:
+    """Coordinates that texts of this similarity agree in, less three standard deviations."""
+    return ceil(k * threshold - 3 * sqrt(k * threshold * (1 - threshold)))
 
 
-def checked(pairs: DataFrame, docs: DataFrame, threshold: float, words: int) -> DataFrame:
-    """(a, b) of the pairs (a, b nodes; ida, idb rows that have them) whose texts reach the threshold."""
-    pairs = common.written(pairs, "dedup-pairs")
-    wanted = pairs.select(F.col("ida").alias("doc_id")).unionByName(pairs.select(F.col("idb").alias("doc_id"))).distinct()
-    texts = common.written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "dedup-texts")
-    one = common.salted_join(pairs, texts.select(F.col("doc_id").alias("ida"), F.col("text").alias("ta")), ["ida"], F.col("idb"))
-    two = common.salted_join(one, texts.select(F.col("doc_id").alias("idb"), F.col("text").alias("tb")), ["idb"], F.col("ida"))
+def likely(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the pairs (a, b, wa, wb, la, lb) whose lengths and long sketches leave the threshold possible."""
+    least = least_agreement(threshold, LONG)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wa, wb = (np.asarray(batch.column(c)) for c in (2, 3))
+            la, lb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, LONG) for c in (4, 5))
+            good = ((la == lb).sum(1) >= least) & (np.minimum(wa, wb) >= threshold * np.maximum(wa, wb))
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    return pairs.select("a", "b", "wa", "wb", "la", "lb").mapInArrow(keep, "a binary, b binary")
+
+
+def _meet(batches: Iterator[pa.RecordBatch], threshold: float, words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, block, side): a block of nodes outside the bucket's main component (side 0), then all its nodes.
+
+    Gives the links between different components. Sketches leave few pairs, whose texts are then compared; a pair is looked
+    at in the first band that both share.
+    """
+    least = least_agreement(threshold, LONG)
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    current, outside = None, []
+
+    def read(batch: pa.RecordBatch) -> tuple:
+        nodes, roots = (np.array(batch.column(c).to_pylist(), dtype="S16") for c in (4, 8))
+        sketch, long = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, n) for c, n in ((6, bands * rows), (7, LONG)))
+        return nodes, np.asarray(batch.column(5)), sketch, long, roots, np.asarray(batch.column(9).to_pylist(), dtype=bool)
+
+    def weighted(known: dict, rows: pa.RecordBatch, i: int) -> tuple:
+        if i not in known:
+            known[i] = weighted_sets([rows.column(10)[i].as_py()], words)[1:]
+        return known[i]
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2)), strict=True))
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            if start == stop:
+                continue
+            bucket, block, side = keys[start]
+            if (bucket, block) != current:
+                current, outside = (bucket, block), []
+            some = batch.slice(start, stop - start)
+            if side == 0:
+                outside.append((some, {}))
+                continue
+            band = some.column(3)[0].as_py()
+            for at in range(0, len(some), 128):
+                others, y_sets = some.slice(at, 128), {}
+                yn, yw, ys, yl, yr, ymain = read(others)
+                for part, x_sets in outside:
+                    xn, xw, xs, xl, xr, _ = read(part)
+                    for first in range(0, len(xn), 128):
+                        x = slice(first, first + 128)
+                        good = np.minimum(xw[x][:, None], yw) >= threshold * np.maximum(xw[x][:, None], yw)
+                        good &= (xr[x][:, None] != yr) & (ymain | (xn[x][:, None] < yn))
+                        i, j = np.nonzero(good)
+                        near = (xl[x][i] == yl[j]).sum(1) >= least
+                        if band:
+                            same = (xs[x][i, :band * rows] == ys[j, :band * rows]).reshape(len(i), band, rows)
+                            near &= ~same.all(2).any(1)
+                        links = [(p, q) for p, q in zip((i[near] + first).tolist(), j[near].tolist(), strict=True) if similarity(weighted(x_sets, part, p), weighted(y_sets, others, q)) >= threshold]
+                        if links:
+                            pairs = [[n.ljust(16, b"\0") for n in nodes] for nodes in ([xn[p] for p, _ in links], [yn[q] for _, q in links])]
+                            yield pa.record_batch(pairs, schema=schema)
+
+
+def member_texts(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, text and long sketch of every node (node, id): its text is that row's with the id whose weighted set is the node's."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_nodes, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            start = size = 0
+            for i, text in enumerate(all_texts):
+                size += len(text)
+                if size > 1 << 19 or i + 1 == len(all_texts):
+                    some = all_texts[start:i + 1]
+                    no, element, weight = weighted_sets(some, words)
+                    own = [k == n for k, n in zip(_keys(no, element, weight, len(some)), all_nodes[start:i + 1], strict=True)]
+                    low = (dart_signatures(no, mix(element), weight.astype(np.float64), len(some), LONG) >> np.uint64(40)).astype(np.uint8)
+                    rows = pa.record_batch([batch.column(0).slice(start, len(some)), batch.column(1).slice(start, len(some)), pa.array([x.tobytes() for x in low], pa.binary())], ["node", "text", "long"])
+                    yield rows.filter(pa.array(own))
+                    start, size = i + 1, 0
+
+    # the nodes grow with the corpus: they are shuffled, never broadcast
+    wanted = nodes.select("node", F.col("id").alias("doc_id")).hint("shuffle_hash")
+    return docs.join(wanted, "doc_id").select("node", "text").mapInArrow(read, "node binary, text string, long binary").dropDuplicates(["node"])
+
+
+def checked(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts reach the threshold."""
+
+    def with_text(rows: DataFrame, own: str, other: str, name: str) -> DataFrame:
+        """Adds the text of node ``own``; a node in many pairs is met by as many copies of its text as its pairs have salts."""
+        rows = rows.withColumn("salt_", F.pmod(F.xxhash64(other), F.lit(16)))
+        copies = texts.select("node", "text").join(rows.select(F.col(own).alias("node"), "salt_").distinct(), "node")
+        return rows.join(copies.select(F.col("node").alias(own), "salt_", F.col("text").alias(name)), [own, "salt_"]).drop("salt_")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple] = {}
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
-            for i, (ka, kb, ta, tb) in enumerate(zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                sets = []
-                for key, text in ((ka, ta), (kb, tb)):
-                    if (found := known.get(key)) is None:
-                        no, element, weight = weighted_sets([text], words)
-                        if _keys(no, element, weight, 1)[0] != key:  # another row with the same id
-                            break
-                        if len(known) >= 64:
+            for i, (a, b, text_a, text_b) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                for key, text in ((a, text_a), (b, text_b)):
+                    if key not in known:
+                        if len(known) >= 256:
                             known.clear()
-                        known[key] = found = element, weight
-                    sets.append(found)
-                if len(sets) == 2 and similarity(*sets) >= threshold:
+                        known[key] = weighted_sets([text], words)[1:]
+                one = known.get(a) or weighted_sets([text_a], words)[1:]
+                if similarity(one, known[b]) >= threshold:
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    return two.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary").distinct()
+    two = with_text(with_text(pairs, "a", "b", "ta"), "b", "a", "tb")
+    return two.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")
 
 
 def near_duplicates(
@@ -261,36 +348,38 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id and class_id, the smallest id of its class, of every row."""
     docs = common.texts(docs, id_col, text_col)
-    k = bands * rows
     signed = common.written(signatures(docs, words, bands, rows), "dedup-signatures")
     nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+        F.min("doc_id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = common.written(nodes.filter("id IS NOT NULL"), "dedup-nodes")
-    spread = nodes.select(F.explode("bands").alias("bucket"), F.struct("id", "node", "weight", "s1", "s2").alias("m"))
-    centres = spread.groupBy("bucket").agg(F.min("m").alias("c"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = common.written(common.salted_join(spread, centres, ["bucket"], F.col("m.node")), "dedup-members")
-    star = members.filter(F.col("m.node") != F.col("c.node")).filter(_possible("m", "c", threshold, k))
-    star = star.select(F.col("m.node").alias("a"), F.col("c.node").alias("b"), F.col("m.id").alias("ida"), F.col("c.id").alias("idb")).distinct()
-    links = common.written(checked(star, docs, threshold, words), "dedup-links")
+    # most buckets hold one node: they go while rows are still short
+    spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = spread.groupBy("bucket").count().filter("count > 1").select("bucket")
+    live = common.written(common.salted_join(spread, shared, ["bucket"], F.col("node")), "dedup-live")
+    short = nodes.drop("bands").join(live.select("node").distinct(), "node")
+    texts = common.written(member_texts(docs, short, words), "dedup-texts")
+    members = common.written(live.join(short, "node").join(texts.select("node", "long"), "node"), "dedup-members")
+    centres = members.groupBy("bucket").agg(F.min(F.struct("id", "node", "weight", "long")).alias("c"))
+    star = common.salted_join(members, centres, ["bucket"], F.col("node")).filter(F.col("node") != F.col("c.node"))
+    star = star.select(
+        F.col("node").alias("a"), F.col("c.node").alias("b"), F.col("weight").alias("wa"), F.col("c.weight").alias("wb"),
+        F.col("long").alias("la"), F.col("c.long").alias("lb")).dropDuplicates(["a", "b"])
+    star = common.written(likely(star, threshold), "dedup-star")
+    links = common.written(checked(star, texts, threshold, words), "dedup-links")
     roots = components(links)
-    placed = common.salted_join(
-        members.select("bucket", "m", F.col("m.node").alias("node")), roots, ["node"], F.col("bucket"), how="left",
-    ).select("bucket", "m", F.coalesce("root", "node").alias("root"))
+    placed = common.salted_join(members, roots, ["node"], F.col("bucket"), how="left", salts=2).withColumn("root", F.coalesce("root", "node"))
     placed = common.written(placed, "dedup-placed")
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-    rest = common.written(common.salted_join(placed, mixed, ["bucket"], F.col("m.node")), "dedup-mixed")
-    # lengths of similar texts differ by one class at most, so a class and its neighbours are all to be met
-    length = F.floor(F.log(F.col("m.weight").cast("double")) / log(1 / threshold)).cast("long")
-    right = rest.select("bucket", length.alias("length"), F.col("m").alias("y"), F.col("root").alias("root_y"), (F.col("root") == F.col("main")).alias("main_y"))
-    left = rest.filter("root <> main").select("bucket", F.explode(F.array(length - 1, length, length + 1)).alias("length"), F.col("m").alias("x"), F.col("root").alias("root_x"))
-    met = left.join(right, ["bucket", "length"]).filter("root_x <> root_y AND (main_y OR x.node < y.node)").filter(_possible("x", "y", threshold, k))
-    pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.id").alias("ida"), F.col("y.id").alias("idb"))
-    low = F.col("a") < F.col("b")
-    pairs = pairs.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(low, F.col("ida")).otherwise(F.col("idb")).alias("ida"), F.when(low, F.col("idb")).otherwise(F.col("ida")).alias("idb")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = checked(pairs.join(tried, ["a", "b"], "left_anti"), docs, threshold, words)
-    roots = components(links.unionByName(common.written(more, "dedup-links")))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    mixed = mixed.filter("all > most").select("bucket", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("long").alias("blocks"))
+    rest = common.salted_join(placed, mixed, ["bucket"], F.col("node")).withColumn("is_main", F.col("root") == F.col("main"))
+    rest = common.written(rest.join(texts.select("node", "text"), "node"), "dedup-mixed")
+    columns = ["bucket", "block", "side", "band", "node", "weight", "sketch", "long", "root", "is_main", "text"]
+    outside = rest.filter("NOT is_main").withColumns({"block": F.pmod(F.xxhash64("node"), F.col("blocks")), "side": F.lit(0)})
+    inside = rest.withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "side": F.lit(1)})
+    met = outside.select(*columns).unionByName(inside.select(*columns)).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "side")
+    more = common.written(met.mapInArrow(lambda batches: _meet(batches, threshold, words, bands, rows), "a binary, b binary"), "dedup-links")
+    roots = components(links.unionByName(more))
     rooted = signed.select("doc_id", "node")
     rooted = common.salted_join(rooted, roots, ["node"], F.col("doc_id"), how="left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     rooted = common.written(rooted, "dedup-rooted")
@@ -301,5 +390,6 @@ def near_duplicates(
 
 def one_of_each(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is that of their class, each once."""
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_")), "left_semi").dropDuplicates([id_col, text_col])
+    name = common.free_name(docs, "kept")
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi").dropDuplicates([id_col, text_col])
