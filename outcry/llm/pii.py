@@ -7,9 +7,9 @@ Their ratio is 1 if the term always means the entity and 0 if it says nothing. A
 entity, in SUPPORT different contexts at least (copies of a passage are one context), is generalised to its kind wherever it
 stands in the corpus; from REMOVE on it is removed. Base spans are replaced by their kind.
 
-Counts run over all texts. Terms are counted after a filter by hash buckets (at most BUCKETS numbers, broadcast) that lets all
-terms through that occur near entities often enough; what remains is joined exactly. No group is collected: the only lists are
-those of one text.
+Counts run over all texts. A term's texts are counted where the texts with entities leave the ratio possible, after a filter
+by hash buckets (at most BUCKETS numbers, broadcast); what remains is joined exactly. No group is collected: the only lists
+are those of one text.
 
 A null text is an empty one and has no spans. Rows without id and repeated rows are rows of their own. Extra columns are not
 read. An empty table gives an empty result.
@@ -35,7 +35,7 @@ PATTERNS = {
 GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _TERM = r"\p{L}{3,}+"
-CONTEXT, SUPPORT, GENERALISE, REMOVE, BUCKETS, CHUNK = 100, 3, 0.8, 0.95, 65_536, 64
+CONTEXT, SUPPORT, GENERALISE, REMOVE, BUCKETS, CHUNK = 100, 3, 0.8, 0.95, 1 << 20, 64
 _SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 
 
@@ -112,10 +112,14 @@ def terms_near(text: Column, span: Column, width: int = CONTEXT) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(near), F.lit(_TERM), F.lit(0)))
 
 
+def distinct_terms() -> Column:
+    """The distinct terms of ``text``."""
+    return F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
+
+
 def all_terms(docs: DataFrame, *keep: str) -> DataFrame:
     """``term``: each distinct term of each row once."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
-    return docs.select(*keep, F.explode(found).alias("term"))
+    return docs.select(*keep, F.explode(distinct_terms()).alias("term"))
 
 
 def only(rows: DataFrame, terms: DataFrame) -> DataFrame:
@@ -124,23 +128,28 @@ def only(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", bucket).join(F.broadcast(terms.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
 
 
+def ratio(total: int) -> Column:
+    """Mutual information of term and entity by the entity's information content, from joint, texts_t, texts_e of ``total`` texts."""
+    share = F.least(F.col("joint"), F.col("texts_t")) / F.col("texts_t")
+    content = F.log(F.lit(float(max(total, 1))) / F.col("texts_e"))
+    return (F.log(share) + content) / content
+
+
 def revealing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, width: int = CONTEXT) -> DataFrame:
     """term and ratio (its largest for any entity) of the terms that reach ``generalise``; ``docs`` has text."""
     held = detected(docs.select("text")).filter(F.size("base") > 0)
-    near = held.select("text", F.explode("base").alias("span")).select(entity(F.col("span")).alias("entity"), terms_near(F.col("text"), F.col("span"), width).alias("terms"))
-    near = near.select("entity", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term"))
+    held = common.written(held.select(F.transform("base", lambda x: F.struct(entity(x).alias("entity"), terms_near(F.col("text"), x, width).alias("terms"))).alias("near"), distinct_terms().alias("terms")), "pii-near")
+    total = docs.count()
+    near = held.select(F.explode("near").alias("x")).select("x.entity", F.xxhash64("x.terms").alias("context"), F.explode("x.terms").alias("term"))
     # equal contexts first fold to one row, so that no entity or term gathers its rows in one task
     folded = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("contexts"))
-    pairs = common.written(folded.filter(F.col("contexts") >= support), "pii-pairs")
-    entities = common.written(
-        held.select(F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("texts_e")), "pii-entities")
-    wanted = pairs.select("term").distinct()
-    counted = only(all_terms(docs), wanted).groupBy("term").agg(F.count("*").alias("texts_t"))
-    total = docs.count()
-    known = pairs.join(entities, "entity").join(counted, "term").filter(F.col("texts_e") < total)
-    share = F.least(F.col("joint"), F.col("texts_t")) / F.col("texts_t")
-    content = F.log(F.lit(float(max(total, 1))) / F.col("texts_e"))
-    rated = known.withColumn("ratio", (F.log(share) + content) / content)
+    entities = held.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("texts_e"))
+    among = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("texts_t"))
+    pairs = folded.filter(F.col("contexts") >= support).join(entities, "entity").filter(F.col("texts_e") < total).join(among, "term")
+    # texts with entities are some of all that hold a term, so this ratio is the most that the term can reach
+    pairs = common.written(pairs.withColumn("most", ratio(total)).filter(F.col("most") >= generalise).drop("most", "texts_t"), "pii-pairs")
+    counted = only(all_terms(docs), pairs).groupBy("term").agg(F.count("*").alias("texts_t"))
+    rated = pairs.join(counted, "term").withColumn("ratio", ratio(total))
     return rated.filter(F.col("ratio") >= generalise).groupBy("term").agg(F.max("ratio").alias("ratio"))
 
 
