@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from outcry.llm import common
 
-TRAIN_ROWS, PART_ROWS, CELL_ROWS, MOST_CENTROIDS = 20_000, 8_192, 50, 1_024
+TRAIN_ROWS, PART_ROWS, CELL_ROWS, MOST_CENTROIDS = 20_000, 2_048, 50, 1_024
+#: Queries that a task walks the cells for.
+TASK_QUERIES = 128
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -87,6 +89,7 @@ class Codebooks:
         """Cells in order, so many to a part as fit; a cell that fills parts alone gets several."""
         self.counts, self.spread = counts, spread
         self.parts = np.maximum(1, -(-counts // part_rows))
+        self.n_parts = 1
         self.at = np.zeros(len(counts), np.int64)
         part, room = -1, 0
         for cell, n in enumerate(counts.tolist()):
@@ -96,6 +99,7 @@ class Codebooks:
             room -= n
             if self.parts[cell] > 1:
                 part, room = part + int(self.parts[cell]) - 1, 0
+        self.n_parts = part + 1
 
     def visited(self, query: np.ndarray, k: int, target: float) -> np.ndarray:
         """Cells with rows in the order the heap hands them out, until the rest hardly matters."""
@@ -114,12 +118,12 @@ class Codebooks:
                 near, n = np.array(far), np.array(rows)
                 scale = sigma * np.sqrt(near) + 1e-12
                 low, high = 0.0, float(near[-1]) * 4 + 4 * self.spread + 1.0
-                for _ in range(30):
+                for _ in range(16):
                     bound = (low + high) / 2
                     low, high = (low, bound) if (n * _phi((bound - near - self.spread) / scale)).sum() > k else (bound, high)
                 if left * float(_phi(np.array((high - distance - self.spread) / (sigma * sqrt(distance) + 1e-12)))) <= (1 - target) * k:
                     break
-                check = total * 1.15
+                check = total * 1.3
             cell = o1[i] * n2 + o2[j]
             n = int(counts[cell])
             if n:
@@ -178,7 +182,7 @@ def build_index(vectors: DataFrame, k: int = 20, centroids: int | None = None) -
     return filed.drop("left"), books
 
 
-def search(entries: DataFrame, books: Codebooks | None, queries: DataFrame, k: int = 20, target: float = 0.97) -> DataFrame:
+def search(entries: DataFrame, books: Codebooks | None, queries: DataFrame, k: int = 20, target: float = 0.9) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of each row of ``queries`` (``usable`` rows), itself left out."""
     spark = entries.sparkSession
     spec = "h1 long, h2 long, found array<struct<vec_id:long,score:double>>"
@@ -214,9 +218,12 @@ def search(entries: DataFrame, books: Codebooks | None, queries: DataFrame, k: i
                     if m:
                         yield pa.record_batch([pa.array(heads), pa.array(np.ones(m, np.int32)), pa.array([h1] * m), pa.array([h2] * m), pa.nulls(m, pa.list_(pa.int64())), pa.array([g.tolist() for g in groups], pa.list_(pa.int64())), pa.array([vector.tolist()] * m, pa.list_(pa.float64()))], _NAMES)
 
+        # small in bytes, not in work: the number of tasks follows the rows
+        most = max(200, 4 * spark.sparkContext.defaultParallelism)
         once = queries.dropDuplicates(["h1", "h2"]).select("h1", "h2", "vector")
+        once = once.repartition(min(-(-queries.count() // TASK_QUERIES) or 1, most), "h1", "h2")
         both = entries.select("ids", "vector", "h2", "cell").mapInArrow(index_rows, union).unionByName(once.mapInArrow(query_rows, union))
-        dealt = both.repartition("part").sortWithinPartitions("part", "kind")
+        dealt = both.repartition(min(books.n_parts, most), "part").sortWithinPartitions("part", "kind")
         best = dealt.mapInArrow(lambda batches: _rerank(batches, dims, k), spec)
     found = best.select("h1", "h2", F.explode("found").alias("x")).select("h1", "h2", "x.vec_id", "x.score")
     found = found.groupBy("h1", "h2", "vec_id").agg(F.max("score").alias("score"))
@@ -299,7 +306,7 @@ class _Part:
         return out
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, target: float = 0.97, centroids: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, target: float = 0.9, centroids: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest rows of every row whose id is divisible by ``every``."""
     rows = usable(vectors, id_col, vector_col)
     entries, books = build_index(rows, k, centroids)
