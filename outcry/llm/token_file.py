@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from outcry.llm import common
 from outcry.llm.tokens import encoder
 
-BLOCK, SEGMENT, PERCENTILE = 256, 1 << 20, 0.9
+BLOCK, SEGMENT, PERCENTILE = 256, 1 << 18, 0.9
 _HEAD = struct.Struct("<4s5I")
 
 

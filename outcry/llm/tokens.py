@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,8 +22,9 @@ _NUMBERS = "0-9²³¹¼-¾"
 _OTHERS = "!-/:-@\\[-`{-~¡-©«¬®-±´¶-¸»¿×÷‐-‧‰-⁞€、。"
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _UNSURE = re.compile(rf"[^\t\n\r {_LETTERS}{_NUMBERS}{_OTHERS}]")
-_SPACED = re.compile(rf"{_CONTRACTIONS}| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
-_LOWER = re.compile(rf"{_CONTRACTIONS}|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+_SPACED = re.compile(rf" ?[{_LETTERS}]+|{_ENDINGS}| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+_LOWER = re.compile(rf"[{_LETTERS}]+|{_ENDINGS}|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 _CUT = re.compile(r"(?<=\S)[ \n]")
 
 
@@ -106,7 +108,14 @@ class Encoder:
 
     def __init__(self, path: str, limit: int = 400_000):
         self.pieces = Pieces(path)
-        self.cache = Kept(lambda p: np.array(self.pieces.piece(p), "<u4").tobytes(), limit)
+        tokenize, table = self.pieces.model.tokenize, self.pieces.table
+        pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+        def encoded(piece: str) -> bytes:
+            ids = [t.id for t in tokenize(piece.encode("utf-8").decode("latin-1").translate(table))]
+            return pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+
+        self.cache = Kept(encoded, limit)
 
     def encode(self, text: str) -> bytes:
         out = []
