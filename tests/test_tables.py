@@ -332,7 +332,7 @@ def test_usage_alerts(spark):
     assert set(got) == {("a", "pattern-limit-critical"), ("b", "pattern-limit-warning"), ("b", "complaint-limit-critical"),
                         ("c", "high-severity-patterns"), ("a", "draft-complaints")}
     assert got["a", "pattern-limit-critical"] == "You've used 95 of 100 patterns (95%)"
-    assert got["c", "high-severity-patterns"].startswith("5 pattern(s)")
+    assert got["c", "high-severity-patterns"].startswith("7 pattern(s)")
 
 
 def test_plan_limits(spark):
