@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from outcry.llm import common
 
-MAX_ROWS, FOLDS, VOCABULARY, MIN_TEXTS, PREFIX, THRESHOLD = 20_000, 3, 1 << 16, 3, 4, 0.5
+MAX_ROWS, FOLDS, VOCABULARY, MIN_TEXTS, PREFIX, THRESHOLD = 20_000, 2, 1 << 16, 3, 4, 0.5
 #: Tasks that hold the training rows, which are bounded; so few need no shuffle to add up gradients.
 TASKS = 4
 
@@ -50,7 +50,7 @@ def _probability(model: LogisticRegressionModel | float, rows: DataFrame, inputs
     return out.withColumn(name, vector_to_array("p_")[1]).drop("in_", "p_")
 
 
-def _fit(rows: DataFrame, inputs: list[str], label: str, regularisation: float) -> LogisticRegressionModel | float:
+def _fit(rows: DataFrame, inputs: list[str], label: str, regularisation: float, rounds: int) -> LogisticRegressionModel | float:
     rows = rows.filter(F.col(label).isNotNull())
     shares = rows.agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("share")).first()
     if not shares.n or shares.share in (0.0, 1.0):
@@ -58,7 +58,7 @@ def _fit(rows: DataFrame, inputs: list[str], label: str, regularisation: float)
     fitted = VectorAssembler(inputCols=inputs, outputCol="in_").transform(rows.withColumn("y_", F.col(label).cast("double")))
     learner = LogisticRegression(
         featuresCol="in_", labelCol="y_", probabilityCol="p_", predictionCol="", rawPredictionCol="", regParam=regularisation,
-        elasticNetParam=1.0, standardization=False, maxIter=40, tol=1e-4, aggregationDepth=2)
+        elasticNetParam=1.0, standardization=False, maxIter=rounds, tol=1e-4, aggregationDepth=2)
     return learner.fit(fitted)
 
 
@@ -83,7 +83,7 @@ class Chain:
 
 def fit_chain(
     docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = MAX_ROWS, folds: int = FOLDS, vocabulary: int = VOCABULARY,
-    regularisation: float = 3e-4, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
+    regularisation: float = 3e-4, rounds: int = 20, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
 ) -> Chain:
     """Fits the categories, boolean or 0/1 columns of ``labels``, in the order given."""
     order = F.xxhash64("doc_id")
@@ -98,16 +98,16 @@ def fit_chain(
     known = CountVectorizer(inputCol="terms_", outputCol="x", vocabSize=vocabulary, minDF=MIN_TEXTS, binary=True)
     known = known.setMinDF(min(MIN_TEXTS, held.count())).fit(held)
     rows = known.transform(held).drop("terms_").withColumn("fold", F.pmod(order, F.lit(folds)))
-    rows = rows.repartition(TASKS, "doc_id").persist()
+    rows = rows.coalesce(TASKS).persist()
     models: list[LogisticRegressionModel | float] = []
     seen: list[str] = []
     for i, category in enumerate(categories):
         inputs = ["x", *seen]
-        models.append(_fit(rows, inputs, f"y_{category}", regularisation))
+        models.append(_fit(rows, inputs, f"y_{category}", regularisation, rounds))
         if i + 1 < len(categories):
             parts = []
             for fold in range(folds):
-                model = _fit(rows.filter(F.col("fold") != fold), inputs, f"y_{category}", regularisation)
+                model = _fit(rows.filter(F.col("fold") != fold), inputs, f"y_{category}", regularisation, rounds)
                 parts.append(_probability(model, rows.filter(F.col("fold") == fold), inputs, f"p_{category}"))
             joined = parts[0]
             for part in parts[1:]:
