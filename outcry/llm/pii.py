@@ -3,9 +3,11 @@
 Protected entities are what the base patterns find: e-mail and IP addresses, card and phone numbers. A term (a word of three
 letters or more) reveals an entity if the corpus says so: from how many texts hold the entity, the term, and the term within
 CONTEXT characters of the entity follow the pointwise mutual information of the two and the information content of the entity.
-Their ratio is 1 if the term always means the entity and 0 if it says nothing. A term whose ratio reaches GENERALISE for some
-entity, in SUPPORT different contexts at least (copies of a passage are one context), is generalised to its kind wherever it
-stands in the corpus; from REMOVE on it is removed. Base spans are replaced by their kind.
+Their ratio is 1 if the term always means the entity and 0 if it says nothing. Every term near every entity is scored, however
+seldom the two meet. Chance is curbed by smoothing: the share of a term's texts in which it meets the entity is discounted by
+c / (c + SMOOTHING) for c different contexts (copies of a passage are one context), so a meeting seen once needs an entity of
+more content. A term whose smoothed ratio reaches GENERALISE for some entity is generalised to its kind wherever it stands in
+the corpus; from REMOVE on it is removed. Base spans are replaced by their kind.
 
 Counts run over all texts. A term's texts are counted where the texts with entities leave the ratio possible, after a filter
 by hash buckets (at most BUCKETS numbers, broadcast); what remains is joined exactly. No group is collected: the only lists
@@ -35,7 +37,7 @@ PATTERNS = {
 GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _TERM = r"\p{L}{3,}+"
-CONTEXT, SUPPORT, GENERALISE, REMOVE, BUCKETS, CHUNK = 100, 3, 0.8, 0.95, 1 << 20, 64
+CONTEXT, SMOOTHING, GENERALISE, REMOVE, BUCKETS, CHUNK = 100, 1.0, 0.8, 0.95, 1 << 20, 64
 _SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 
 
@@ -128,15 +130,20 @@ def only(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", bucket).join(F.broadcast(terms.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
 
 
-def ratio(total: int) -> Column:
-    """Mutual information of term and entity by the entity's information content, from joint, texts_t, texts_e of ``total`` texts."""
+def ratio(total: int, smoothing: float = 0.0) -> Column:
+    """Mutual information of term and entity by the entity's information content, from joint, texts_t, texts_e of ``total`` texts.
+
+    With ``smoothing``, from contexts as well.
+    """
     share = F.least(F.col("joint"), F.col("texts_t")) / F.col("texts_t")
+    if smoothing:
+        share = share * F.col("contexts") / (F.col("contexts") + smoothing)
     content = F.log(F.lit(float(max(total, 1))) / F.col("texts_e"))
     return (F.log(share) + content) / content
 
 
-def revealing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, width: int = CONTEXT) -> DataFrame:
-    """term and ratio (its largest for any entity) of the terms that reach ``generalise``; ``docs`` has text."""
+def revealing_terms(docs: DataFrame, smoothing: float = SMOOTHING, generalise: float = GENERALISE, width: int = CONTEXT) -> DataFrame:
+    """term, smoothed ratio (its largest for any entity) and plain ratio for that entity of the terms whose smoothed ratio reaches ``generalise``; ``docs`` has text."""
     held = detected(docs.select("text")).filter(F.size("base") > 0)
     held = common.written(held.select(F.transform("base", lambda x: F.struct(entity(x).alias("entity"), terms_near(F.col("text"), x, width).alias("terms"))).alias("near"), distinct_terms().alias("terms")), "pii-near")
     total = docs.count()
@@ -145,19 +152,22 @@ def revealing_terms(docs: DataFrame, support: int = SUPPORT, generalise: float =
     folded = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("contexts"))
     entities = held.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("texts_e"))
     among = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("texts_t"))
-    pairs = folded.filter(F.col("contexts") >= support).join(entities, "entity").filter(F.col("texts_e") < total).join(among, "term")
+    # a common term meets very many entities and a common entity very many terms
+    pairs = common.salted_join(folded, entities, ["entity"], F.col("term")).filter(F.col("texts_e") < total)
+    pairs = common.salted_join(pairs, among, ["term"], F.col("entity"))
     # texts with entities are some of all that hold a term, so this ratio is the most that the term can reach
-    pairs = common.written(pairs.withColumn("most", ratio(total)).filter(F.col("most") >= generalise).drop("most", "texts_t"), "pii-pairs")
+    pairs = common.written(pairs.withColumn("most", ratio(total, smoothing)).filter(F.col("most") >= generalise).drop("most", "texts_t"), "pii-pairs")
     counted = only(all_terms(docs), pairs).groupBy("term").agg(F.count("*").alias("texts_t"))
-    rated = pairs.join(counted, "term").withColumn("ratio", ratio(total))
-    return rated.filter(F.col("ratio") >= generalise).groupBy("term").agg(F.max("ratio").alias("ratio"))
+    rated = pairs.join(counted, "term").withColumns({"ratio": ratio(total), "smoothed": ratio(total, smoothing)})
+    best = rated.filter(F.col("smoothed") >= generalise).groupBy("term").agg(F.max(F.struct("smoothed", "ratio")).alias("best"))
+    return best.select("term", "best.ratio", "best.smoothed")
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, width: int = CONTEXT, keep: Column | None = None) -> DataFrame:
-    """doc_id, text, base (base spans) and revealing (spans of revealing terms, with their ratio) of every row; with ``keep`` also that, as ``kept``."""
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING, generalise: float = GENERALISE, width: int = CONTEXT, keep: Column | None = None) -> DataFrame:
+    """doc_id, text, base (base spans) and revealing (spans of revealing terms, with their smoothed ratio) of every row; with ``keep`` also that, as ``kept``."""
     kept = [] if keep is None else [keep.alias("kept")]
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept)
-    risky = common.written(revealing_terms(docs, support, generalise, width), "pii-terms")
+    risky = common.written(revealing_terms(docs, smoothing, generalise, width).select("term", F.col("smoothed").alias("ratio")), "pii-terms")
     keyed = docs.withColumn("key", F.xxhash64("text"))
     where = only(all_terms(keyed, "doc_id", "key"), risky).join(risky, "term")
     where = where.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("term", "ratio"))).alias("ratios"))
@@ -202,15 +212,15 @@ def clean_text(remove: float = REMOVE) -> Column:
     return F.when(F.size("base") + F.size("revealing") == 0, F.col("text")).otherwise(F.aggregate(spans, start, add, finish))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, text, base, revealing and clean_text of every row."""
-    return find_private(docs, id_col, text_col, support, generalise).withColumn("clean_text", clean_text(remove))
+    return find_private(docs, id_col, text_col, smoothing, generalise).withColumn("clean_text", clean_text(remove))
 
 
-def sanitised_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitised_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """The rows of ``docs`` with sanitised texts; other columns stay, and so do null texts."""
     others = [c for c in docs.columns if c != text_col]
     keep = F.struct(*(F.col(c) for c in others), F.col(text_col).isNull().alias("was_null_"))
-    found = find_private(docs, id_col, text_col, support, generalise, keep=keep)
+    found = find_private(docs, id_col, text_col, smoothing, generalise, keep=keep)
     clean = F.when(~F.col("kept.was_null_"), clean_text(remove))
     return found.select(*(clean.alias(text_col) if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in docs.columns))
