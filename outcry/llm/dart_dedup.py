@@ -192,9 +192,9 @@ def _keys(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int) ->
 
 
 def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node, weight, bands and sketch (the low byte of each coordinate) of every row."""
+    """doc_id, node, weight and bands (a hash of each band's coordinates) of every row."""
     k = bands * rows
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("weight", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,14 +209,12 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
                     band = mix(np.arange(bands, dtype=np.uint64))[None, :].repeat(len(some), 0)
                     for r in range(rows):
                         band = mix(band ^ signs[:, r::rows])
-                    # a band's coordinates lie together; its equality shows in these bytes as well
-                    low = (signs >> np.uint64(40)).astype(np.uint8).reshape(len(some), bands, rows)
                     total = np.bincount(text_no, weights=weight, minlength=len(some)).astype(np.int64)
-                    columns = [ids[start:i + 1], _keys(text_no, element, weight, len(some)), total, band.view(np.int64).tolist(), [x.tobytes() for x in low]]
+                    columns = [ids[start:i + 1], _keys(text_no, element, weight, len(some)), total, band.view(np.int64).tolist()]
                     yield pa.record_batch(columns, schema=schema)
                     start, size = i + 1, 0
 
-    return docs.mapInArrow(sign, "doc_id long, node binary, weight long, bands array<long>, sketch binary")
+    return docs.mapInArrow(sign, "doc_id long, node binary, weight long, bands array<long>")
 
 
 def least_agreement(threshold: float, k: int) -> int:
@@ -238,7 +236,7 @@ def likely(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "wa", "wb", "la", "lb").mapInArrow(keep, "a binary, b binary")
 
 
-def _meet(batches: Iterator[pa.RecordBatch], threshold: float, words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], threshold: float, words: int, bands: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (bucket, block, side): a block of nodes outside the bucket's main component (side 0), then all its nodes.
 
     Gives the links between different components. Sketches leave few pairs, whose texts are then compared; a pair is looked
@@ -250,8 +248,9 @@ def _meet(batches: Iterator[pa.RecordBatch], threshold: float, words: int, bands
 
     def read(batch: pa.RecordBatch) -> tuple:
         nodes, roots = (np.array(batch.column(c).to_pylist(), dtype="S16") for c in (4, 8))
-        sketch, long = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, n) for c, n in ((6, bands * rows), (7, LONG)))
-        return nodes, np.asarray(batch.column(5)), sketch, long, roots, np.asarray(batch.column(9).to_pylist(), dtype=bool)
+        hashes = np.asarray(batch.column(6).flatten()).reshape(-1, bands)
+        long = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, LONG)
+        return nodes, np.asarray(batch.column(5)), hashes, long, roots, np.asarray(batch.column(9).to_pylist(), dtype=bool)
 
     def weighted(known: dict, rows: pa.RecordBatch, i: int) -> tuple:
         if i not in known:
@@ -283,9 +282,7 @@ def _meet(batches: Iterator[pa.RecordBatch], threshold: float, words: int, bands
                         good &= (xr[x][:, None] != yr) & (ymain | (xn[x][:, None] < yn))
                         i, j = np.nonzero(good)
                         near = (xl[x][i] == yl[j]).sum(1) >= least
-                        if band:
-                            same = (xs[x][i, :band * rows] == ys[j, :band * rows]).reshape(len(i), band, rows)
-                            near &= ~same.all(2).any(1)
+                        near &= ~(xs[x][i, :band] == ys[j, :band]).any(1)
                         links = [(p, q) for p, q in zip((i[near] + first).tolist(), j[near].tolist(), strict=True) if similarity(weighted(x_sets, part, p), weighted(y_sets, others, q)) >= threshold]
                         if links:
                             pairs = [[n.ljust(16, b"\0") for n in nodes] for nodes in ([xn[p] for p, _ in links], [yn[q] for _, q in links])]
@@ -350,13 +347,13 @@ def near_duplicates(
     docs = common.texts(docs, id_col, text_col)
     signed = common.written(signatures(docs, words, bands, rows), "dedup-signatures")
     nodes = signed.filter("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        F.min("doc_id").alias("id"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     nodes = common.written(nodes.filter("id IS NOT NULL"), "dedup-nodes")
     # most buckets hold one node: they go while rows are still short
     spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").count().filter("count > 1").select("bucket")
     live = common.written(common.salted_join(spread, shared, ["bucket"], F.col("node")), "dedup-live")
-    short = nodes.drop("bands").join(live.select("node").distinct(), "node")
+    short = nodes.join(live.select("node").distinct(), "node")
     texts = common.written(member_texts(docs, short, words), "dedup-texts")
     members = common.written(live.join(short, "node").join(texts.select("node", "long"), "node"), "dedup-members")
     centres = members.groupBy("bucket").agg(F.min(F.struct("id", "node", "weight", "long")).alias("c"))
@@ -374,11 +371,11 @@ def near_duplicates(
     mixed = mixed.filter("all > most").select("bucket", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("long").alias("blocks"))
     rest = common.salted_join(placed, mixed, ["bucket"], F.col("node")).withColumn("is_main", F.col("root") == F.col("main"))
     rest = common.written(rest.join(texts.select("node", "text"), "node"), "dedup-mixed")
-    columns = ["bucket", "block", "side", "band", "node", "weight", "sketch", "long", "root", "is_main", "text"]
+    columns = ["bucket", "block", "side", "band", "node", "weight", "bands", "long", "root", "is_main", "text"]
     outside = rest.filter("NOT is_main").withColumns({"block": F.pmod(F.xxhash64("node"), F.col("blocks")), "side": F.lit(0)})
     inside = rest.withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "side": F.lit(1)})
     met = outside.select(*columns).unionByName(inside.select(*columns)).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "side")
-    more = common.written(met.mapInArrow(lambda batches: _meet(batches, threshold, words, bands, rows), "a binary, b binary"), "dedup-links")
+    more = common.written(met.mapInArrow(lambda batches: _meet(batches, threshold, words, bands), "a binary, b binary"), "dedup-links")
     roots = components(links.unionByName(more))
     rooted = signed.select("doc_id", "node")
     rooted = common.salted_join(rooted, roots, ["node"], F.col("doc_id"), how="left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))

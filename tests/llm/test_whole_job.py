@@ -1,6 +1,7 @@
 """Places where an operator once did less than the whole job."""
 
 import os
+import random
 import sys
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from outcry.llm import pii  # noqa: E402
+from outcry.llm import dart_dedup, pii  # noqa: E402
 
 
 # personal data
@@ -27,3 +28,25 @@ def test_a_name_beside_an_address_that_occurs_once_is_found(spark):
     clean = {r.doc_id: r.clean_text for r in pii.sanitise(frame).collect()}
     assert clean[2000] == "ordinary talk about project, [NAME] today notes: [EMAIL]"
     assert all(clean[i] == t for i, t in enumerate(plain))
+
+
+# near-duplicates
+
+
+def trio(seed):
+    """Two similar texts and a third that is similar to neither."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    other = [f"x{rng.randrange(10**6)}" for _ in range(20)]
+    return [" ".join(t) for t in (words[:40] + other, words, words[:56] + ["new"] * 4)]
+
+
+def test_a_band_that_only_looks_equal_hides_no_link(spark):
+    texts = trio(2026)
+    no, element, weight = dart_dedup.weighted_sets(texts)
+    signs = dart_dedup.dart_signatures(no, element, weight.astype(float), 3, 2)
+    # one bucket in the second band; in the first the similar two differ, but not in the byte that a sketch would keep
+    assert len(set(signs[:, 1])) == 1 and len(set(signs[:, 0])) == 3
+    assert signs[1, 0] >> np.uint64(40) & np.uint64(255) == signs[2, 0] >> np.uint64(40) & np.uint64(255)
+    got = dart_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands=2, rows=1)
+    assert {r.doc_id: r.class_id for r in got.collect()} == {0: 0, 1: 1, 2: 1}
