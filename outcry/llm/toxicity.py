@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from outcry.llm import common
 
-MAX_ROWS, FOLDS, VOCABULARY, MIN_TEXTS, PREFIX, THRESHOLD = 20_000, 2, 1 << 16, 3, 4, 0.5
+MAX_ROWS, FOLDS, VOCABULARY, MIN_TEXTS, PREFIX, THRESHOLD = 20_000, 3, 1 << 16, 3, 4, 0.5
 #: Tasks that hold the training rows, which are bounded; so few need no shuffle to add up gradients.
 TASKS = 4
 
@@ -83,7 +83,7 @@ class Chain:
 
 def fit_chain(
     docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_rows: int = MAX_ROWS, folds: int = FOLDS, vocabulary: int = VOCABULARY,
-    regularisation: float = 3e-4, rounds: int = 20, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
+    regularisation: float = 3e-4, rounds: int = 40, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
 ) -> Chain:
     """Fits the categories, boolean or 0/1 columns of ``labels``, in the order given."""
     order = F.xxhash64("doc_id")

@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from outcry.llm import dart_dedup, pii  # noqa: E402
+from outcry.llm import dart_dedup, pii, toxicity  # noqa: E402
 
 
 # personal data
@@ -50,3 +50,15 @@ def test_a_band_that_only_looks_equal_hides_no_link(spark):
     assert signs[1, 0] >> np.uint64(40) & np.uint64(255) == signs[2, 0] >> np.uint64(40) & np.uint64(255)
     got = dart_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands=2, rows=1)
     assert {r.doc_id: r.class_id for r in got.collect()} == {0: 0, 1: 1, 2: 1}
+
+
+# toxicity
+
+
+def test_fits_have_all_rounds_and_folds(spark, monkeypatch):
+    fits = []
+    monkeypatch.setattr(toxicity, "_fit", lambda rows, inputs, label, regularisation, rounds: fits.append((label, rounds)) or 0.5)
+    rows = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(20)], "doc_id long, poor int, toxic boolean")
+    toxicity.fit_chain(rows, labels, ["poor", "toxic"])
+    assert fits == [("y_poor", 40)] * 4 + [("y_toxic", 40)]
