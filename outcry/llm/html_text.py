@@ -2,7 +2,10 @@
 
 1. Mark-up is stripped into lines: the text between two block-level tags is a line, its white space one blank. Scripts,
    styles, menus, headers, footers, sidebars, notices, adverts, forms and reader comments, known by element, role, class or
-   id, leave a gap of as many empty lines as a window is long.
+   id, leave a gap of as many empty lines as a window is long; adverts, share bars and embedded devices leave none, since the
+   text goes on behind them. A class or id counts if it consists of known names (and words of layout) only. A container with
+   a known name as one part goes if half of its text is links or, by class, if it holds less than SHORT characters. Headings
+   and paragraphs, list items and table cells never go by their id.
 2. The lengths of the lines in each window of WINDOW lines are summed. Where the sum leaves zero the text surges, where it
    falls back to zero it dives; the lines between are a region.
 3. Regions inside the page's declared article are kept. Where a page declares none, those are kept whose largest window
@@ -17,13 +20,14 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SURGE = 3, 0.25
+WINDOW, SURGE, SHORT = 3, 0.25, 100
 
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -39,7 +43,15 @@ _NAMES = frozenset(
     "copyright disclaimer disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay "
     "pager pagination popup promo promotion promoted recommended related reply replies respond share sharing sidebar signup skip social "
     "sponsor sponsored subscribe subscription toolbar topbar widget".split())
+#: Names and elements behind which the text goes on.
+_PASSED = frozenset("ad ads advert adverts advertisement advertising promo promoted promotion share sharing social sponsor sponsored".split())
+_DEVICES = frozenset("button canvas iframe noscript object svg template".split())
+#: Words of layout beside a name.
+_LAYOUT = frozenset("area bar block box buttons container group holder item items link links list page panel posts site slot unit wrap wrapper".split())
+_PROSE = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th".split())
 _HOLDS = frozenset(("article", "main"))
+#: What becomes of an element.
+_KEPT, _GAP, _CLOSED = range(3)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _TAG_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
@@ -111,27 +123,52 @@ def _match(nodes: list[_Node]) -> None:
                     break
 
 
-def _unwanted(node: _Node, inside: bool) -> bool:
-    if node.name in _GONE or node.name == "header" and not inside:
-        return True
+def _named(node: _Node, key: str, word: str, inside: bool, measure: Callable[[], tuple[int, int]]) -> int:
+    """What becomes of an element by one word of its class or id; ``measure`` gives its characters and those in links."""
+    parts = [p.lower() for p in _PART.findall(word)]
+    known = [p for p in parts if p in _NAMES or p == "header" and not inside and not node.name.startswith("h")]
+    if not known or {"has", "with", "no", "without"} & set(parts) or node.name in _PROSE and key == "id":
+        return _KEPT
+    if any(p not in known and p not in _LAYOUT for p in parts):
+        if node.name in _PROSE or node.name not in _BLOCKS:
+            return _KEPT
+        chars, linked = measure()
+        if 2 * linked < max(chars, 1) and (key == "id" or chars >= SHORT):
+            return _KEPT
+    return _CLOSED if _PASSED.issuperset(known) else _GAP
+
+
+def _fate(node: _Node, inside: bool, measure: Callable[[], tuple[int, int]]) -> int:
+    found = _GAP if node.name in _GONE or node.name == "header" and not inside else _KEPT
+    if node.name in _DEVICES:
+        return _CLOSED
     if node.name in ("html", "body") or node.name in _HOLDS or not node.text.strip(" /"):
-        return False
+        return found
     for key, value in _ATTRIBUTE.findall(node.text):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" and (not value or value.lower() in ("hidden", "true")) or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "style" and _HIDDEN.search(value) or key == "role" and value.lower() in _ROLES:
-            return True
-        if key in ("class", "id"):
-            for word in value.split():
-                parts = [p.lower() for p in _PART.findall(word)]
-                if any(p in _NAMES or p == "header" and not inside and not node.name.startswith("h") for p in parts) and not {"has", "with", "no", "without"} & set(parts):
-                    return True
-    return False
+            found = found or _GAP
+        elif key == "style" and _HIDDEN.search(value) or key == "role" and value.lower() in _ROLES:
+            found = found or _GAP
+        elif key in ("class", "id"):
+            found = max([found, *(_named(node, key, word, inside, measure) for word in value.split())])
+    return found
+
+
+def _sizes(nodes: list[_Node]) -> tuple[list[int], list[int]]:
+    """(characters, characters in links) of all nodes before each place."""
+    chars, linked, until = [0], [0], -1
+    for i, node in enumerate(nodes):
+        if node.kind == "start" and node.name == "a" and node.end is not None:
+            until = max(until, node.end)
+        n = len("".join(node.text.split())) if node.kind == "text" else 0
+        chars.append(chars[-1] + n)
+        linked.append(linked[-1] + (n if i < until else 0))
+    return chars, linked
 
 
 def lines_of(page: str, window: int = WINDOW) -> tuple[list[str], list[bool]]:
-    """(lines, whether each lies in a declared article); what is not wanted is ``window`` empty lines."""
+    """(lines, whether each lies in a declared article); what is not wanted is ``window`` empty lines, or none where the text goes on."""
     nodes = _nodes(page)
     _match(nodes)
     holders = [0]
@@ -141,6 +178,13 @@ def lines_of(page: str, window: int = WINDOW) -> tuple[list[str], list[bool]]:
     held: list[bool] = []
     parts: list[str] = []
     until = -1  # inside a declared article up to here
+    sizes: list[tuple[list[int], list[int]]] = []
+
+    def measure(start: int) -> tuple[int, int]:
+        if not sizes:
+            sizes.append(_sizes(nodes))
+        end = nodes[start].end
+        return sizes[0][0][end] - sizes[0][0][start], sizes[0][1][end] - sizes[0][1][start]
 
     def flush(inside: bool) -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -154,10 +198,11 @@ def lines_of(page: str, window: int = WINDOW) -> tuple[list[str], list[bool]]:
         node, inside = nodes[i], i <= until
         if node.kind == "text":
             parts.append(node.text)
-        elif node.kind == "start" and node.end is not None and _unwanted(node, inside) and holders[node.end + 1] == holders[i]:
+        elif node.kind == "start" and node.end is not None and holders[node.end + 1] == holders[i] and (fate := _fate(node, inside, partial(measure, i))):
             flush(inside)
-            lines += [""] * window
-            held += [inside] * window
+            if fate == _GAP:
+                lines += [""] * window
+                held += [inside] * window
             i = node.end
         else:
             if node.name in _BLOCKS:

@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from outcry.llm import dart_dedup, pii, toxicity  # noqa: E402
+from outcry.llm import dart_dedup, html_text, pii, toxicity  # noqa: E402
 
 
 # personal data
@@ -62,3 +62,21 @@ def test_fits_have_all_rounds_and_folds(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(20)], "doc_id long, poor int, toxic boolean")
     toxicity.fit_chain(rows, labels, ["poor", "toxic"])
     assert fits == [("y_poor", 40)] * 4 + [("y_toxic", 40)]
+
+
+# main text
+
+
+def test_slugs_are_no_boilerplate():
+    long = " ".join(["word"] * 60)
+    page = f"<article><h1>T</h1><h2 id='social-impact'>Impact</h2><p id='share-prices'>Prices.</p><section id='related-work'><p>{long}</p></section>"
+    page += f"<div class='share-holders'><p>{long}</p></div><p>It <span id='reply-rate'>rose</span>.</p>%s</article>"
+    want = ["T", "Impact", "Prices.", long, long, "It rose."]
+    junk = f"<div class='comment-list'><p>{long}</p></div><div class='related-stories'><a href=x>{long}</a></div><ul class='social-x'><li>Tweet</ul><p class=ad>Buy</p>"
+    assert html_text.main_text(page.replace("%s", junk)) == "\n\n".join(want)
+
+
+def test_text_goes_on_behind_adverts():
+    long = " ".join(["word"] * 60)
+    page = f"<body><h1>A title</h1><div class='share-bar'><a>Tweet</a></div><p>{long}</p><div class='ad'>Buy</div><p>Short end.</p><nav>x</nav><div>Imprint</div></body>"
+    assert html_text.main_text(page) == f"A title\n\n{long}\n\nShort end."
