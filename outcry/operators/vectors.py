@@ -217,6 +217,39 @@ def ivf_search(df_path: str, centres: DataFrame, vector: list[float], k: int = 2
     return similar_to_vector(rows, vector, k, -1.0, id_col=id_col, vec=vec)
 
 
+def _list_ranks(centres: DataFrame, queries: DataFrame, probes: int, id_col: str, vec: str) -> DataFrame:
+    """(query_id, list, list_rank) of the ``probes`` lists nearest to each query."""
+    near = knn_join(queries, centres, probes, left_id=id_col, left_vec=vec, right_id="list", right_vec="centroid", skip_same=False)
+    ranked = top_per_group(near, "left_id", [F.desc("similarity"), F.asc("right_id")], probes)
+    return ranked.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("list"), F.col("rank_in_group").alias("list_rank"))
+
+
+def ivf_search_all(df_path: str, centres: DataFrame, queries: DataFrame, k: int = 20, probes: int = 10, *, id_col: str = "id",
+                   vec: str = "embedding") -> DataFrame:
+    """Nearest other rows of every query among its ``probes`` nearest lists: query_id, id, similarity, list_rank (the place of
+    the row's list among the query's). Exact if ``probes`` is the number of lists. Ids of queries are unique."""
+    asked = queries.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vec).alias("q"))
+    rows = centres.sparkSession.read.parquet(df_path).select(id_col, vec, "list")
+    pairs = _list_ranks(centres, queries, probes, id_col, vec).join(asked, "query_id").join(rows, "list").where(F.col(id_col) != F.col("query_id"))
+    scored = pairs.select("query_id", id_col, cosine(F.col(vec), F.col("q")).alias("similarity"), "list_rank")
+    return top_per_group(scored, "query_id", [F.desc("similarity"), F.asc(id_col)], k).drop("rank_in_group")
+
+
+def ivf_recall(df_path: str, centres: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "id", vec: str = "embedding") -> DataFrame:
+    """(probes, recall) for every number of lists: the share of the exact ``k`` nearest that lie in the lists probed."""
+    lists = centres.count()
+    exact = ivf_search_all(df_path, centres, queries, k, lists, id_col=id_col, vec=vec)
+    counts = {r["list_rank"]: r["n"] for r in exact.groupBy("list_rank").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    shares = [(p, sum(n for rank, n in counts.items() if rank <= p) / total if total else 1.0) for p in range(1, lists + 1)]
+    return centres.sparkSession.createDataFrame(shares, "probes int, recall double")
+
+
+def probes_for(recall: DataFrame, least: float = 0.9) -> int:
+    """The fewest lists whose measured recall reaches ``least``."""
+    return recall.where(F.col("recall") >= least).agg(F.min("probes")).first()[0]
+
+
 def reduce_dimensions(df: DataFrame, dims: int = 50, *, id_col: str = "id", vec: str = "embedding") -> DataFrame:
     """Projection on the leading components. Only the width-by-width covariance reaches the driver."""
     rows = df.where(F.col(vec).isNotNull()).select(id_col, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("x"))
@@ -244,4 +277,4 @@ def embedding_drift(old: DataFrame, new: DataFrame, *, id_col: str = "id", vec:
 
 
 __all__ = ["similar_to_vector", "similar_to_row", "knn_join", "vector_mean", "pattern_centroids", "assign_to_cluster",
-           "build_lists", "ivf_search", "reduce_dimensions", "embedding_drift", "norm"]
+           "build_lists", "ivf_search", "ivf_search_all", "ivf_recall", "probes_for", "reduce_dimensions", "embedding_drift", "norm"]
