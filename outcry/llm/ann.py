@@ -2,16 +2,18 @@
 
 Building. Each vector gets one more component that makes all lengths equal, so the nearest by distance is the one with the
 largest inner product. Both halves are quantised by a codebook of their own; a pair of centroids is a cell. The codebooks are
-fitted on a sample of at most TRAIN_ROWS vectors (those with the smallest hash), every vector is filed. Equal vectors are one
+fitted on a sample of at most TRAIN_ROWS vectors and TRAIN_BYTES (those with the smallest hash), every vector is filed. Equal vectors are one
 entry with its k + 1 smallest ids, which is all that k neighbours and a query's own id can need.
 
 Searching. A heap hands out a query's cells by summed distance of the two halves. It stops once the rows left, were they all
 as near as the next cell, are expected to hold under ``1 - target`` of the k nearest: the spread of rows around their
 centroids says how far below its centroid's distance a row may lie. Clustered data need few cells, structureless data many.
 
-Entries lie in parts of PART_ROWS rows at most, a large cell in several. A query goes to the parts that hold cells of its own,
-with their numbers; a task holds one part while queries stream past it, and returns each query's best of the part with
-scores in double precision on the original vectors, added up in order of the components.
+Entries lie in parts, a large cell in several. There are PARTS of them, and more only where one would be over PART_BYTES, so
+that what meets a query does not grow with the table before that. A query goes to the parts that hold cells of its own, with
+their numbers; a task holds one part while queries stream past it, and returns each query's best of the part as one list, with
+scores in double precision on the original vectors, added up in order of the components. The lists of a query are merged one
+by one to k + 1 entries before any of them becomes a row.
 
 Vectors that are null, zero, of another length than most, or hold a null or a non-finite component take no part. An id with
 several vectors stands for all of them and counts with its best one; repeated rows count once. An empty table finds nothing.
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 
 from outcry.llm import common
 
-TRAIN_ROWS, PART_ROWS, CELL_ROWS, MOST_CENTROIDS = 20_000, 2_048, 50, 1_024
+TRAIN_ROWS, CELL_ROWS, MOST_CENTROIDS = 20_000, 50, 1_024
+#: Parts of the index, the rows that one takes before there is a second, the bytes of the vectors of one, the bytes of the sample that the driver fits the codebooks on.
+PARTS, PART_ROWS, PART_BYTES, TRAIN_BYTES = 32, 256, 32 << 20, 64 << 20
 #: Queries that a task walks the cells for.
 TASK_QUERIES = 128
 
@@ -85,7 +89,7 @@ class Codebooks:
         left = full - np.hstack([self.first[a], self.second[b]])
         return a * len(self.second) + b, (left**2).sum(1)
 
-    def lay_out(self, counts: np.ndarray, spread: float, part_rows: int = PART_ROWS) -> None:
+    def lay_out(self, counts: np.ndarray, spread: float, part_rows: int = 1 << 16) -> None:
         """Cells in order, so many to a part as fit; a cell that fills parts alone gets several."""
         self.counts, self.spread = counts, spread
         self.parts = np.maximum(1, -(-counts // part_rows))
@@ -158,8 +162,9 @@ def build_index(vectors: DataFrame, k: int = 20, centroids: int | None = None) -
     size = entries.agg(F.count("*").alias("n"), F.max(norm).alias("longest"), F.max(F.size("vector")).alias("dims")).first()
     if not size.n:
         return entries.withColumns({"cell": F.lit(0).cast("long")}).drop("h1"), None
-    sample = entries.select("h2", "h1", "vector").orderBy("h2", "h1").limit(TRAIN_ROWS).collect()
-    points = np.array([r.vector for r in sample])
+    most = min(TRAIN_ROWS, max(1, TRAIN_BYTES // (8 * size.dims)))
+    sample = entries.select("h2", "h1", "vector").orderBy("h2", "h1").limit(most).select("vector").toArrow()
+    points = _matrix(sample.column(0).combine_chunks(), size.dims)
     half = size.dims // 2
     wanted = centroids or int(np.clip(round(sqrt(size.n / CELL_ROWS)), 4, MOST_CENTROIDS))
     books = Codebooks(np.zeros((1, half)), np.zeros((1, size.dims - half + 1)), size.longest)
@@ -178,7 +183,7 @@ def build_index(vectors: DataFrame, k: int = 20, centroids: int | None = None) -
     for row in filed.groupBy("cell").agg(F.count("*").alias("n"), F.sum("left").alias("left")).collect():
         counts[row.cell] = row.n
         left += row.left
-    books.lay_out(counts, left / size.n)
+    books.lay_out(counts, left / size.n, min(max(PART_ROWS, -(-size.n // PARTS)), max(1, PART_BYTES // (8 * size.dims))))
     return filed.drop("left"), books
 
 
@@ -225,27 +230,61 @@ def search(entries: DataFrame, books: Codebooks | None, queries: DataFrame, k: i
         both = entries.select("ids", "vector", "h2", "cell").mapInArrow(index_rows, union).unionByName(once.mapInArrow(query_rows, union))
         dealt = both.repartition(min(books.n_parts, most), "part").sortWithinPartitions("part", "kind")
         best = dealt.mapInArrow(lambda batches: _rerank(batches, dims, k), spec)
-    found = best.select("h1", "h2", F.explode("found").alias("x")).select("h1", "h2", "x.vec_id", "x.score")
-    found = found.groupBy("h1", "h2", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
-    lists = (
-        found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).groupBy("h1", "h2")
-        .agg(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id")).alias("found")))
+    # one row for each query and part, and of each query one row goes on
+    lists = best.repartition("h1", "h2").sortWithinPartitions("h1", "h2").mapInArrow(lambda batches: _merged(batches, k), spec)
     asked = queries.select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct()
     joined = common.salted_join(asked, lists, ["h1", "h2"], F.col("query_id"))
     pairs = joined.select("query_id", F.explode("found").alias("x")).filter(F.col("x.vec_id") != F.col("query_id"))
-    pairs = pairs.groupBy("query_id", "x.vec_id").agg(F.min("x.minus").alias("minus"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("minus", "vec_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", (-F.col("minus")).alias("score"))
+    pairs = pairs.groupBy("query_id", "x.vec_id").agg(F.max("x.score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 _NAMES = ["part", "kind", "h1", "h2", "ids", "cells", "vector"]
 
 
+_PAIRS = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
+
+
+def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Lists sorted by query to the k + 1 best of each query, an id once with its best score."""
+    current, best, out = None, {}, []
+
+    def closed() -> tuple:
+        return (*current, [{"vec_id": i, "score": s} for i, s in best.items()])
+
+    def rows() -> pa.RecordBatch:
+        h1, h2, found = zip(*out, strict=True)
+        return pa.record_batch([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(found, _PAIRS)], ["h1", "h2", "found"])
+
+    for batch in batches:
+        lengths = np.asarray(batch.column(2).value_lengths().fill_null(0)).tolist()
+        flat = batch.column(2).flatten()
+        ids, scores = flat.field(0).to_pylist(), flat.field(1).to_pylist()
+        at = 0
+        for key, n in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lengths, strict=True):
+            if key != current:
+                if best:
+                    out.append(closed())
+                current, best = key, {}
+            for i, s in zip(ids[at:at + n], scores[at:at + n], strict=True):
+                if s > best.get(i, -np.inf):
+                    best[i] = s
+            at += n
+            if len(best) > k + 1:
+                best = dict(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k + 1])
+        if len(out) >= 1024:
+            yield rows()
+            out = []
+    if best:
+        out.append(closed())
+    if out:
+        yield rows()
+
+
 def _rerank(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (part, kind): the entries of a part, then the queries that visit it."""
     current, entries, index = None, [], None
-    pair = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
     for batch in batches:
         parts, kinds = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         cuts = np.flatnonzero((np.diff(parts) != 0) | (np.diff(kinds) != 0)) + 1
@@ -260,10 +299,11 @@ def _rerank(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterator[pa
                 continue
             if index is None:
                 index = _Part(entries, dims)
-            for q in range(0, len(some), 512):
-                asked = some.slice(q, 512)
+            step = max(1, min(512, (4 << 20) // max(1, len(index.ids))))
+            for q in range(0, len(some), step):
+                asked = some.slice(q, step)
                 found = index.best(_matrix(asked.column(6), dims), asked.column(5).to_pylist(), k)
-                yield pa.record_batch([asked.column(2), asked.column(3), pa.array(found, pair)], ["h1", "h2", "found"])
+                yield pa.record_batch([asked.column(2), asked.column(3), pa.array(found, _PAIRS)], ["h1", "h2", "found"])
 
 
 class _Part:
@@ -293,16 +333,20 @@ class _Part:
                 scores[who, s:e] = queries[who] @ self.vectors[s:e].T
         out = []
         for q, row in enumerate(scores):
-            n = min(k + 1, int(np.isfinite(row).sum()))
-            if not n:
-                out.append([])
-                continue
-            bound = np.partition(row, len(row) - n)[len(row) - n]
-            near = np.flatnonzero(row >= bound - 1e-9 * max(1.0, abs(bound)))
-            exact = np.cumsum(self.vectors[near] * queries[q], axis=1)[:, -1]
-            order = np.lexsort((self.first[near], -exact))[:k + 1]
-            pairs = sorted((-exact[o], i) for o in order for i in self.ids[near[o]])[:k + 1]
-            out.append([{"vec_id": i, "score": -s} for s, i in pairs])
+            finite, n, pairs = int(np.isfinite(row).sum()), k + 1, {}
+            while finite and len(pairs) < k + 1:
+                n = min(n, finite)
+                bound = np.partition(row, len(row) - n)[len(row) - n]
+                near = np.flatnonzero(row >= bound - 1e-9 * max(1.0, abs(bound)))
+                exact = np.cumsum(self.vectors[near] * queries[q], axis=1)[:, -1]
+                order = np.lexsort((self.first[near], -exact))[:n]
+                pairs = {}
+                for s, i in sorted((-exact[o], i) for o in order for i in self.ids[near[o]]):
+                    pairs.setdefault(i, -s)
+                if n == finite:
+                    break
+                n *= 2  # the same few ids with many vectors each
+            out.append([{"vec_id": i, "score": s} for i, s in list(pairs.items())[:k + 1]])
         return out
 
 

@@ -5,6 +5,7 @@ terms keep a weight, on the words, word beginnings and runs of signs that a text
 categories before it. For training,
 those probabilities are out of fold: a row's earlier categories are predicted by models that have not seen the row, so a
 later model learns from predictions as good as those it will meet. For prediction they come from models fitted on all folds.
+The fits of one category, on all rows and without each fold, do not depend on each other and run at the same time.
 
 Fitting takes at most ``max_rows`` labelled rows, those with the smallest hash of their id, and the VOCABULARY most frequent
 terms that MIN_TEXTS of them hold; a row without a label for a
@@ -17,7 +18,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -40,26 +43,44 @@ def terms(text: Column, prefix: int = PREFIX) -> Column:
 
 def featured(rows: DataFrame, vocabulary: CountVectorizerModel) -> DataFrame:
     """Adds ``x``, which terms of the vocabulary ``text`` holds; the text goes."""
-    return vocabulary.transform(rows.withColumn("terms_", terms(F.col("text")))).drop("text", "terms_")
+    return plain(vocabulary.transform(rows.withColumn("terms_", terms(F.col("text")))), "x").drop("text", "terms_")
 
 
-def _probability(model: LogisticRegressionModel | float, rows: DataFrame, inputs: list[str], name: str) -> DataFrame:
+def plain(rows: DataFrame, name: str) -> DataFrame:
+    """The column without its metadata, which names every term and would travel with every task of every round."""
+    return rows.withColumn(name, F.col(name).alias(name, metadata={}))
+
+
+def _appended(rows: DataFrame, inputs: str, name: str) -> DataFrame:
+    """The vector ``inputs`` with the number ``name`` as one more component."""
+    longer = VectorAssembler(inputCols=[inputs, name], outputCol="longer_").transform(rows)
+    return plain(longer.drop(inputs).withColumnRenamed("longer_", inputs), inputs)
+
+
+def _probability(model: LogisticRegressionModel | float, rows: DataFrame, name: str) -> DataFrame:
     if isinstance(model, float):
         return rows.withColumn(name, F.lit(model))
-    out = model.transform(VectorAssembler(inputCols=inputs, outputCol="in_").transform(rows))
-    return out.withColumn(name, vector_to_array("p_")[1]).drop("in_", "p_")
+    return model.transform(rows).withColumn(name, vector_to_array("p_")[1]).drop("p_")
 
 
-def _fit(rows: DataFrame, inputs: list[str], label: str, regularisation: float, rounds: int) -> LogisticRegressionModel | float:
+def _fit(rows: DataFrame, inputs: str, label: str, regularisation: float, rounds: int) -> LogisticRegressionModel | float:
     rows = rows.filter(F.col(label).isNotNull())
     shares = rows.agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("share")).first()
     if not shares.n or shares.share in (0.0, 1.0):
         return float(shares.share or 0.0)
-    fitted = VectorAssembler(inputCols=inputs, outputCol="in_").transform(rows.withColumn("y_", F.col(label).cast("double")))
     learner = LogisticRegression(
-        featuresCol="in_", labelCol="y_", probabilityCol="p_", predictionCol="", rawPredictionCol="", regParam=regularisation,
+        featuresCol=inputs, labelCol="y_", probabilityCol="p_", predictionCol="", rawPredictionCol="", regParam=regularisation,
         elasticNetParam=1.0, standardization=False, maxIter=rounds, tol=1e-4, aggregationDepth=2)
-    return learner.fit(fitted)
+    return learner.fit(rows.select(inputs, F.col(label).cast("double").alias("y_")))
+
+
+def out_of_fold(rows: DataFrame, models: Sequence[LogisticRegressionModel | float], name: str) -> DataFrame:
+    """Adds ``name``, each row's probability by the model that was fitted without the row's ``fold``."""
+    parts = [_probability(model, rows.filter(F.col("fold") == fold), name) for fold, model in enumerate(models)]
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = joined.unionByName(part)
+    return joined
 
 
 @dataclass
@@ -77,7 +98,7 @@ class Chain:
     def rate(self, rows: DataFrame) -> DataFrame:
         """The rows of ``featured`` with a probability ``p_<category>`` for each category instead of their features."""
         for i, (category, model) in enumerate(zip(self.categories, self.models, strict=True)):
-            rows = _probability(model, rows, ["x", *(f"p_{c}" for c in self.categories[:i])], f"p_{category}")
+            rows = _probability(model, rows if i == 0 else _appended(rows, "x", f"p_{self.categories[i - 1]}"), f"p_{category}")
         return rows.drop("x")
 
 
@@ -97,23 +118,17 @@ def fit_chain(
         return Chain(list(categories), [0.0] * len(categories), known)
     known = CountVectorizer(inputCol="terms_", outputCol="x", vocabSize=vocabulary, minDF=MIN_TEXTS, binary=True)
     known = known.setMinDF(min(MIN_TEXTS, held.count())).fit(held)
-    rows = known.transform(held).drop("terms_").withColumn("fold", F.pmod(order, F.lit(folds)))
-    rows = rows.coalesce(TASKS).persist()
+    rows = plain(known.transform(held), "x").drop("terms_").withColumn("fold", F.pmod(order, F.lit(folds)))
     models: list[LogisticRegressionModel | float] = []
-    seen: list[str] = []
     for i, category in enumerate(categories):
-        inputs = ["x", *seen]
-        models.append(_fit(rows, inputs, f"y_{category}", regularisation, rounds))
-        if i + 1 < len(categories):
-            parts = []
-            for fold in range(folds):
-                model = _fit(rows.filter(F.col("fold") != fold), inputs, f"y_{category}", regularisation, rounds)
-                parts.append(_probability(model, rows.filter(F.col("fold") == fold), inputs, f"p_{category}"))
-            joined = parts[0]
-            for part in parts[1:]:
-                joined = joined.unionByName(part)
-            rows = joined.coalesce(TASKS).persist()
-            seen.append(f"p_{category}")
+        # the rounds read a table in few tasks, which carry neither the lineage nor the names of the terms
+        rows = common.written(rows, "toxicity-rows").coalesce(TASKS)
+        samples = [rows, *(rows.filter(F.col("fold") != fold) for fold in range(folds) if i + 1 < len(categories))]
+        with ThreadPool(len(samples)) as pool:
+            whole, *without = pool.map(inheritable_thread_target(docs.sparkSession)(lambda some: _fit(some, "x", f"y_{category}", regularisation, rounds)), samples)  # noqa: B023
+        models.append(whole)
+        if without:
+            rows = _appended(out_of_fold(rows, without, f"p_{category}"), "x", f"p_{category}").drop(f"p_{category}")
     return Chain(list(categories), models, known)
 
 
