@@ -22,7 +22,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,9 +51,10 @@ def plain(rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumn(name, F.col(name).alias(name, metadata={}))
 
 
-def _appended(rows: DataFrame, inputs: str, name: str) -> DataFrame:
-    """The vector ``inputs`` with the number ``name`` as one more component."""
-    longer = VectorAssembler(inputCols=[inputs, name], outputCol="longer_").transform(rows)
+def _appended(rows: DataFrame, inputs: str, size: int, name: str) -> DataFrame:
+    """The vector ``inputs`` of ``size`` components with the number ``name`` as one more."""
+    sized = VectorSizeHint(inputCol=inputs, size=size, handleInvalid="optimistic").transform(rows)
+    longer = VectorAssembler(inputCols=[inputs, name], outputCol="longer_").transform(sized)
     return plain(longer.drop(inputs).withColumnRenamed("longer_", inputs), inputs)
 
 
@@ -97,8 +98,9 @@ class Chain:
 
     def rate(self, rows: DataFrame) -> DataFrame:
         """The rows of ``featured`` with a probability ``p_<category>`` for each category instead of their features."""
+        size = len(self.vocabulary.vocabulary)
         for i, (category, model) in enumerate(zip(self.categories, self.models, strict=True)):
-            rows = _probability(model, rows if i == 0 else _appended(rows, "x", f"p_{self.categories[i - 1]}"), f"p_{category}")
+            rows = _probability(model, rows if i == 0 else _appended(rows, "x", size + i - 1, f"p_{self.categories[i - 1]}"), f"p_{category}")
         return rows.drop("x")
 
 
@@ -120,6 +122,7 @@ def fit_chain(
     known = known.setMinDF(min(MIN_TEXTS, held.count())).fit(held)
     rows = plain(known.transform(held), "x").drop("terms_").withColumn("fold", F.pmod(order, F.lit(folds)))
     models: list[LogisticRegressionModel | float] = []
+    size = len(known.vocabulary)
     for i, category in enumerate(categories):
         # the rounds read a table in few tasks, which carry neither the lineage nor the names of the terms
         rows = common.written(rows, "toxicity-rows").coalesce(TASKS)
@@ -128,7 +131,7 @@ def fit_chain(
             whole, *without = pool.map(inheritable_thread_target(docs.sparkSession)(lambda some: _fit(some, "x", f"y_{category}", regularisation, rounds)), samples)  # noqa: B023
         models.append(whole)
         if without:
-            rows = _appended(out_of_fold(rows, without, f"p_{category}"), "x", f"p_{category}").drop(f"p_{category}")
+            rows = _appended(out_of_fold(rows, without, f"p_{category}"), "x", size + i, f"p_{category}").drop(f"p_{category}")
     return Chain(list(categories), models, known)
 
 
