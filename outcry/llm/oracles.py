@@ -48,3 +48,19 @@ b AS (SELECT page_id, url, list_transform(regexp_split_to_array(article, '</?(?:
   '\\s+', ' ', 'g'))) AS blocks FROM a),
 t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM t"""
+
+def terms_sql(text: str) -> str:
+    """Runs of digits, A-Z, a-z and characters beyond ASCII, A-Z in lower case."""
+    return f"list_transform(regexp_extract_all(coalesce({text}, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: translate(w, '{UPPER}', '{UPPER.lower()}'))"
+
+
+RANKED_SEARCH = f"""WITH d AS (SELECT doc_id, {terms_sql("text")} AS w FROM documents),
+b AS (SELECT DISTINCT item_id, unnest({terms_sql("text")}) AS t FROM benchmark),
+c AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY 1),
+g AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM f, c),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM b JOIN p USING (t) JOIN g USING (t), c GROUP BY 1, 2),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outcry.llm import ann, dart_dedup, decontaminate, html_text, oracles, packing, pii, token_count, token_file, toxicity, warc
+from outcry.llm import ann, dart_dedup, decontaminate, html_text, oracles, packing, pii, ranking, secrets, token_count, token_file, toxicity, warc
 from outcry.llm.common import crc, table, tokenizer_path, written
 from outcry.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
-    "op3_near_duplicates": oracles.NEAR_DUPLICATES, "op5_warc": oracles.WARC, "op6_main_text": oracles.MAIN_TEXT, "op10_decontaminate": oracles.DECONTAMINATION}
+    "op3_near_duplicates": oracles.NEAR_DUPLICATES, "op5_warc": oracles.WARC, "op6_main_text": oracles.MAIN_TEXT, "op10_decontaminate": oracles.DECONTAMINATION,
+    "op11_ranked_search": oracles.RANKED_SEARCH}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -81,3 +82,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    counts = {f"n_{kind}": secrets.count_of(kind) for kind in secrets.KINDS[:3]}
+    return found.withColumns(counts).select("doc_id", *counts, F.sha2(secrets.listed(secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.listed().alias("spans"))
