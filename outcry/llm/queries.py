@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outcry.llm import ann, dart_dedup, decontaminate, html_text, oracles, packing, pii, ranking, secrets, token_count, token_file, toxicity, warc
+from outcry.llm import ann, dart_dedup, decontaminate, hard_negatives, html_text, oracles, packing, pii, ranking, secrets, token_count, token_file, toxicity, warc
 from outcry.llm.common import crc, table, tokenizer_path, written
 from outcry.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op3_near_duplicates": oracles.NEAR_DUPLICATES, "op5_warc": oracles.WARC, "op6_main_text": oracles.MAIN_TEXT, "op10_decontaminate": oracles.DECONTAMINATION,
-    "op11_ranked_search": oracles.RANKED_SEARCH}
+    "op11_ranked_search": oracles.RANKED_SEARCH, "op13_hard_negatives": oracles.HARD_NEGATIVES}
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -94,3 +94,10 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     counts = {f"n_{kind}": secrets.count_of(kind) for kind in secrets.KINDS[:3]}
     return found.withColumns(counts).select("doc_id", *counts, F.sha2(secrets.listed(secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.listed().alias("spans"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", shifted), every=50, positives=5, negatives=3)

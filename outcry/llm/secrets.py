@@ -92,11 +92,6 @@ class Scanner:
                 held = [0] * len(kinds)
                 total = 0
                 for i, c in enumerate(text):
-                    n = count.get(c, 0)
-                    count[c] = n + 1
-                    total += weight[n + 1] - weight[n]
-                    for k, kind in enumerate(kinds):
-                        held[k] += c in kind
                     if i >= w:
                         gone = text[i - w]
                         n = count[gone]
@@ -104,6 +99,11 @@ class Scanner:
                         total -= weight[n] - weight[n - 1]
                         for k, kind in enumerate(kinds):
                             held[k] -= gone in kind
+                    n = count.get(c, 0)
+                    count[c] = n + 1
+                    total += weight[n + 1] - weight[n]
+                    for k, kind in enumerate(kinds):
+                        held[k] += c in kind
                     if i >= w - 1 and total <= most and all(held):
                         found.append((offset + i - w + 1, offset + i + 1, weight[w] - total))
         return found
