@@ -5,7 +5,7 @@ terms keep a weight, on the words, word beginnings and runs of signs that a text
 categories before it. For training,
 those probabilities are out of fold: a row's earlier categories are predicted by models that have not seen the row, so a
 later model learns from predictions as good as those it will meet. For prediction they come from models fitted on all folds.
-The fits of one category, on all rows and without each fold, do not depend on each other and run at the same time.
+The fits of one category, on all rows and without each fold, do not depend on each other and run FITS at a time.
 
 Fitting takes at most ``max_rows`` labelled rows, those with the smallest hash of their id, and the VOCABULARY most frequent
 terms that MIN_TEXTS of them hold; a row without a label for a
@@ -32,6 +32,8 @@ from outcry.llm import common
 MAX_ROWS, FOLDS, VOCABULARY, MIN_TEXTS, PREFIX, THRESHOLD = 20_000, 3, 1 << 16, 3, 4, 0.5
 #: Tasks that hold the training rows, which are bounded; so few need no shuffle to add up gradients.
 TASKS = 4
+#: Fits at the same time. Each keeps some dozens of arrays as wide as the vocabulary in the driver.
+FITS = 2
 
 
 def terms(text: Column, prefix: int = PREFIX) -> Column:
@@ -127,8 +129,8 @@ def fit_chain(
         # the rounds read a table in few tasks, which carry neither the lineage nor the names of the terms
         rows = common.written(rows, "toxicity-rows").coalesce(TASKS)
         samples = [rows, *(rows.filter(F.col("fold") != fold) for fold in range(folds) if i + 1 < len(categories))]
-        with ThreadPool(len(samples)) as pool:
-            whole, *without = pool.map(inheritable_thread_target(docs.sparkSession)(lambda some: _fit(some, "x", f"y_{category}", regularisation, rounds)), samples)  # noqa: B023
+        with ThreadPool(FITS) as pool:
+            whole, *without = pool.map(inheritable_thread_target(docs.sparkSession)(lambda some: _fit(some, "x", f"y_{category}", regularisation, rounds)), samples, chunksize=1)  # noqa: B023
         models.append(whole)
         if without:
             rows = _appended(out_of_fold(rows, without, f"p_{category}"), "x", size + i, f"p_{category}").drop(f"p_{category}")
