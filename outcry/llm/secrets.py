@@ -52,7 +52,7 @@ CLASSES = {
 ALLOW = (
     "[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
     ".*(?:EXAMPLE|Example|example|PLACEHOLDER|placeholder|XXXX|xxxx).*",
-    "(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4})(?:[/_=+-]++(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}))*+[/_=+-]*",
+    "[/_=+-]*+(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4})(?:[/_=+-]++(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}))*+[/_=+-]*",
     "(?:[A-Z][a-z]{2,}+|[a-z]{3,}+)++[0-9]{0,4}",
 )
 
