@@ -487,7 +487,7 @@ def digest_sql(name: str, rows: str, columns: list[str]) -> str:
     sql = f"""SELECT h AS p, sha256(h || ':' || count(*)) AS d, count(*) AS c FROM (SELECT sha256({text_}) AS h FROM ({rows})) GROUP BY h"""
     for n in writers.PREFIXES:
         sql = f"SELECT substr(p, 1, {n}) AS p, sha256(string_agg(d, '' ORDER BY p)) AS d, CAST(sum(c) AS BIGINT) AS c FROM ({sql}) GROUP BY substr(p, 1, {n})"
-    return f"SELECT '{name}' AS resource, c AS records, d AS digest FROM ({sql})"
+    return f"SELECT '{name}' AS resource, coalesce(max(c), 0) AS records, coalesce(max(d), sha256('')) AS digest FROM ({sql})"
 
 
 @query("export_with_manifest", f"WITH {DOCUMENTS_SQL}, {AUDIT_SQL} " + digest_sql(

@@ -15,7 +15,7 @@ from outcry.plans.views import AS_OF, COMPLAINTS_SQL, complaints, series_sql, ta
 from outcry.operators import vectors
 from outcry.schemas import COMPLAINT, EVENTS
 from outcry.session import scratch_path
-from outcry.streaming import base, ingest, state, windows
+from outcry.streaming import base, ingest, late, state, windows
 
 
 def in_steps(parts, path: str, run, fmt: str = "parquet"):
@@ -62,28 +62,45 @@ def stream_dedupe(spark, sf):
 
 
 def _complaint_parts(spark, sf):
+    """All complaints in three landings: those of the early years, those after, and rows of the early years that come late."""
     c = complaints(spark, sf).select("source_id", "cluster_id", "date_added")
-    cut = F.expr("timestamp_ntz'2001-03-01'")
-    recent = c.where(F.col("date_added") >= F.expr("timestamp_ntz'2001-01-01'"))
-    # The crash rows of the first weeks land last: they are late.
+    cut = F.expr("timestamp_ntz'1998-06-01'")
     late = F.col("source_id").like("1%") & (F.col("date_added") < cut)
-    return [recent.where((F.col("date_added") < cut) & ~late), recent.where(F.col("date_added") >= cut), recent.where(late)]
+    return [c.where((F.col("date_added") < cut) & ~late), c.where(F.col("date_added") >= cut), c.where(late)]
 
 
-YEAR_SQL = f"WITH {COMPLAINTS_SQL}, {series_sql(308, AS_OF)}"
+# all years
+ALL_SQL = f"WITH {COMPLAINTS_SQL}, {series_sql(36500, AS_OF)}"
 
 
-@query("stream_weekly_counts", YEAR_SQL + " SELECT key, wk, v FROM series")
+@query("stream_weekly_counts", ALL_SQL + " SELECT key, wk, v, i, n, 0::BIGINT AS dropped FROM series")
 def stream_weekly_counts(spark, sf):
+    """A watermark of two weeks; rows years behind it come in by the repair."""
     out = scratch_path(spark, "weekly")
-    parts = _complaint_parts(spark, sf)
+    parts, dropped = _complaint_parts(spark, sf), []
 
     def run():
         s = base.file_stream(spark, f"{out}/in", parts[0].schema)
-        windows.run_weekly_counts(s, "400 days", f"{out}/counts", f"{out}/ck")
+        dropped.append(late.run_repaired_counts(s, 14, out, f"{out}/ck"))
+
+    in_steps(parts, f"{out}/in", run)
+    return late.repaired_counts(spark, out).withColumn("dropped", F.lit(sum(dropped)).cast("long"))
+
+
+@query("stream_late_rows", f"""WITH {COMPLAINTS_SQL}, w AS (SELECT cluster_id AS key, date_added, CAST(date_added AS DATE) - CAST(extract(dow FROM date_added) AS INT) AS wk,
+  source_id LIKE '1%' AND date_added < TIMESTAMP '1998-06-01' AS held FROM complaints), f AS (SELECT max(date_added) AS newest FROM w WHERE NOT held)
+SELECT key, wk, count(*) AS v FROM w, f WHERE held AND CAST(wk + 7 AS TIMESTAMP) <= newest - INTERVAL 14 DAY GROUP BY 1, 2""")
+def stream_late_rows(spark, sf):
+    """What the repair folds in."""
+    out = scratch_path(spark, "late")
+    parts = _complaint_parts(spark, sf)
+
+    def run():
+        late.route(base.file_stream(spark, f"{out}/in", parts[0].schema), 14, out, f"{out}/ck")
 
     in_steps(parts, f"{out}/in", run)
-    return windows.latest_updates(base.read_batches(spark, f"{out}/counts"), ["key", "wk"], ["v"])
+    late.fold_late(spark, out, parts[0].schema)
+    return base.read_batches(spark, f"{out}/repairs").groupBy("key", "wk").agg(F.sum("v").alias("v"))
 
 
 def _partials(spark, sf):
@@ -98,19 +115,19 @@ def _partials(spark, sf):
     return out
 
 
-@query("stream_weekly_partials", YEAR_SQL + " SELECT key, wk, v, i, n FROM series")
+@query("stream_weekly_partials", ALL_SQL + " SELECT key, wk, v, i, n FROM series")
 def stream_weekly_partials(spark, sf):
     return windows.sum_partials(base.read_batches(spark, _partials(spark, sf) + "/counts"))
 
 
-@query("stream_alerts", YEAR_SQL + f""", cut AS (SELECT * FROM {SPIKE.format(k=4)}
+@query("stream_alerts", ALL_SQL + f""", cut AS (SELECT * FROM {SPIKE.format(k=4)}
 WHERE i >= 4 AND c*q-s*s > 0 AND c*v-s > 0 AND (c*v-s)*(c*v-s) > 9*(c*q-s*s))
 SELECT key, wk, v, i, round((c*v-s)/sqrt(c*q-s*s), 6) AS z FROM cut WHERE wk IN
 (SELECT wk FROM series s2 WHERE s2.key = cut.key AND EXISTS (SELECT 1 FROM complaints c WHERE c.cluster_id = cut.key AND source_id LIKE '1%'
-  AND date_added >= TIMESTAMP '2001-01-01' AND date_added < TIMESTAMP '2001-03-01'
+  AND date_added < TIMESTAMP '1998-06-01'
   AND CAST(date_added AS DATE) - CAST(extract(dow FROM date_added) AS INT) = s2.wk))""")
 def stream_alerts(spark, sf):
-    """Alerts of the last batch, which repairs the first weeks with the rows that came late."""
+    """Alerts of the last batch, which repairs the early years with the rows that came late."""
     alerts = base.read_version(spark, _partials(spark, sf) + "/alerts", 2)
     return alerts.select("key", "wk", "v", "i", *r6("z"))
 

@@ -8,7 +8,7 @@ from helpers import rows
 from outcry.operators import maintain, series
 from outcry.operators.clean import check_bulk, good
 from outcry.schemas import COMPLAINT, RAW_BULK
-from outcry.streaming import base, ingest, state, windows
+from outcry.streaming import base, ingest, late, state, windows
 from test_tables import EVENT, FIELDS, plain_fold, random_events
 
 
@@ -70,6 +70,34 @@ def test_late_rows_count_in_partials_and_are_found(spark, tmp_path):
     assert rows(repaired.groupBy("key", "wk").agg(F.sum("v").alias("v")), "key", "wk", "v") == [w[:3] for w in want]
 
 
+def test_rows_behind_the_watermark_are_folded_back(spark, tmp_path):
+    parts = [complaints(spark, ("a", "2024-01-02"), ("a", "2024-03-05"), ("b", "2024-02-01")),
+             complaints(spark, ("a", "2024-01-03"), ("a", "2024-03-06"), ("c", "2020-02-29"), (None, "2024-03-01")),
+             complaints(spark, ("a", "2024-03-20"), ("a", "2024-01-03"), ("b", "2024-03-06"))]
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    seen, watch = parts[0].limit(0), late.DropWatch()
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(src)
+        seen = seen.unionByName(part)
+        for _ in range(2):  # a second run finds nothing new and changes nothing
+            assert late.run_repaired_counts(base.file_stream(spark, src, part.schema), 7, out, ck, watch=watch) == 0
+        want = rows(series.weekly_counts(seen, "2024-03-31", days=3650), "key", "wk", "v", "i", "n")
+        assert rows(late.repaired_counts(spark, out), "key", "wk", "v", "i", "n") == want
+    # the windows alone lack the rows that came late
+    alone = windows.latest_updates(base.read_batches(spark, f"{out}/counts"), ["key", "wk"], ["v"])
+    assert alone.agg(F.sum("v")).first()[0] == 9 - 3
+    assert rows(base.read_batches(spark, f"{out}/late"), "cluster_id", "batch") == [("a", 1), ("a", 2), ("c", 1)]
+
+
+def test_the_watch_sees_dropped_rows(spark, tmp_path):
+    src, out, watch, lost = str(tmp_path / "in"), str(tmp_path / "out"), late.DropWatch(), []
+    for day in ("2024-03-05", "2024-01-03"):
+        complaints(spark, ("a", day)).write.mode("append").parquet(src)
+        stream = base.file_stream(spark, src, complaints(spark, ("a", day)).schema)
+        lost.append(watch.watch(spark, lambda s=stream: windows.run_weekly_counts(s, "7 days", out, str(tmp_path / "ck"))))
+    assert lost == [0, 1] and sum(watch.dropped.values()) == 1
+
+
 def test_landing_time_keeps_old_records(spark, tmp_path):
     src = str(tmp_path / "in")
 
