@@ -1,13 +1,18 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 Protected entities are what the base patterns find: e-mail and IP addresses, card and phone numbers. A term (a word of three
-letters or more) reveals an entity if the corpus says so: from how many texts hold the entity, the term, and the term within
-CONTEXT characters of the entity follow the pointwise mutual information of the two and the information content of the entity.
-Their ratio is 1 if the term always means the entity and 0 if it says nothing. Every term near every entity is scored, however
-seldom the two meet. Chance is curbed by smoothing: the share of a term's texts in which it meets the entity is discounted by
-c / (c + SMOOTHING) for c different contexts (copies of a passage are one context), so a meeting seen once needs an entity of
-more content. A term whose smoothed ratio reaches GENERALISE for some entity is generalised to its kind wherever it stands in
-the corpus; from REMOVE on it is removed. Base spans are replaced by their kind.
+letters or more) reveals an entity if the corpus says so. Every term within CONTEXT characters of an entity is scored, however
+seldom the two meet. Of a term's texts, those where it stands near the entity speak for the share in which it means the entity
+(copies of a passage are one context and speak once), those where it does not speak against; from both comes the lower end of a
+confidence interval of that share, so what chance would do as well is no evidence. A meeting seen once gives at most a half, and
+one text with the term and without the entity brings that to a fifth, whatever the size of the corpus. Two measures follow:
+
+* the bits of the entity that stay unknown to who knows the term, the share's negative logarithm;
+* the mutual information of term and entity by the information content of the entity (from the texts that hold it): 1 if the term
+  always means the entity, 0 if it says nothing. An entity that much of the corpus holds has little content to reveal.
+
+A term that leaves at most UNKNOWN bits and reaches GENERALISE is generalised to its kind wherever it stands in the corpus; one
+that leaves at most REMOVE bits is removed. Base spans are replaced by their kind.
 
 Counts run over all texts. A term's texts are counted where the texts with entities leave the ratio possible, after a filter
 by hash buckets (at most BUCKETS numbers, broadcast); what remains is joined exactly. No group is collected: the only lists
@@ -37,7 +42,9 @@ PATTERNS = {
 GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _TERM = r"\p{L}{3,}+"
-CONTEXT, SMOOTHING, GENERALISE, REMOVE, BUCKETS, CHUNK = 100, 1.0, 0.8, 0.95, 1 << 20, 64
+CONTEXT, UNKNOWN, GENERALISE, REMOVE, BUCKETS, CHUNK = 100, 1.0, 0.8, 0.5, 1 << 20, 64
+#: Deviations between the share seen and the lower end of its interval.
+DEVIATIONS = 1.0
 _SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 
 
@@ -130,55 +137,69 @@ def only(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", bucket).join(F.broadcast(terms.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
 
 
-def ratio(total: int, smoothing: float = 0.0) -> Column:
-    """Mutual information of term and entity by the entity's information content, from joint, texts_t, texts_e of ``total`` texts.
+def sure_share(deviations: float = DEVIATIONS) -> Column:
+    """Lower end of the interval (Wilson's) of the share that ``contexts`` are of themselves and the texts of the term without the entity."""
+    yes = F.col("contexts").cast("double")
+    n, z2 = yes + F.greatest(F.col("texts_t") - F.col("joint"), F.lit(0)), deviations * deviations
+    p = yes / n
+    return (p + z2 / (2 * n) - deviations * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
-    With ``smoothing``, from contexts as well.
-    """
-    share = F.least(F.col("joint"), F.col("texts_t")) / F.col("texts_t")
-    if smoothing:
-        share = share * F.col("contexts") / (F.col("contexts") + smoothing)
+
+def ratio(total: int, share: Column) -> Column:
+    """Mutual information of term and entity by the entity's information content, from texts_e of ``total`` texts."""
     content = F.log(F.lit(float(max(total, 1))) / F.col("texts_e"))
     return (F.log(share) + content) / content
 
 
-def revealing_terms(docs: DataFrame, smoothing: float = SMOOTHING, generalise: float = GENERALISE, width: int = CONTEXT) -> DataFrame:
-    """term, smoothed ratio (its largest for any entity) and plain ratio for that entity of the terms whose smoothed ratio reaches ``generalise``; ``docs`` has text."""
-    held = detected(docs.select("text")).filter(F.size("base") > 0)
-    held = common.written(held.select(F.transform("base", lambda x: F.struct(entity(x).alias("entity"), terms_near(F.col("text"), x, width).alias("terms"))).alias("near"), distinct_terms().alias("terms")), "pii-near")
+def _reveals(total: int, unknown: float, generalise: float) -> Column:
+    return (sure_share() >= 2.0**-unknown - 1e-9) & (ratio(total, sure_share()) >= generalise)
+
+
+def revealing_terms(docs: DataFrame, unknown: float = UNKNOWN, generalise: float = GENERALISE, width: int = CONTEXT) -> DataFrame:
+    """term, ratio (plain), smoothed (from the sure share) and left (bits unknown) of the terms that leave at most ``unknown`` bits of some entity and reach ``generalise``.
+
+    Of several entities, the one that is left least unknown counts. ``docs`` has text, and base if it is known.
+    """
+    held = docs.select("text", "base") if "base" in docs.columns else detected(docs.select("text"))
+    near = F.transform("base", lambda x: F.struct(entity(x).alias("entity"), terms_near(F.col("text"), x, width).alias("terms")))
+    held = common.written(held.filter(F.size("base") > 0).select(F.monotonically_increasing_id().alias("row"), near.alias("near"), distinct_terms().alias("terms")), "pii-near")
     total = docs.count()
-    near = held.select(F.explode("near").alias("x")).select("x.entity", F.xxhash64("x.terms").alias("context"), F.explode("x.terms").alias("term"))
-    # equal contexts first fold to one row, so that no entity or term gathers its rows in one task
-    folded = near.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("contexts"))
+    near = held.select("row", F.explode("near").alias("x")).select("row", "x.entity", F.xxhash64("x.terms").alias("context"), F.explode("x.terms").alias("term"))
+    # a text speaks once, however often it says the same; equal contexts fold to one row, so no entity or term gathers its rows in one task
+    once = near.groupBy("row", "entity", "term").agg(F.min("context").alias("context"))
+    folded = once.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("contexts"))
     entities = held.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("texts_e"))
     among = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("texts_t"))
     # a common term meets very many entities and a common entity very many terms
     pairs = common.salted_join(folded, entities, ["entity"], F.col("term")).filter(F.col("texts_e") < total)
     pairs = common.salted_join(pairs, among, ["term"], F.col("entity"))
-    # texts with entities are some of all that hold a term, so this ratio is the most that the term can reach
-    pairs = common.written(pairs.withColumn("most", ratio(total, smoothing)).filter(F.col("most") >= generalise).drop("most", "texts_t"), "pii-pairs")
+    # texts with entities are some of all that hold a term, so this is the most that the term can reach
+    pairs = common.written(pairs.filter(_reveals(total, unknown, generalise)).drop("texts_t"), "pii-pairs")
     counted = only(all_terms(docs), pairs).groupBy("term").agg(F.count("*").alias("texts_t"))
-    rated = pairs.join(counted, "term").withColumns({"ratio": ratio(total), "smoothed": ratio(total, smoothing)})
-    best = rated.filter(F.col("smoothed") >= generalise).groupBy("term").agg(F.max(F.struct("smoothed", "ratio")).alias("best"))
-    return best.select("term", "best.ratio", "best.smoothed")
+    rated = common.salted_join(pairs, counted, ["term"], F.col("entity")).filter(_reveals(total, unknown, generalise))
+    rated = rated.withColumns({"left": -F.log2(sure_share()), "smoothed": ratio(total, sure_share()), "ratio": ratio(total, F.least(F.col("joint"), F.col("texts_t")) / F.col("texts_t"))})
+    best = rated.groupBy("term").agg(F.min(F.struct("left", (-F.col("smoothed")).alias("minus"), "ratio")).alias("best"))
+    return best.select("term", "best.ratio", (-F.col("best.minus")).alias("smoothed"), "best.left")
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING, generalise: float = GENERALISE, width: int = CONTEXT, keep: Column | None = None) -> DataFrame:
-    """doc_id, text, base (base spans) and revealing (spans of revealing terms, with their smoothed ratio) of every row; with ``keep`` also that, as ``kept``."""
+def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unknown: float = UNKNOWN, generalise: float = GENERALISE, width: int = CONTEXT, keep: Column | None = None) -> DataFrame:
+    """doc_id, text, base (base spans) and revealing (spans of revealing terms, with the bits they leave) of every row; with ``keep`` also that, as ``kept``."""
     kept = [] if keep is None else [keep.alias("kept")]
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *kept)
-    risky = common.written(revealing_terms(docs, smoothing, generalise, width).select("term", F.col("smoothed").alias("ratio")), "pii-terms")
+    # the patterns are tried once
+    docs = common.written(detected(docs), "pii-base")
+    risky = common.written(revealing_terms(docs, unknown, generalise, width).select("term", "left"), "pii-terms")
     keyed = docs.withColumn("key", F.xxhash64("text"))
-    where = only(all_terms(keyed, "doc_id", "key"), risky).join(risky, "term")
-    where = where.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("term", "ratio"))).alias("ratios"))
-    where = where.select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), "ratios")
+    where = common.salted_join(only(all_terms(keyed, "doc_id", "key"), risky), risky, ["term"], F.col("key"))
+    where = where.groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("term", "left"))).alias("bits"))
+    where = where.select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), "bits")
     rows = keyed.join(where, keyed.doc_id.eqNullSafe(where.id_) & (keyed.key == where.key_), "left").drop("id_", "key_", "key")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("ratios"), "|"), F.lit(r")(?!\p{L})"))
-    rows = rows.withColumn("pattern", F.when(F.col("ratios").isNotNull(), pattern))
-    rows = with_matches(detected(rows), "found", F.col("text"), F.col("pattern"), "term", F.col("pattern").isNotNull())
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("bits"), "|"), F.lit(r")(?!\p{L})"))
+    rows = rows.withColumn("pattern", F.when(F.col("bits").isNotNull(), pattern))
+    rows = with_matches(rows, "found", F.col("text"), F.col("pattern"), "term", F.col("pattern").isNotNull())
     free = F.filter("found", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    revealing = F.transform(free, lambda x: F.struct(x["kind"], x["start"], x["end"], x["value"], F.element_at("ratios", F.lower(x["value"])).alias("ratio")))
-    return rows.select("doc_id", "text", *(["kept"] if kept else []), "base", F.coalesce(revealing, F.array().cast("array<struct<kind:string,start:long,end:long,value:string,ratio:double>>")).alias("revealing"))
+    revealing = F.transform(free, lambda x: F.struct(x["kind"], x["start"], x["end"], x["value"], F.element_at("bits", F.lower(x["value"])).alias("left")))
+    return rows.select("doc_id", "text", *(["kept"] if kept else []), "base", F.coalesce(revealing, F.array().cast("array<struct<kind:string,start:long,end:long,value:string,left:double>>")).alias("revealing"))
 
 
 def count_of(kind: str) -> Column:
@@ -198,7 +219,7 @@ def clean_text(remove: float = REMOVE) -> Column:
     """
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("put")))
     kind = lambda x: F.when(x["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
-    terms = F.transform("revealing", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), F.when(x["ratio"] >= remove, F.lit("")).otherwise(kind(x)).alias("put")))
+    terms = F.transform("revealing", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), F.when(x["left"] <= remove, F.lit("")).otherwise(kind(x)).alias("put")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def add(state: Column, x: Column) -> Column:
@@ -212,15 +233,16 @@ def clean_text(remove: float = REMOVE) -> Column:
     return F.when(F.size("base") + F.size("revealing") == 0, F.col("text")).otherwise(F.aggregate(spans, start, add, finish))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unknown: float = UNKNOWN, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, text, base, revealing and clean_text of every row."""
-    return find_private(docs, id_col, text_col, smoothing, generalise).withColumn("clean_text", clean_text(remove))
+    return find_private(docs, id_col, text_col, unknown, generalise).withColumn("clean_text", clean_text(remove))
 
 
-def sanitised_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitised_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unknown: float = UNKNOWN, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """The rows of ``docs`` with sanitised texts; other columns stay, and so do null texts."""
     others = [c for c in docs.columns if c != text_col]
-    keep = F.struct(*(F.col(c) for c in others), F.col(text_col).isNull().alias("was_null_"))
-    found = find_private(docs, id_col, text_col, smoothing, generalise, keep=keep)
-    clean = F.when(~F.col("kept.was_null_"), clean_text(remove))
+    was_null = common.free_name(docs, "was_null_")
+    keep = F.struct(*(F.col(c) for c in others), F.col(text_col).isNull().alias(was_null))
+    found = find_private(docs, id_col, text_col, unknown, generalise, keep=keep)
+    clean = F.when(~F.col(f"kept.{was_null}"), clean_text(remove))
     return found.select(*(clean.alias(text_col) if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in docs.columns))

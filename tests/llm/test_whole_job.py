@@ -80,3 +80,81 @@ def test_text_goes_on_behind_adverts():
     long = " ".join(["word"] * 60)
     page = f"<body><h1>A title</h1><div class='share-bar'><a>Tweet</a></div><p>{long}</p><div class='ad'>Buy</div><p>Short end.</p><nav>x</nav><div>Imprint</div></body>"
     assert html_text.main_text(page) == f"A title\n\n{long}\n\nShort end."
+
+
+def plain_revealing(texts):
+    """Spans of revealing terms of every text, by loops over all terms and entities."""
+    import math
+    from collections import Counter, defaultdict
+
+    import regex
+    from helpers_llm import base_spans
+
+    term, total = regex.compile(r"\p{L}{3,}+"), len(texts)
+    bases = [[(k, int(s), int(e)) for k, s, e in (x.split(":") for x in base_spans(t).split(",") if x)] for t in texts]
+    holds = [set(term.findall(t.lower())) for t in texts]
+    texts_t = Counter(w for own in holds for w in own)
+    pairs, texts_e = defaultdict(list), Counter()
+    for t, spans in zip(texts, bases, strict=True):
+        near = defaultdict(set)
+        for kind, s, e in spans:
+            value = t[s:e]
+            entity = (kind, regex.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower())
+            left, right = t[max(0, s - 100):s], t[e:e + 100]
+            left = regex.sub(r"^\S++", "", left) if s > 100 else left
+            right = regex.sub(r"(?<!\S)\S++$", "", right) if len(right) == 100 else right
+            around = regex.sub(r"\S*+(?<=@)\S*+|\S*@\S*+", " ", left + " " + right).lower()
+            words = tuple(dict.fromkeys(term.findall(around)))
+            for w in words:
+                near[entity, w].add(words)
+            texts_e[entity] += not near.get((entity, None))
+            near[entity, None] = {True}
+        for (entity, w), contexts in near.items():
+            if w is not None:
+                pairs[entity, w].append(contexts)
+    left_of = {}
+    for (entity, w), each in pairs.items():
+        content = math.log(total / texts_e[entity])
+        if not content:
+            continue
+        firsts = set()
+        for contexts in each:  # one context for each text: any of them tells copies apart here
+            firsts.add(min(contexts))
+        yes, no = len(firsts), texts_t[w] - len(each)
+        n = yes + no
+        p = yes / n
+        share = (p + 1 / (2 * n) - math.sqrt(p * (1 - p) / n + 1 / (4 * n * n))) / (1 + 1 / n)
+        if share >= 0.5 - 1e-9 and (math.log(share) + content) / content >= 0.8:
+            left_of[w] = min(-math.log2(share), left_of.get(w, 9))
+    out = []
+    for t, spans, own in zip(texts, bases, holds, strict=True):
+        known = [w for w in own if w in left_of]
+        hits = regex.finditer(r"(?i)(?<!\p{L})(?:%s)(?!\p{L})" % "|".join(known), t) if known else ()
+        out.append([(m.start(), m.end()) for m in hits if not any(s < m.end() and m.start() < e for _, s, e in spans)])
+    return out
+
+
+def test_revealing_spans_equal_plain_loops(spark):
+    from helpers_llm import SF, table
+
+    texts = [t or "" for _, t, *_ in table("documents")]
+    # a name that always stands by its number, one that does so in three texts of four, one in one of two
+    texts += [f"Notes of day {i}: ask Zorblaxa at +49 30 7654321 about it {'x' * i}" for i in range(4)]
+    texts += [f"Then {w} Quimblya wrote from 9.8.7.6 to all" for w in ("once", "twice", "thrice")] + ["Quimblya slept"]
+    texts += ["Here Wobbleton has 4111 1111 1111 1111 kept", "Wobbleton again"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.revealing] for r in pii.find_private(frame).collect()}
+    want = plain_revealing(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    marked = {texts[i][s:e].lower() for i, spans in enumerate(want) for s, e in spans}
+    assert {"zorblaxa", "quimblya"} <= marked and "wobbleton" not in marked and "notes" not in marked
+
+
+def test_texts_without_personal_data_stay_as_they_are(spark):
+    from helpers_llm import table
+
+    frame = spark.createDataFrame([(i, t or "") for i, t, *_ in table("documents")], "doc_id long, text string")
+    rows = pii.sanitise(frame).collect()
+    plain = [r for r in rows if not r.base]
+    assert len(plain) > 100 and sum(r.clean_text == r.text for r in plain) >= 0.98 * len(plain)
+    assert any(r.revealing for r in rows)
