@@ -132,6 +132,46 @@ def stream_alerts(spark, sf):
     return alerts.select("key", "wk", "v", "i", *r6("z"))
 
 
+def saved_searches(spark, sf):
+    """One for each customer, from a few criteria to many."""
+    c, n = table(spark, sf, "customer"), F.col("c_custkey")
+    words, types = ["WIDGET", "ring", "Bolt", "gear", "plate"], ["eco", "SMALL", "medium", "promo", "large"]
+    pick = lambda names, by: F.element_at(F.array(*[F.lit(x) for x in names]), (by % len(names) + 1).cast("int"))
+    return c.select(
+        n.cast("string").alias("search_id"), F.concat(F.lit("BRAND#"), (n % 25 + 1).cast("string")).alias("make"), F.when(n % 2 == 0, pick(types, n)).alias("model"),
+        F.when(n % 3 == 0, pick(["red ", "small ", "HOT ", "old "], n)).alias("component"), F.when(n % 4 != 0, (1970 + n % 40).cast("int")).alias("year_from"),
+        (1975 + n % 40).cast("int").alias("year_to"), (n % 5 == 0).alias("has_crash"), (n % 7 == 0).alias("has_fire"), (n % 11 != 0).alias("has_death"), (n % 3 == 1).alias("has_injury"),
+        F.when(n % 2 == 1, pick(words, n)).otherwise("").alias("search"), (n % 13 == 0).alias("paused"))
+
+
+def pick_sql(names: list[str], by: str) -> str:
+    return f"({names!r})[{by} % {len(names)} + 1]"
+
+
+SEARCHES_SQL = f"""searches AS (SELECT CAST(c_custkey AS VARCHAR) AS search_id, 'brand#' || (c_custkey % 25 + 1) AS s_make,
+  CASE WHEN c_custkey % 2 = 0 THEN {pick_sql(["eco", "small", "medium", "promo", "large"], "c_custkey")} ELSE '' END AS s_model,
+  CASE WHEN c_custkey % 3 = 0 THEN {pick_sql(["red ", "small ", "hot ", "old "], "c_custkey")} ELSE '' END AS s_component,
+  CASE WHEN c_custkey % 4 <> 0 THEN 1970 + c_custkey % 40 ELSE 0 END AS low, 1975 + c_custkey % 40 AS high,
+  CASE WHEN c_custkey % 2 = 1 THEN {pick_sql(["widget", "ring", "bolt", "gear", "plate"], "c_custkey")} ELSE '' END AS s_text, c_custkey AS n
+  FROM customer WHERE c_custkey % 13 <> 0)"""
+
+
+@query("stream_search_alerts", f"""WITH {COMPLAINTS_SQL}, {SEARCHES_SQL} SELECT search_id, source_id, date_added FROM complaints JOIN searches
+ON contains(lower(make), s_make) AND contains(lower(model), s_model) AND contains(lower(component), s_component) AND model_year BETWEEN low AND high
+AND (crash OR n % 5 <> 0) AND (fire OR n % 7 <> 0) AND (deaths > 0 OR n % 11 = 0) AND (injuries > 0 OR n % 3 <> 1)
+AND (contains(lower(description), s_text) OR contains(lower(component), s_text))""")
+def stream_search_alerts(spark, sf):
+    out, cut = scratch_path(spark, "searches"), F.expr("timestamp_ntz'1998-06-01'")
+    rows = complaints(spark, sf).drop("order_id", "supplier_id", "cluster_id")
+
+    def run():
+        s = base.file_stream(spark, f"{out}/in", rows.schema)
+        windows.stream_search_alerts(s, lambda session: saved_searches(session, sf), f"{out}/alerts", f"{out}/ck", ["source_id", "date_added"])
+
+    in_steps([rows.where(F.col("date_added") < cut), rows.where(F.col("date_added") >= cut)], f"{out}/in", run)
+    return base.read_batches(spark, f"{out}/alerts").select("search_id", "source_id", "date_added")
+
+
 @query("stream_subscription_state", f"WITH {BILLING_SQL} SELECT * FROM subscriptions")
 def stream_subscription_state(spark, sf):
     out = scratch_path(spark, "billing")

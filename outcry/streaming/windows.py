@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from outcry.operators import detect
+from outcry.operators import alerts, detect
 from outcry.operators.series import indexed, week_start
 from outcry.streaming.base import read_batches, run_available, write_batch
 
@@ -91,6 +91,16 @@ def stream_audit_windows(stream: DataFrame, delay: str = "1 hour", *, size: str
     return out if limit is None else out.where(F.col("events") > limit)
 
 
+def stream_search_alerts(stream: DataFrame, searches, base: str, checkpoint: str, keep: list[str] | None = None) -> None:
+    """Alerts of type "new complaints": the rows of each batch that a saved search matches. ``searches(spark)`` gives the
+    searches to use, afresh for each batch."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        write_batch(alerts.match_searches(batch, searches(batch.sparkSession), keep), base, number)
+
+    run_available(stream, handle, checkpoint)
+
+
 class Crossing(StatefulProcessor):
     """Counts the rows of a key across batches and reports each time the count passes a multiple of the threshold."""
 
