@@ -5,13 +5,19 @@ gaps becomes smallest: into an open sequence or a new one, ties to the tightest.
 hand, so later pieces find one that they fill exactly.
 
 A document's ids (with the end id) are cut only if they exceed a whole sequence, into whole sequences and a last shorter
-piece. Each task packs what it tokenized, so ids are never shuffled; pieces of a batch are placed longest first, open
-sequences go on from batch to batch. Null and empty texts are documents of the end id alone. Repeated ids give pieces each.
+piece. In a first round each task packs what it tokenized; pieces of a batch are placed longest first, open sequences go on from
+batch to batch. A task holds the pieces of a sequence until it is full but for one SLACK-th, which it then gives out; what is
+left at the end, some sequences a task, goes through a second round. There the pieces are dealt to groups of GROUP sequences'
+worth and packed by the same rule, longest first, so the fill hardly depends on how the texts lie in files. Only these ids are
+shuffled.
+
+Null and empty texts are documents of the end id alone. Repeated ids give pieces each; very long texts many pieces. An empty
+table gives an empty result. Extra columns are not read. A task holds the ids of its open sequences, at most those of its split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +27,7 @@ from pyspark.sql import functions as F
 from outcry.llm import common
 from outcry.llm.tokens import encoder
 
-CAPACITY = 4096
+CAPACITY, SLACK, GROUP = 4096, 128, 4096
 
 
 class SumOfSquares:
@@ -58,13 +64,12 @@ class SumOfSquares:
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id and offset of every piece."""
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-    end = np.array([end_id], "<u4").tobytes()
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_())])
+    spec = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long, open boolean"
+    end, slack = np.array([end_id], "<u4").tobytes(), capacity // SLACK
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        enc, bins, base = encoder(tokenizer), SumOfSquares(capacity), TaskContext.get().partitionId() << 40
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        enc = encoder(tokenizer)
         for batch in batches:
             pieces = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -73,12 +78,51 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                     part = ids[at:at + 4 * capacity]
                     pieces.append((doc, k, at // 4, len(part) // 4, part))
             pieces.sort(key=lambda p: -p[3])
-            for some in (pieces[i:i + 2000] for i in range(0, len(pieces), 2000)):
-                rows = [(*p, base + s, o) for p, (s, o) in ((p, bins.place(p[3])) for p in some)]
-                yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=schema)
+            yield pieces
+
+    def placed(groups: Iterator[list[tuple]], name: Callable[[int], int], hold: bool) -> Iterator[pa.RecordBatch]:
+        """Pieces with their places; with ``hold`` those of sequences that stay open come last and are marked."""
+        bins, held, out = SumOfSquares(capacity), {}, []
+        for pieces in groups:
+            for p in pieces:
+                sequence, offset = bins.place(p[3])
+                row = (*p, name(sequence), offset, False)
+                if not hold:
+                    out.append(row)
+                else:
+                    mine = held.setdefault(sequence, [])
+                    if mine is not None:
+                        mine.append(row)
+                        if capacity - offset - p[3] <= slack:
+                            out += mine
+                            held[sequence] = None
+                    else:
+                        out.append(row)
+                if len(out) >= 2000:
+                    yield pa.record_batch(list(map(list, zip(*out, strict=True))), schema=schema)
+                    out = []
+        out += [(*row[:-1], True) for mine in held.values() if mine for row in mine]
+        for some in (out[i:i + 2000] for i in range(0, len(out), 2000)):
+            yield pa.record_batch(list(map(list, zip(*some, strict=True))), schema=schema)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 40
+        return placed(cut(batches), lambda s: base + s, True)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 40
+        return placed((list(zip(*(b.column(c).to_pylist() for c in range(5)), strict=True)) for b in batches), lambda s: -1 - base - s, False)
 
-    spec = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
-    return common.texts(docs, id_col, text_col).mapInArrow(packed, spec)
+    rows = common.written(common.texts(docs, id_col, text_col).mapInArrow(first, spec), "packed")
+    left = rows.filter("open")
+    tokens = left.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
+    groups = max(1, -(-tokens // (capacity * GROUP)))
+    dealt = left.repartition(groups, "sequence_id", "offset").sortWithinPartitions(F.desc("length"), "sequence_id", "offset")
+    return rows.filter("NOT open").drop("open").unionByName(dealt.mapInArrow(second, spec).drop("open"))
 
 
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
