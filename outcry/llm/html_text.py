@@ -6,13 +6,19 @@
    text goes on behind them. A class or id counts if it consists of known names (and words of layout) only. A container with
    a known name as one part goes if half of its text is links or, by class, if it holds less than SHORT characters. Headings
    and paragraphs, list items and table cells never go by their id.
-2. The lengths of the lines in each window of WINDOW lines are summed. Where the sum leaves zero the text surges, where it
-   falls back to zero it dives; the lines between are a region.
-3. Regions inside the page's declared article are kept. Where a page declares none, those are kept whose largest window
-   holds SURGE of the largest window of the page or more.
+2. The lengths of the lines, without what stands in links, are summed over each window of WINDOW lines. Where the sum leaves zero
+   the text surges, where it falls back to zero it dives; the lines between are a region. So a menu of links is a dive, and a
+   block of them between paragraphs parts regions.
+3. Where the page declares an article, regions inside it are kept whole. Elsewhere those are kept whose largest window holds SURGE
+   of the largest window of the page or more, and a region's ends are drawn in: it begins at its first line of STRONG characters
+   or more and ends behind the last, but takes in the lines beside those that are prose by their element or by a full stop, and
+   headings before, not after. A region without such a line is kept whole if the page has none at all.
+4. Lines that say by themselves that they are a notice (of cookies, outside declared articles of rights too) go, and so does what follows a line that opens reader
+   comments, up to the next heading.
 
 Kept lines are joined by an empty line. Null and empty pages give an empty text. Text before an unclosed comment or script
-is read, what follows it is not, as browsers do. Repeated rows give a row each; extra columns are not read.
+is read, what follows it is not, as browsers do. Very long pages are read whole, in time proportional to their length. Repeated
+rows give a row each; an empty table gives an empty one; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +28,13 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SURGE, SHORT = 3, 0.25, 100
+WINDOW, SURGE, SHORT, STRONG = 3, 0.25, 100, 60
 
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -45,11 +52,17 @@ _NAMES = frozenset(
     "sponsor sponsored subscribe subscription toolbar topbar widget".split())
 #: Names and elements behind which the text goes on.
 _PASSED = frozenset("ad ads advert adverts advertisement advertising promo promoted promotion share sharing social sponsor sponsored".split())
-_DEVICES = frozenset("button canvas iframe noscript object svg template".split())
+_DEVICES = frozenset("aside button canvas iframe noscript object svg template".split())
 #: Words of layout beside a name.
 _LAYOUT = frozenset("area bar block box buttons container group holder item items link links list page panel posts site slot unit wrap wrapper".split())
 _PROSE = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th".split())
 _HOLDS = frozenset(("article", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Lines that are notices of rights or of cookies, and lines that open reader comments.
+_RIGHTS = re.compile(r"(?:copyright|\(c\)|©)[\s©]*(?:\(c\)\s*)?\d{4}\b.{0,150}|©.{0,150}|.{0,100}\ball rights reserved\.?", re.IGNORECASE)
+_COOKIES = re.compile(r"(?:we|this (?:web)?site|our (?:web)?site) uses? cookies\b.{0,200}", re.IGNORECASE)
+_COMMENTS = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|responses|replies)(?: \(\d+\))?:?|(?:leave|post|add|write) an? (?:reply|comment|response)\b.{0,40}", re.IGNORECASE)
+_STOP = re.compile(r"[.!?…:;。！？][\"'»”’)\]]*$")
 #: What becomes of an element.
 _KEPT, _GAP, _CLOSED = range(3)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -167,17 +180,25 @@ def _sizes(nodes: list[_Node]) -> tuple[list[int], list[int]]:
     return chars, linked
 
 
-def lines_of(page: str, window: int = WINDOW) -> tuple[list[str], list[bool]]:
-    """(lines, whether each lies in a declared article); what is not wanted is ``window`` empty lines, or none where the text goes on."""
+class Line(NamedTuple):
+    """Text between two block-level tags, whether it lies in a declared article, the block that opened it, characters outside links."""
+
+    text: str
+    held: bool
+    tag: str
+    weight: int
+
+
+def lines_of(page: str, window: int = WINDOW) -> list[Line]:
+    """What is not wanted is ``window`` empty lines, or none where the text goes on."""
     nodes = _nodes(page)
     _match(nodes)
     holders = [0]
     for node in nodes:
         holders.append(holders[-1] + (node.kind == "start" and node.name in _HOLDS))
-    lines: list[str] = []
-    held: list[bool] = []
+    lines: list[Line] = []
     parts: list[str] = []
-    until = -1  # inside a declared article up to here
+    until, link, tag, linked = -1, -1, "", 0  # inside a declared article and inside a link up to here; block and linked characters of the line
     sizes: list[tuple[list[int], list[int]]] = []
 
     def measure(start: int) -> tuple[int, int]:
@@ -187,33 +208,38 @@ def lines_of(page: str, window: int = WINDOW) -> tuple[list[str], list[bool]]:
         return sizes[0][0][end] - sizes[0][0][start], sizes[0][1][end] - sizes[0][1][start]
 
     def flush(inside: bool) -> None:
+        nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append(text)
-            held.append(inside)
+            lines.append(Line(text, inside, tag, max(0, len(text.replace(" ", "")) - linked)))
         parts.clear()
+        linked = 0
 
     i = 0
     while i < len(nodes):
         node, inside = nodes[i], i <= until
         if node.kind == "text":
             parts.append(node.text)
+            if i < link:
+                linked += len("".join(html.unescape(node.text).split()))
         elif node.kind == "start" and node.end is not None and holders[node.end + 1] == holders[i] and (fate := _fate(node, inside, partial(measure, i))):
             flush(inside)
             if fate == _GAP:
-                lines += [""] * window
-                held += [inside] * window
+                lines += [Line("", inside, "", 0)] * window
             i = node.end
         else:
             if node.name in _BLOCKS:
                 flush(inside)
+                tag = node.name if node.kind == "start" else ""
             elif node.name in _SPACES:
                 parts.append(" ")
+            elif node.name == "a" and node.kind == "start" and node.end is not None:
+                link = max(link, node.end)
             if node.kind == "start" and node.name in _HOLDS:
                 until = max(until, len(nodes) if node.end is None else node.end)
         i += 1
     flush(False)
-    return lines, held
+    return lines
 
 
 def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
@@ -233,14 +259,46 @@ def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, in
     return found
 
 
+def _drawn_in(lines: list[Line]) -> list[Line]:
+    """A region of a page that declares no article, from its first strong line to its last with the prose beside them."""
+    strong = [i for i, line in enumerate(lines) if line.weight >= STRONG]
+    if not strong:
+        return []
+    start, end = strong[0], strong[-1] + 1
+
+    def prose(line: Line) -> bool:
+        return line.weight > 0 and (line.tag in _PROSE and line.tag not in _HEADINGS or bool(_STOP.search(line.text)))
+
+    while start and (lines[start - 1].tag in _HEADINGS or prose(lines[start - 1])):
+        start -= 1
+    while end < len(lines) and prose(lines[end]):
+        end += 1
+    return lines[start:end]
+
+
+def _wanted(lines: list[Line], declared: bool) -> list[Line]:
+    """The lines without notices and without what follows the opening of comments; rights may be the article's own."""
+    kept, comments = [], False
+    for line in lines:
+        opens = _COMMENTS.fullmatch(line.text) is not None
+        comments = opens or comments and line.tag not in _HEADINGS
+        if not comments and not _COOKIES.fullmatch(line.text) and (declared or not _RIGHTS.fullmatch(line.text)):
+            kept.append(line)
+    return kept
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
-    lines, held = lines_of(page or "", window)
-    declared = any(h and line for line, h in zip(lines, held, strict=True))
+    lines = lines_of(page or "", window)
+    declared = any(line.held and line.text for line in lines)
     if declared:
-        lines = [line if h else "" for line, h in zip(lines, held, strict=True)]
-    found = regions([len(line.replace(" ", "")) for line in lines], window)
-    least = 0 if declared else surge * max((peak for _, _, peak in found), default=0)
-    return "\n\n".join(line for start, end, peak in found if peak >= least for line in lines[start:end] if line)
+        found = [line for line in lines if line.held and line.text]
+    else:
+        parts = [(lines[start:end], peak) for start, end, peak in regions([line.weight for line in lines], window)]
+        least = surge * max((peak for _, peak in parts), default=0)
+        best = [[line for line in part if line.text] for part, peak in parts if peak >= least]
+        drawn = [_drawn_in(part) for part in best]
+        found = [line for part in (drawn if any(drawn) else best) for line in part]
+    return "\n\n".join(line.text for line in _wanted(found, declared))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = WINDOW, surge: float = SURGE) -> DataFrame:

@@ -158,3 +158,20 @@ def test_texts_without_personal_data_stay_as_they_are(spark):
     plain = [r for r in rows if not r.base]
     assert len(plain) > 100 and sum(r.clean_text == r.text for r in plain) >= 0.98 * len(plain)
     assert any(r.revealing for r in rows)
+
+
+PROSE = " ".join(["Some words of prose that go on for a while."] * 8)
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<div id=top>Home | News</div><h1>Title</h1><p>{PROSE}</p><p>short end.</p><div>Copyright 2024 Acme. All rights reserved.</div>", ["Title", PROSE, "short end."]),
+    (f"<p>{PROSE}</p><p>{PROSE}</p><aside>Aside text of some length, but not much.</aside><p>A short close.</p>", [PROSE, PROSE, "A short close."]),
+    (f"<ul>{'<li><a href=x>A link of the menu</a></li>' * 6}</ul><div>{PROSE}</div><div>Last words.</div><div>Imprint</div><ul>{'<li><a href=x>Another story to read</a></li>' * 6}</ul>", [PROSE, "Last words."]),
+    (f"<article><h1>T</h1><p>We use cookies to make this site better.</p><p>{PROSE}</p><h3>3 Comments</h3><p>First!</p><p>{PROSE} I say.</p></article>", ["T", PROSE]),
+    (f"<h1>T</h1><p>{PROSE}</p><h2>Part</h2><p>Brief.</p><p>{PROSE}</p><h2>Leave a reply</h2><p>Say something nice here.</p>", ["T", PROSE, "Part", "Brief.", PROSE]),
+    (f"<h1>T</h1><p>{PROSE}</p><p>The <a href=x>link</a> in a sentence.</p><h2>More news</h2><div><a href=y>Other title</a></div>", ["T", PROSE, "The link in a sentence."]),
+    ("<p>Only a few words</p><div>and more</div>", ["Only a few words", "and more"]),
+    ("<p>Comments are welcome in this paper.</p><p>Copyright law is old.</p>", ["Comments are welcome in this paper.", "Copyright law is old."]),
+])
+def test_surge_and_dive_decide_where_no_article_is_declared(page, want):
+    assert html_text.main_text(page) == "\n\n".join(want)
