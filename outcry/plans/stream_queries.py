@@ -178,10 +178,11 @@ def stream_subscription_state(spark, sf):
 
     def run():
         s = base.file_stream(spark, f"{out}/in", EVENTS)
-        state.stream_subscription_state(billing_columns(s), f"{out}/state", f"{out}/ck")
+        tables.append(state.stream_subscription_buckets(billing_columns(s), f"{out}/state", f"{out}/ck", 8))
 
+    tables = []
     in_steps(event_parts(table(spark, sf, "events")), f"{out}/in", run)
-    return base.read_version(spark, f"{out}/state", 2)
+    return tables[-1].read(tables[-1].newest())
 
 
 @query("stream_assign", f"""WITH {CENTROIDS}, scored AS (SELECT e.vec_id, c.label, {cos('e.embedding', 'c.c')} AS s FROM embeddings e, centroids c),
@@ -244,8 +245,9 @@ def stream_upsert_dimension(spark, sf):
 
     def run():
         s = base.file_stream(spark, f"{out}/in", events.schema)
-        state.stream_upsert_users(s, users(spark, sf), orgs(spark, sf), f"{out}/users", f"{out}/ck")
+        tables.append(state.stream_user_buckets(s, users(spark, sf), orgs(spark, sf), f"{out}/users", f"{out}/ck", 8))
 
+    tables = []
     in_steps(event_parts(events), f"{out}/in", run)
-    return base.read_version(spark, f"{out}/users", 2)
+    return tables[-1].read(tables[-1].newest())
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from outcry.operators import maintain, vectors
 from outcry.streaming.base import read_version, run_available, write_batch
+from outcry.streaming.buckets import BucketTable, run_bucketed
 
 
 def stream_subscription_state(events: DataFrame, base: str, checkpoint: str) -> None:
@@ -36,6 +37,22 @@ def stream_upsert_users(events: DataFrame, users: DataFrame, orgs: DataFrame, ba
     run_available(events, handle, checkpoint)
 
 
+def stream_subscription_buckets(events: DataFrame, base: str, checkpoint: str, buckets: int = 64) -> BucketTable:
+    """As :func:`stream_subscription_state`, but a batch rewrites only the buckets of its customers."""
+    empty = maintain.subscription_state(events.sparkSession.createDataFrame([], events.schema)).select(*maintain.STATE_COLUMNS)
+    table = BucketTable(events.sparkSession, base, "customer", empty.schema, buckets)
+    run_bucketed(events, table, lambda held, batch: maintain.subscription_state(batch, held), checkpoint)
+    return table
+
+
+def stream_user_buckets(events: DataFrame, users: DataFrame, orgs: DataFrame, base: str, checkpoint: str, buckets: int = 64) -> BucketTable:
+    """As :func:`stream_upsert_users`, but a batch rewrites only the buckets of its users."""
+    columns = maintain.upsert_users(users.limit(0), events.sparkSession.createDataFrame([], events.schema), orgs).schema
+    table = BucketTable(events.sparkSession, base, "user_id", columns, buckets)
+    run_bucketed(events, table, lambda held, batch: maintain.upsert_users(held, batch, orgs), checkpoint, seed=users)
+    return table
+
+
 def stream_assign(rows: DataFrame, centroids, base: str, checkpoint: str, min_similarity: float = 0.7, *, id_col: str = "id",
                   vec: str = "embedding", key: str = "cluster_id") -> None:
     """Assign arriving rows to clusters. ``centroids(spark)`` gives the centroids to use, afresh for each batch."""
