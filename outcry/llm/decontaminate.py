@@ -7,14 +7,19 @@ items that hold it hang on the state. An item shorter than the window counts whe
 Words are runs of digits, a-z (A-Z lower-cased) and characters beyond ASCII. Words that no item has end every match, and a
 stretch of known words shorter than the shortest window cannot hold one, so only the longer stretches are streamed.
 
-Items are dealt into automata of WORDS_PER_AUTOMATON words at most, each broadcast by itself, so the broadcast is bounded
-whatever the size of the benchmark; texts pass them one after another. Null texts have no words; repeated items count once,
-an item without id is named "null"; an empty benchmark hits nothing. Extra columns are not read.
+Items are dealt into automata of WORDS_PER_AUTOMATON words at most, each broadcast by itself. A finished automaton is a few flat
+arrays of numbers: transitions in order of state and word, links, lengths, and the items of those states only that are asked for
+them. A task walks a text through AUTOMATA of them in turn; a larger benchmark takes several passes, with the marks written in
+between, so a worker never holds more. Null texts have no words; repeated items count once, an item without id is named "null";
+an empty benchmark hits nothing, an empty table gives an empty result. Very long texts are streamed like others, in time
+proportional to their words; repeated rows and ids give a row each. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -25,7 +30,7 @@ from pyspark.sql import types as T
 from outcry.llm import common
 
 WINDOW = 13
-WORDS_PER_AUTOMATON = 200_000
+WORDS_PER_AUTOMATON, AUTOMATA = 200_000, 8
 #: Bytes of UTF-8 to what they count as: a blank between words, or themselves in lower case.
 _FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -90,23 +95,50 @@ class Automaton:
             if self.length[at] >= self.window:
                 self.seen[at].add(item)
 
-    def finish(self) -> Automaton:
+    def finish(self) -> Finished:
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
             up = self.link[s]
             if up > 0 and self.length[up] >= self.window:
                 self.seen[up] |= self.seen[s]
-        shorts: dict[int, list[tuple[int, str]]] = {}
-        for ids, item in self.short_items:
+        return Finished(self)
+
+
+class Finished:
+    """An automaton as arrays; texts are streamed through it."""
+
+    def __init__(self, made: Automaton):
+        self.window, self.vocabulary = made.window, made.vocabulary
+        self.link, self.length = array("i", made.link), array("i", made.length)
+        self.starts, self.words, self.targets = array("i", [0]), array("i"), array("i")
+        for following in made.next:
+            for word in sorted(following):
+                self.words.append(word)
+                self.targets.append(following[word])
+            self.starts.append(len(self.words))
+        # the items of a window hang on the shortest state that holds it
+        self.names = sorted({item for own in made.seen for item in own})
+        number = {item: i for i, item in enumerate(self.names)}
+        self.items_from, self.items = array("i", [0]), array("i")
+        for s, own in enumerate(made.seen):
+            if s and self.length[s] >= self.window > self.length[self.link[s]]:
+                self.items.extend(sorted(number[item] for item in own))
+            self.items_from.append(len(self.items))
+        self.shorts: dict[int, list[tuple[int, str]]] = {}
+        for ids, item in made.short_items:
             at = 0
             for word in ids:
-                at = self.next[at][word]
-            shorts.setdefault(at, []).append((len(ids), item))
-        self.shorts = shorts
-        self.near_short = [-1] * len(self.next)  # the next state up the links, itself included, that ends a short item
-        for s in sorted(range(1, len(self.next)), key=lambda s: self.length[s]):
-            self.near_short[s] = s if s in shorts else self.near_short[self.link[s]]
-        self.run = re.compile(b"\x01{%d,}" % self.shortest)
-        return self
+                at = made.next[at][word]
+            self.shorts.setdefault(at, []).append((len(ids), item))
+        self.near_short = array("i", [-1]) * len(made.next)  # the next state up the links, itself included, that ends a short item
+        for s in sorted(range(1, len(made.next)), key=lambda s: made.length[s]):
+            self.near_short[s] = s if s in self.shorts else self.near_short[self.link[s]]
+        self.run = re.compile(b"\x01{%d,}" % made.shortest)
+
+    def step(self, state: int, word: int) -> int:
+        """The state behind a word, or -1."""
+        end = self.starts[state + 1]
+        i = bisect_left(self.words, word, self.starts[state], end)
+        return self.targets[i] if i < end and self.words[i] == word else -1
 
     def mark(self, words: list[bytes], marks: bytearray | None, items: set[str]) -> bytearray | None:
         """Marks the words inside occurrences and adds the items they come from."""
@@ -115,17 +147,16 @@ class Automaton:
             state = matched = 0
             for i in range(stretch.start(), stretch.end()):
                 word = self.vocabulary[words[i]]
-                while state and word not in self.next[state]:
+                while (to := self.step(state, word)) < 0 and state:
                     state = self.link[state]
                     matched = self.length[state]
-                state = self.next[state].get(word, 0)
-                matched = matched + 1 if state else 0
+                state, matched = (to, matched + 1) if to > 0 else (0, 0)
                 longest = 0
                 if matched >= self.window:
                     longest, at = self.window, state
                     while self.length[self.link[at]] >= self.window:
                         at = self.link[at]
-                    items |= self.seen[at]
+                    items.update(self.names[k] for k in self.items[self.items_from[at]:self.items_from[at + 1]])
                 short = self.near_short[state]
                 while short > 0:
                     for n, item in self.shorts[short]:
@@ -140,7 +171,7 @@ class Automaton:
         return marks
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, per_automaton: int = WORDS_PER_AUTOMATON, id_col: str = "item_id", text_col: str = "text") -> Iterable[Automaton]:
+def automata(benchmark: DataFrame, window: int = WINDOW, per_automaton: int = WORDS_PER_AUTOMATON, id_col: str = "item_id", text_col: str = "text") -> Iterable[Finished]:
     """Automata over all items, each of bounded size; items come to the driver one after another."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     made = Automaton(window)
@@ -169,6 +200,12 @@ def without(text: str, spans: list[tuple[int, int, int]], min_words: int) -> str
     return "".join([*kept, text[at:]])
 
 
+def _passes(spark, made: Iterable[Finished]) -> list[list]:
+    """Broadcast automata, AUTOMATA to a pass over the texts."""
+    shared = [spark.sparkContext.broadcast(a) for a in made]
+    return [shared[i:i + AUTOMATA] for i in range(0, len(shared), AUTOMATA)]
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20, min_span: int = WINDOW,
     id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, per_automaton: int = WORDS_PER_AUTOMATON,
@@ -183,14 +220,15 @@ def find_contamination(
     spec = "doc_id long, text string, marks binary, items array<string>"
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("marks", pa.binary()), ("items", pa.list_(pa.string()))])
 
-    def through(shared):
+    def through(shared: list):
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
             for batch in batches:
                 marks_out, items_out = [], []
                 for text, marks, items in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                    found = set(items or ())
-                    marks = automaton.mark(words_of(text), bytearray(marks) if marks else None, found)
+                    words, found = words_of(text), set(items or ())
+                    marks = bytearray(marks) if marks else None
+                    for one in shared:
+                        marks = one.value.mark(words, marks, found)
                     marks_out.append(bytes(marks) if marks else None)
                     items_out.append(sorted(found))
                 columns = [batch.column(0), batch.column(1).cast(pa.string()), pa.array(marks_out, pa.binary()), pa.array(items_out, pa.list_(pa.string()))]
@@ -198,21 +236,20 @@ def find_contamination(
 
         return stream
 
-    # the last automaton's stage also says the result, so that the texts cross to Python once where there is one automaton
-    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, per_automaton)]
-    for one in shared[:-1]:
-        passing = passing.mapInArrow(through(one), spec)
-    last = shared[-1] if shared else None
+    # the last pass also says the result, so that the texts cross to Python once where one pass does
+    passes = _passes(spark, automata(benchmark, window, per_automaton))
+    for some in passes[:-1]:
+        passing = common.written(passing.mapInArrow(through(some), spec), "contamination-marks")
+    last = passes[-1] if passes else []
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = last.value if last else None
         for batch in batches:
             rows = []
             for doc, text, marks, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words, found = words_of(text), set(items or ())
                 marks = bytearray(marks) if marks else None
-                if automaton:
-                    marks = automaton.mark(words, marks, found)
+                for one in last:
+                    marks = one.value.mark(words, marks, found)
                 spans = spans_of(text, marks) if marks else []
                 hit = marks.count(1) if marks else 0
                 row = (doc, len(words), hit, sorted(found), [{"start": s, "end": e, "words": n} for s, e, n in spans], hit > 0 and one_in * hit >= len(words))
@@ -238,14 +275,17 @@ def uncontaminated(
     spec = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
     passing = docs.withColumn(name, F.lit(None).cast("binary"))
 
-    def through(shared, last: bool):
+    def through(shared: list, last: bool):
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton, no_items = shared.value, set()
+            no_items: set[str] = set()
             for batch in batches:
                 marked, clean = [], []
                 for text, marks in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                     words = words_of(text or "")
-                    marks = automaton.mark(words, bytearray(marks) if marks else None, no_items)
+                    marks = bytearray(marks) if marks else None
+                    for one in shared:
+                        marks = one.value.mark(words, marks, no_items)
+                    no_items.clear()
                     marked.append(bytes(marks) if marks else None)
                     clean.append(not marks or one_in * marks.count(1) < len(words))
                 if last:
@@ -255,7 +295,9 @@ def uncontaminated(
 
         return stream
 
-    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, per_automaton)]
-    for i, one in enumerate(shared):
-        passing = passing.mapInArrow(through(one, i + 1 == len(shared)), spec)
+    passes = _passes(docs.sparkSession, automata(benchmark, window, per_automaton))
+    for i, some in enumerate(passes):
+        passing = passing.mapInArrow(through(some, i + 1 == len(passes)), spec)
+        if i + 1 < len(passes):
+            passing = common.written(passing, "contamination-marks")
     return passing.drop(name)
