@@ -293,9 +293,10 @@ def cluster_topics(df: DataFrame, k: int = 5, *, cluster: str = "cluster_id", te
     """Top ``k`` terms per cluster by class-based tf-idf: share of the term in the cluster times
     log(1 + average words per cluster / frequency of the term). Terms are runs of letters of any script that are no stop
     words."""
-    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"\\p{{L}}{{{min_letters},}}"), F.lit(0))
-    words = F.explode(F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found)
-    counts = df.select(F.col(cluster).alias("cluster"), words.alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("tf"))
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"\\p{{L}}{{{min_letters},}}+"), F.lit(0))
+    counts = df.select(F.col(cluster).alias("cluster"), F.explode(found).alias("term")).groupBy("cluster", "term").agg(F.count("*").alias("tf"))
+    # distinct terms are far fewer than words
+    counts = counts.where(~F.col("term").isin(*stop_words)) if stop_words else counts
     size = counts.groupBy("cluster").agg(F.sum("tf").alias("words"))
     freq = counts.groupBy("term").agg(F.sum("tf").alias("freq"))
     average = size.agg(F.avg("words")).scalar()

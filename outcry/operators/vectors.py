@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from outcry.functions.vectors import cosine, norm
 from outcry.operators.filters import all_of, holds, same
+from outcry.operators.joins import salted_join
 from outcry.operators.paging import top_per_group
 
 # Rows of a block in block-wise comparison: two blocks and their similarities stay well below 200 MB in a task.
@@ -230,7 +231,9 @@ def ivf_search_all(df_path: str, centres: DataFrame, queries: DataFrame, k: int
     the row's list among the query's). Exact if ``probes`` is the number of lists. Ids of queries are unique."""
     asked = queries.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vec).alias("q"))
     rows = centres.sparkSession.read.parquet(df_path).select(id_col, vec, "list")
-    pairs = _list_ranks(centres, queries, probes, id_col, vec).join(asked, "query_id").join(rows, "list").where(F.col(id_col) != F.col("query_id"))
+    wanted = _list_ranks(centres, queries, probes, id_col, vec).join(asked, "query_id")
+    # a list may hold a large part of all rows: its rows are cut into parts, each of which meets the queries of the list
+    pairs = salted_join(rows, wanted, "list", F.col(id_col)).where(F.col(id_col) != F.col("query_id"))
     scored = pairs.select("query_id", id_col, cosine(F.col(vec), F.col("q")).alias("similarity"), "list_rank")
     return top_per_group(scored, "query_id", [F.desc("similarity"), F.asc(id_col)], k).drop("rank_in_group")
 
@@ -250,6 +253,14 @@ def probes_for(recall: DataFrame, least: float = 0.9) -> int:
     return recall.where(F.col("recall") >= least).agg(F.min("probes")).first()[0]
 
 
+def probes_needed(df_path: str, centres: DataFrame, queries: DataFrame, k: int = 20, least: float = 0.9, sample: int = 100, *, id_col: str = "id",
+                  vec: str = "embedding") -> int:
+    """The fewest lists whose recall reaches ``least`` on the ``sample`` queries with the smallest hash of their id: only these
+    are searched in all lists, so the cost of choosing does not grow with the queries."""
+    some = queries.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    return probes_for(ivf_recall(df_path, centres, some, k, id_col=id_col, vec=vec), least) or centres.count()
+
+
 def reduce_dimensions(df: DataFrame, dims: int = 50, *, id_col: str = "id", vec: str = "embedding") -> DataFrame:
     """Projection on the leading components. Only the width-by-width covariance reaches the driver."""
     rows = df.where(F.col(vec).isNotNull()).select(id_col, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("x"))
@@ -277,4 +288,4 @@ def embedding_drift(old: DataFrame, new: DataFrame, *, id_col: str = "id", vec:
 
 
 __all__ = ["similar_to_vector", "similar_to_row", "knn_join", "vector_mean", "pattern_centroids", "assign_to_cluster",
-           "build_lists", "ivf_search", "ivf_search_all", "ivf_recall", "probes_for", "reduce_dimensions", "embedding_drift", "norm"]
+           "build_lists", "ivf_search", "ivf_search_all", "ivf_recall", "probes_for", "probes_needed", "reduce_dimensions", "embedding_drift", "norm"]
