@@ -32,8 +32,8 @@ from outcry.llm import common
 MAX_ROWS, FOLDS, VOCABULARY, MIN_TEXTS, PREFIX, THRESHOLD = 20_000, 3, 1 << 16, 3, 4, 0.5
 #: Tasks that hold the training rows, which are bounded; so few need no shuffle to add up gradients.
 TASKS = 4
-#: Fits at the same time. Each keeps some dozens of arrays as wide as the vocabulary in the driver.
-FITS = 2
+#: Fits at the same time. Each keeps dozens of arrays as wide as the vocabulary in the driver; raise it where the driver has room.
+FITS = 1
 
 
 def terms(text: Column, prefix: int = PREFIX) -> Column:
@@ -93,6 +93,7 @@ class Chain:
     categories: list[str]
     models: list[LogisticRegressionModel | float]
     vocabulary: CountVectorizerModel
+    size: int
 
     def predict(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id and the probability ``p_<category>`` of each category for every row."""
@@ -100,9 +101,8 @@ class Chain:
 
     def rate(self, rows: DataFrame) -> DataFrame:
         """The rows of ``featured`` with a probability ``p_<category>`` for each category instead of their features."""
-        size = len(self.vocabulary.vocabulary)
         for i, (category, model) in enumerate(zip(self.categories, self.models, strict=True)):
-            rows = _probability(model, rows if i == 0 else _appended(rows, "x", size + i - 1, f"p_{self.categories[i - 1]}"), f"p_{category}")
+            rows = _probability(model, rows if i == 0 else _appended(rows, "x", self.size + i - 1, f"p_{self.categories[i - 1]}"), f"p_{category}")
         return rows.drop("x")
 
 
@@ -119,22 +119,23 @@ def fit_chain(
     held = common.written(rows.withColumn("terms_", terms(F.col("text"))).drop("text"), "toxicity-terms")
     if held.isEmpty():
         known = CountVectorizerModel.from_vocabulary([""], inputCol="terms_", outputCol="x")
-        return Chain(list(categories), [0.0] * len(categories), known)
+        return Chain(list(categories), [0.0] * len(categories), known, 1)
     known = CountVectorizer(inputCol="terms_", outputCol="x", vocabSize=vocabulary, minDF=MIN_TEXTS, binary=True)
     known = known.setMinDF(min(MIN_TEXTS, held.count())).fit(held)
     rows = plain(known.transform(held), "x").drop("terms_").withColumn("fold", F.pmod(order, F.lit(folds)))
     models: list[LogisticRegressionModel | float] = []
-    size = len(known.vocabulary)
+    size = 0
     for i, category in enumerate(categories):
         # the rounds read a table in few tasks, which carry neither the lineage nor the names of the terms
         rows = common.written(rows, "toxicity-rows").coalesce(TASKS)
+        size = size or rows.select("x").first().x.size
         samples = [rows, *(rows.filter(F.col("fold") != fold) for fold in range(folds) if i + 1 < len(categories))]
         with ThreadPool(FITS) as pool:
             whole, *without = pool.map(inheritable_thread_target(docs.sparkSession)(lambda some: _fit(some, "x", f"y_{category}", regularisation, rounds)), samples, chunksize=1)  # noqa: B023
         models.append(whole)
         if without:
             rows = _appended(out_of_fold(rows, without, f"p_{category}"), "x", size + i, f"p_{category}").drop(f"p_{category}")
-    return Chain(list(categories), models, known)
+    return Chain(list(categories), models, known, size)
 
 
 def toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
