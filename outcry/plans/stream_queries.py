@@ -15,7 +15,7 @@ from outcry.plans.views import AS_OF, COMPLAINTS_SQL, complaints, series_sql, ta
 from outcry.operators import vectors
 from outcry.schemas import COMPLAINT, EVENTS
 from outcry.session import scratch_path
-from outcry.streaming import base, ingest, late, state, windows
+from outcry.streaming import base, digests, ingest, late, state, windows
 
 
 def in_steps(parts, path: str, run, fmt: str = "parquet"):
@@ -172,6 +172,23 @@ def stream_search_alerts(spark, sf):
     return base.read_batches(spark, f"{out}/alerts").select("search_id", "source_id", "date_added")
 
 
+@query("stream_alert_digests", f"""WITH {COMPLAINTS_SQL}, a AS (SELECT CAST(supplier_id % 4 AS VARCHAR) AS search_id, supplier_id % 2 = 0 AS daily, date_added FROM complaints),
+p AS (SELECT *, CAST(date_added AS DATE) - CASE WHEN daily THEN 0 ELSE CAST(extract(dow FROM date_added) AS INT) END AS period_start FROM a)
+SELECT search_id, period_start, min(date_added) AS first_at, max(date_added) AS last_at, count(*) AS n FROM p GROUP BY search_id, daily, period_start
+HAVING CAST(period_start + CASE WHEN daily THEN 1 ELSE 7 END AS TIMESTAMP) <= (SELECT max(date_added) FROM a) - INTERVAL 36 HOUR""")
+def stream_alert_digests(spark, sf):
+    """Daily and weekly digests of alerts that are raised when their complaint comes in."""
+    windows.use_rocks(spark)
+    out, cut, supplier = scratch_path(spark, "digests"), F.expr("timestamp_ntz'1998-06-01'"), F.col("supplier_id")
+    raised = complaints(spark, sf).select((supplier % 4).cast("string").alias("search_id"), F.when(supplier % 2 == 0, "daily").otherwise("weekly").alias("frequency"), F.col("date_added").alias("happened_at"))
+
+    def run():
+        digests.run_digests(base.file_stream(spark, f"{out}/in", raised.schema), out, f"{out}/ck", "36 hours")
+
+    in_steps([raised.where(F.col("happened_at") < cut), raised.where(F.col("happened_at") >= cut)], f"{out}/in", run)
+    return base.read_batches(spark, f"{out}/digests").select("search_id", "period_start", "first_at", "last_at", "n")
+
+
 @query("stream_subscription_state", f"WITH {BILLING_SQL} SELECT * FROM subscriptions")
 def stream_subscription_state(spark, sf):
     out = scratch_path(spark, "billing")

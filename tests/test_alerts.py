@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from outcry.operators import alerts, filters
-from outcry.streaming import base, windows
+from outcry.streaming import base, digests, windows
 
 ROW = "source_id string, make string, model string, model_year int, component string, description string, crash boolean, fire boolean, injuries int, deaths int, date_added timestamp_ntz, term string, s string"
 
@@ -66,3 +66,22 @@ def test_search_alerts_of_a_stream(spark, tmp_path):
     got = base.read_batches(spark, out)
     assert sorted((r.search_id, r.source_id) for r in got.collect()) == one_by_one(rows, asked)
     assert {r.batch for r in got.select("batch").distinct().collect()} == {0, 1}
+
+
+def test_digests_come_once_when_their_period_is_over(spark, tmp_path):
+    windows.use_rocks(spark)
+    spec = "search_id string, frequency string, happened_at timestamp_ntz"
+    at = lambda day, hour=9: dt.datetime(2024, 3, day, hour)
+    # 3 March 2024 is a Sunday
+    parts = [[("a", "daily", at(4)), ("a", "daily", at(4, 11)), ("w", "weekly", at(4)), ("i", "immediate", at(4)), (None, "daily", at(4)), ("x", "never", at(4))],
+             [("a", "daily", at(4, 23)), ("a", "daily", at(5)), ("w", "weekly", at(9)), ("a", "daily", None)],
+             [("a", "daily", at(10)), ("w", "weekly", at(12)), ("b", "daily", at(12))], [("b", "daily", at(20))]]
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    seen = []
+    for part in parts:
+        spark.createDataFrame(part, spec).coalesce(1).write.mode("append").parquet(src)
+        digests.run_digests(base.file_stream(spark, src, spark.createDataFrame([], spec).schema), out, ck)
+        seen.append(sorted((r.search_id, r.period_start.day, r.n, r.first_at, r.last_at) for r in base.read_batches(spark, f"{out}/digests").collect()))
+    assert seen[0] == [] and [x[:3] for x in seen[1]] == [("a", 4, 3), ("a", 5, 1)]
+    assert seen[-1] == [("a", 4, 3, at(4), at(4, 23)), ("a", 5, 1, at(5), at(5)), ("a", 10, 1, at(10), at(10)), ("b", 12, 1, at(12), at(12)), ("w", 3, 2, at(4), at(9)), ("w", 10, 1, at(12), at(12))]
+    assert [r.search_id for r in base.read_batches(spark, f"{out}/immediate").collect()] == ["i"]
