@@ -6,7 +6,7 @@ bounded cache in each worker: what the table lacks is encoded once and kept. No
 content changes the speed only, never a count.
 
 Null and empty texts have no bytes and no tokens. Repeated rows and ids give a row each. Extra columns are not read.
-Very long texts are taken in parts of bounded size.
+Very long texts are taken in parts of bounded size. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,6 +13,10 @@ A block holds BLOCK ids (the last one of a segment is filled up with its smalles
 
 The width is the one that a share of PERCENTILE of the block's ids fit in; the others are exceptions. Block starts make any
 id reachable without its predecessors. Files are numbered in the order of doc_id, so ids of all files follow one another.
+
+Null and empty texts are documents of the end id alone. Rows without doc_id come first, in files as others; repeated rows and ids give
+an entry each. Very long texts go on over several segments. An empty table gives no files that hold anything, and reads as an empty
+one. Extra columns are not read.
 """
 
 from __future__ import annotations

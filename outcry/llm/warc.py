@@ -7,7 +7,7 @@ skippable frame, which readers pass over.
 Of records with equal payloads the one with the largest page_id is a response, the others are revisits that carry no payload
 and name it; payloads shorter than ``min_bytes`` are always responses. Rows without page_id come behind all others: they
 revisit a row that has one and are responses where none has. A repeated row of the response is a response again. A null
-payload is an empty one, a null url is left out. Very long payloads are one record each. Extra columns are not read.
+payload is an empty one, a null url is left out. Very long payloads are one record each. An empty table gives archives without records. Extra columns are not read.
 """
 
 from __future__ import annotations
