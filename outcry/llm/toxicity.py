@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from outcry.llm import common
 
 MAX_ROWS, FOLDS, VOCABULARY, MIN_TEXTS, PREFIX, THRESHOLD = 20_000, 3, 1 << 16, 3, 4, 0.5
-#: Tasks that hold the training rows, which are bounded; so few need no shuffle to add up gradients.
-TASKS = 4
+#: Tasks that hold the training rows, which are bounded. Each sends the driver an array as wide as the vocabulary in each round.
+TASKS = 2
 #: Fits at the same time. Each keeps dozens of arrays as wide as the vocabulary in the driver; raise it where the driver has room.
 FITS = 1
 
