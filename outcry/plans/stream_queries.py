@@ -44,6 +44,17 @@ def stream_ingest(spark, sf):
     return base.read_batches(spark, _ingest(spark, sf) + "/rows", COMPLAINT).select(*NEW_COLS)
 
 
+@query("stream_ingest_known", f"""WITH {CLEAN_SQL} SELECT {', '.join(NEW_COLS)} FROM (SELECT *, row_number() OVER
+(PARTITION BY source_id ORDER BY crash DESC, {', '.join(ORDER)}) AS k FROM clean) WHERE k = 1""")
+def stream_ingest_known(spark, sf):
+    """As stream_ingest, the keys of earlier landings behind Bloom filters; the first landing comes again at the end."""
+    raw, out = raw_bulk(spark, sf), scratch_path(spark, "ingest-known")
+    parts = [raw.where("crash <> 'N'"), raw.where("crash = 'N'"), raw.where("crash <> 'N'")]
+    in_steps(parts, f"{out}/in", lambda: ingest.stream_ingest_known(spark, f"{out}/in", f"{out}/rows", f"{out}/bad", f"{out}/known", f"{out}/ck",
+                                                                   order=arrival(), buckets=8, compact_every=2), "json")
+    return base.read_batches(spark, f"{out}/rows", COMPLAINT).select(*NEW_COLS)
+
+
 @query("stream_ingest_quarantine", f"WITH {RAW_BULK_SQL} {QUARANTINE_SQL}")
 def stream_ingest_quarantine(spark, sf):
     return base.read_batches(spark, _ingest(spark, sf) + "/bad").select("source_id", "error")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from outcry.operators.clean import check_bulk, good, quarantine
 from outcry.schemas import COMPLAINT, RAW_BULK
-from outcry.sources.sync import insert_new
+from outcry.session import cut_lineage
+from outcry.sources.sync import first_per_key, insert_new
 from outcry.streaming.base import file_stream, read_batches, run_available, write_batch
+from outcry.streaming.known import KnownKeys
 
 
 def landed_feed(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -48,3 +50,31 @@ def stream_ingest(spark: SparkSession, source: str, target: str, rejected: str,
         write_batch(new, target, number)
 
     run_available(raw, handle, checkpoint)
+
+
+def stream_ingest_known(spark: SparkSession, source: str, target: str, rejected: str, known: str, checkpoint: str, fmt: str = "json",
+                        order: list[Column] | None = None, key: str = "source_id", buckets: int = 64, blocks: int = 16,
+                        compact_every: int = 50) -> list[list[int]]:
+    """As :func:`stream_ingest`, with the keys of earlier rows in buckets behind Bloom filters below ``known``.
+
+    A batch opens the keys of a bucket only where its filter may hold one of the batch's keys. Returns the buckets that each batch
+    opened. Batch n adds version n of the keys; every ``compact_every`` batches the versions are merged before the batch starts.
+    """
+    opened: list[list[int]] = []
+
+    def handle(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        keys = KnownKeys(session, known, key, COMPLAINT[key].dataType, buckets, blocks)
+        if number and number % compact_every == 0 and number - 1 > keys.merged():
+            keys.drop_from(number)
+            keys.compact()
+        checked = check_bulk(batch)
+        write_batch(quarantine(checked), rejected, number)
+        first = cut_lineage(first_per_key(good(checked), key, order or [F.asc("date_added")]))
+        new, used = keys.unknown(first, number)
+        write_batch(new, target, number)
+        keys.add(session.read.schema(COMPLAINT).parquet(f"{target}/batch={number}"), number)
+        opened.append(used)
+
+    run_available(landed_feed(spark, source, fmt), handle, checkpoint)
+    return opened
