@@ -74,9 +74,11 @@ def _fit(rows: DataFrame, inputs: str, label: str, regularisation: float, rounds
     learner = LogisticRegression(
         featuresCol=inputs, labelCol="y_", probabilityCol="p_", predictionCol="", rawPredictionCol="", regParam=regularisation,
         elasticNetParam=1.0, standardization=False, maxIter=rounds, tol=1e-4, aggregationDepth=2)
+    # the rounds leave arrays as wide as the vocabulary; the driver would add room for them to what earlier work and other fits left
+    collect = rows.sparkSession.sparkContext._jvm.System.gc
+    collect()
     model = learner.fit(rows.select(inputs, F.col(label).cast("double").alias("y_")))
-    # the rounds leave arrays as wide as the vocabulary, which the driver would keep adding room for until all fits are done
-    rows.sparkSession.sparkContext._jvm.System.gc()
+    collect()
     return model
 
 
