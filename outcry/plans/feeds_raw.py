@@ -1,8 +1,12 @@
-"""Raw feeds rendered from the complaint rows, bad rows included, and landed as files for the readers."""
+"""Raw feeds rendered from the complaint rows, bad rows included, and landed as files for the readers.
+
+Landed text says the same field names and phrases in every record, so the files are packed with gzip. Such a file is read by one
+task; files hold FILE_ROWS records at most, so that a large feed comes in many.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from outcry.schemas import RAW_BULK_FIELDS
@@ -38,12 +42,25 @@ def _text(field: str, engine: int) -> str:
     return case if isinstance(case, str) else case[0].format(case[1][engine])
 
 
+def _joined(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with their part. Where parts are too many to broadcast, lines are hashed rather than sorted, which would spill them."""
+    return table(spark, sf, "lineitem").join(table(spark, sf, "part").hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
+
+
 def raw_bulk(spark: SparkSession, sf: str) -> DataFrame:
-    joined = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    joined = _joined(spark, sf)
     return joined.select(*[(F.expr(_text(f, 0)) if f in _CASES else F.lit(None).cast("string")).alias(f)
                            for f in RAW_BULK_FIELDS])
 
 
+#: Records of a landed file; some 100 MB of text.
+FILE_ROWS = 250_000
+
+
+def packed(writer: DataFrameWriter) -> DataFrameWriter:
+    return writer.options(compression="gzip", maxRecordsPerFile=FILE_ROWS)
+
+
 RAW_BULK_SQL = "raw_bulk AS (SELECT " + ", ".join(
     f"{_text(f, 1)} AS {f}" for f in _CASES) + " FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
@@ -54,7 +71,7 @@ _API_DATE = ("CASE WHEN l_tax >= 0.08 THEN 'soon' WHEN l_tax >= 0.07 THEN '' WHE
 
 def raw_api(spark: SparkSession, sf: str) -> DataFrame:
     """One response per complaint, shaped like the per-vehicle feed."""
-    joined = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    joined = _joined(spark, sf)
     record = F.struct(
         F.expr(_text("cmplid", 0)).alias("odiNumber"), F.expr(_text("mfr_name", 0)).alias("manufacturer"),
         F.expr("CASE WHEN l_returnflag = 'R' THEN 'Yes' ELSE 'No' END").alias("crash"), F.lit("No").alias("fire"),
@@ -82,15 +99,15 @@ def land(spark: SparkSession, sf: str, kind: str) -> str:
     if key not in _LANDED:
         path = scratch_path(spark, f"landed-{kind}")
         if kind == "json":
-            raw_bulk(spark, sf).write.json(path)
+            packed(raw_bulk(spark, sf).write).json(path)
         elif kind == "csv":
             # One line per record, as the history file has it.
             flat = raw_bulk(spark, sf).withColumn("cdescr", F.regexp_replace("cdescr", "[\r\n]+", " ")) \
                 .withColumn("mfr_name", F.regexp_replace("mfr_name", "\t", " "))
-            flat.write.options(sep="\t", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+            packed(flat.write).options(sep="\t", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
         elif kind == "pages":
-            raw_bulk(spark, sf).write.partitionBy("city").json(path)
+            packed(raw_bulk(spark, sf).write).partitionBy("city").json(path)
         else:
-            raw_api(spark, sf).write.json(path)
+            packed(raw_api(spark, sf).write).json(path)
         _LANDED[key] = path
     return _LANDED[key]
