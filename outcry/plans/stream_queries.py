@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from outcry.plans.clean_queries import CLEAN_SQL, NEW_COLS, ORDER, QUARANTINE_SQL, RAW_BULK_SQL, arrival
-from outcry.plans.feeds_raw import raw_bulk
+from outcry.plans.feeds_raw import packed, raw_bulk
 from outcry.plans.registry import ORACLES, query
 from outcry.plans.series_queries import SPIKE, r6
 from outcry.plans.table_queries import BILLING_SQL, billing_columns, identity_events
@@ -21,7 +21,8 @@ from outcry.streaming import base, digests, ingest, late, state, windows
 def in_steps(parts, path: str, run, fmt: str = "parquet"):
     """Land each part and let the stream take it."""
     for part in parts:
-        part.write.mode("append").format(fmt).save(path)
+        writer = part.write.mode("append").format(fmt)
+        (packed(writer) if fmt == "json" else writer).save(path)
         run()
 
 
@@ -65,7 +66,8 @@ def stream_dedupe(spark, sf):
     raw, out = raw_bulk(spark, sf), scratch_path(spark, "dedupe")
 
     def run():
-        rows = ingest.stream_dedupe(ingest.landed_feed(spark, f"{out}/in"))
+        # only the keys are asked for, so no more is moved
+        rows = ingest.stream_dedupe(ingest.landed_feed(spark, f"{out}/in").select("cmplid", "landed_at"))
         base.run_available(rows, lambda b, n: base.write_batch(b.select("cmplid"), f"{out}/rows", n), f"{out}/ck")
 
     in_steps([raw.where("crash <> 'N'"), raw.where("crash = 'N'")], f"{out}/in", run, "json")
