@@ -3,8 +3,9 @@
 A saved search has the criteria of :func:`outcry.operators.filters.search_complaints` and matches the same rows. Rows are not
 compared with searches. What a search asks for is a set of terms: a text that make, model, component or the free text must hold,
 a flag, a year. One automaton finds all texts of all searches in a row at once. Each search is filed under the one of its terms
-that is rarest among the rows at hand; a row meets only the searches filed under a term it has, and these pairs are checked in
-full. A search with a text that no row holds meets nothing.
+that is rarest among the rows at hand; a row meets only the searches filed under a term it has. There the numbers of all terms and the
+years are compared, and only what passes takes texts along to be checked in full. A search with a text that no row holds meets
+nothing.
 
 Texts are compared in lower case; empty and null ones ask for nothing. A search without texts and flags is filed under the model
 years of its range, one without any criterion under a term that every row has, so it matches all rows, as it should. Paused
@@ -87,10 +88,13 @@ def row_terms(rows: DataFrame, searches: DataFrame, per_automaton: int = NEEDLES
     return found.unionByName(scanned(turn)) if turn else found
 
 
+def _wants() -> Column:
+    return F.array_compact(F.array(*[F.when(_asked(f).isNotNull(), F.xxhash64(F.lit(f), _asked(f))) for f in TEXTS], *[F.when(F.col(f), _term(f)) for f in FLAGS]))
+
+
 def filed(searches: DataFrame, frequency: DataFrame, years: DataFrame) -> DataFrame:
     """(search_id, term): the term, or the years, that a search is filed under. ``frequency`` has the rows of each term, ``years`` the model years there are."""
-    wants = F.array_compact(F.array(*[F.when(_asked(f).isNotNull(), F.xxhash64(F.lit(f), _asked(f))) for f in TEXTS], *[F.when(F.col(f), _term(f)) for f in FLAGS]))
-    listed = searches.select("search_id", "year_from", "year_to", wants.alias("wants"))
+    listed = searches.select("search_id", "year_from", "year_to", _wants().alias("wants"))
     each = listed.select("search_id", F.size("wants").alias("n"), F.explode("wants").alias("term"))
     # a common term is asked for by very many searches
     counted = salted_join(each, frequency, "term", F.col("search_id")).groupBy("search_id", "n").agg(F.min(F.struct("rows", "term")).alias("best"), F.count("*").alias("known"))
@@ -105,6 +109,22 @@ def filed(searches: DataFrame, frequency: DataFrame, years: DataFrame) -> DataFr
     return by_term.unionByName(by_year).unionByName(any_row)
 
 
+def candidates(rows: DataFrame, terms: DataFrame, searches: DataFrame) -> DataFrame:
+    """(row, search_id, s): rows and searches, in the struct ``s``, where the row has all terms and a year that the search asks for."""
+    frequency = terms.groupBy("term").agg(F.count("*").alias("rows"))
+    years = rows.where(F.col("model_year").isNotNull()).select("model_year").distinct()
+    under = filed(searches, frequency, years)
+    whole = searches.select("search_id", _wants().alias("wants"), F.struct(*[c for c in searches.columns if c != "search_id"]).alias("s"))
+    asked = under.join(whole, "search_id")
+    has = terms.groupBy("row").agg(F.collect_list("term").alias("has")).join(rows.select("row", "model_year"), "row")
+    meeting = terms.join(under.select("term").distinct(), "term", "left_semi").join(has, "row")
+    low, high = F.col("s.year_from"), F.col("s.year_to")
+    fits = ((low.isNull() | F.coalesce(F.col("model_year") >= low, F.lit(False))) & (high.isNull() | F.coalesce(F.col("model_year") <= high, F.lit(False)))
+            & F.forall("wants", lambda t: F.array_contains("has", t)))
+    # a term may belong to a large part of all rows: its rows are cut into parts, its searches repeated
+    return salted_join(meeting, asked, "term", F.col("row")).where(fits).select("row", "search_id", "s")
+
+
 def matches(search: str = "s") -> Column:
     """Whether a row meets the search in the struct ``search``: the criteria of ``search_complaints``."""
     def asked(field: str) -> Column:
@@ -135,10 +155,4 @@ def match_searches(complaints: DataFrame, searches: DataFrame, keep: list[str] |
     terms_path = scratch_path(spark, "search-terms")
     row_terms(rows, searches, per_automaton).write.parquet(terms_path)
     terms = spark.read.schema("row long, term long").parquet(terms_path)
-    frequency = terms.groupBy("term").agg(F.count("*").alias("rows"))
-    years = rows.where(F.col("model_year").isNotNull()).select("model_year").distinct()
-    under = filed(searches, frequency, years)
-    # a term may belong to a large part of all rows: its rows are cut into parts, its searches repeated
-    pairs = salted_join(terms, under, "term", F.col("row")).select("row", "search_id")
-    checked = salted_join(pairs, searches.select("search_id", F.struct(*[c for c in searches.columns if c != "search_id"]).alias("s")), "search_id", F.col("row"))
-    return checked.join(rows, "row").where(matches("s")).select("search_id", "kept.*")
+    return candidates(rows, terms, searches).join(rows, "row").where(matches("s")).select("search_id", "kept.*")

@@ -55,6 +55,14 @@ def test_rows_meet_only_searches_of_their_rarest_term(spark):
     assert alerts.match_searches(rows, asked, ["source_id"]).where("source_id = '7'").count() == 50
 
 
+def test_only_matching_pairs_take_texts_along(spark):
+    rng = random.Random(5)
+    rows, asked = complaints(spark, rng, 120).withColumn("row", F.monotonically_increasing_id()).persist(), searches(spark, rng, 30).where("NOT coalesce(paused, false)").persist()
+    pairs = alerts.candidates(rows, alerts.row_terms(rows, asked).persist(), asked)
+    found = sorted((r.search_id, r.source_id) for r in pairs.join(rows, "row").select("search_id", "source_id").collect())
+    assert found == one_by_one(rows, asked) and len(found) > 200
+
+
 def test_search_alerts_of_a_stream(spark, tmp_path):
     rng = random.Random(9)
     rows, asked = complaints(spark, rng, 60).persist(), searches(spark, rng, 10)
