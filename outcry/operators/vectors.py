@@ -226,18 +226,74 @@ def _list_ranks(centres: DataFrame, queries: DataFrame, probes: int, id_col: str
 
 
 def ivf_search_all(df_path: str, centres: DataFrame, queries: DataFrame, k: int = 20, probes: int = 10, *, id_col: str = "id",
-                   vec: str = "embedding") -> DataFrame:
+                   vec: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Nearest other rows of every query among its ``probes`` nearest lists: query_id, id, similarity, list_rank (the place of
     the row's list among the query's). Exact if ``probes`` is the number of lists. Ids of queries are unique."""
-    asked = queries.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vec).alias("q"))
-    rows = centres.sparkSession.read.parquet(df_path).select(id_col, vec, "list")
+    asked = queries.where(F.col(vec).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vec).alias("q"))
+    rows = centres.sparkSession.read.parquet(df_path).where(F.col(id_col).isNotNull()).select(id_col, vec, "list")
     wanted = _list_ranks(centres, queries, probes, id_col, vec).join(asked, "query_id")
-    # a list may hold a large part of all rows: its rows are cut into parts, each of which meets the queries of the list
-    pairs = salted_join(rows, wanted, "list", F.col(id_col)).where(F.col(id_col) != F.col("query_id"))
-    scored = pairs.select("query_id", id_col, cosine(F.col(vec), F.col("q")).alias("similarity"), "list_rank")
+    # a list may hold a large part of all rows or be near to most queries: both are cut into blocks, each pair of which meets in one task
+    sizes = rows.groupBy("list").agg(_blocks(block_rows).alias("row_blocks")).join(wanted.groupBy("list").agg(_blocks(block_rows).alias("query_blocks")), "list")
+    sizes = F.broadcast(sizes.select(F.col("list").alias("list_"), "row_blocks", "query_blocks"))  # one row a list
+    left = _cut(wanted.join(sizes, F.col("list") == F.col("list_")), "query_id", "query_blocks", "row_blocks", "x", "y").select("list", "x", "y", "query_id", "q", "list_rank")
+    right = _cut(rows.join(sizes, F.col("list") == F.col("list_")), id_col, "row_blocks", "query_blocks", "y", "x").select("list", "x", "y", F.col(id_col).alias("id"), F.col(vec).alias("v"))
+    schema = T.StructType([T.StructField("query_id", queries.schema[id_col].dataType), T.StructField(id_col, rows.schema[id_col].dataType),
+                           T.StructField("similarity", T.DoubleType()), T.StructField("list_rank", T.IntegerType())])
+
+    def nearest(x: pa.Table, y: pa.Table) -> pa.Table:
+        y = y.sort_by("id")
+        near, at, value = nearest_exact(x.column("query_id").to_pylist(), matrix(x.column("q")), y.column("id").to_pylist(), matrix(y.column("v")), k)
+        return pa.table([x.column("query_id").take(pa.array(near)), y.column("id").take(pa.array(at)), pa.array(value, pa.float64()),
+                         x.column("list_rank").take(pa.array(near))], ["query_id", id_col, "similarity", "list_rank"])
+
+    scored = left.groupBy("list", "x", "y").cogroup(right.groupBy("list", "x", "y")).applyInArrow(nearest, schema)
     return top_per_group(scored, "query_id", [F.desc("similarity"), F.asc(id_col)], k).drop("rank_in_group")
 
 
+def _blocks(block_rows: int) -> Column:
+    return F.ceil(F.count("*") / F.lit(block_rows)).cast("int")
+
+
+def _cut(df: DataFrame, key: str, mine: str, other: str, block: str, meets: str) -> DataFrame:
+    """Files each row in one of ``mine`` blocks and repeats it for the ``other`` blocks it meets."""
+    return df.withColumn(block, F.pmod(F.xxhash64(key), F.col(mine)).cast("int")).withColumn(meets, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+
+def nearest_exact(left_ids: list, left: np.ndarray, right_ids: list, right: np.ndarray, k: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left position, right position, cosine) of the ``k`` best other rows of each left row; ties go to the earlier right row.
+
+    A matrix product tells the rows that can be among the best; their cosine is then summed row by row, so that equal vectors are
+    equally near wherever they lie.
+    """
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if len(left) and len(right) and left.shape[1] != right.shape[1]:
+        raise ValueError("vectors must have the same width")
+    where: dict = {}
+    for at, name in enumerate(right_ids):
+        where.setdefault(name, []).append(at)
+    lengths, others = np.sqrt((left * left).sum(axis=1)), np.sqrt((right * right).sum(axis=1))
+    unit_right = unit(right).T
+    for start in range(0, len(left) if len(right) else 0, tile):
+        sims = unit(left[start:start + tile]) @ unit_right
+        for row, near in enumerate(sims, start):
+            same = where.get(left_ids[row], [])
+            near[np.isnan(near)] = 0.0
+            near[same] = -np.inf
+            most = min(k, len(near) - len(same))
+            if most <= 0:
+                continue
+            some = np.nonzero(near >= np.partition(near, len(near) - most)[len(near) - most] - 1e-9)[0]
+            some = some[near[some] > -np.inf]
+            both = lengths[row] * others[some]
+            with np.errstate(invalid="ignore"):
+                value = np.where(both > 0, (right[some] * left[row]).sum(axis=1) / np.where(both > 0, both, 1.0), 0.0)
+            order = np.argsort(-value, kind="stable")[:most]
+            found.append((np.full(len(order), row), some[order], value[order]))
+    if not found:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    return tuple(np.concatenate(column) for column in zip(*found, strict=True))
+
+
 def ivf_recall(df_path: str, centres: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "id", vec: str = "embedding") -> DataFrame:
     """(probes, recall) for every number of lists: the share of the exact ``k`` nearest that lie in the lists probed."""
     lists = centres.count()

@@ -239,3 +239,23 @@ def test_dense_block_of_near_copies(spark):
     m = np.vstack([np.ones((400, 8)) + 0.001 * rng.standard_normal((400, 8)), 3 * rng.standard_normal((60, 8))]).astype(np.float32)
     got = cluster.similarity_components(frame(spark, m), 0.97, 1, block_rows=100).collect()
     assert {r["id"]: r["cluster_id"] for r in got} == components(m, 0.97)
+
+
+def test_search_in_lists_takes_blocks_and_equal_vectors_tie_by_id(spark, tmp_path):
+    """Copies are equally near wherever their blocks lie; only a few rows of a block pair come out."""
+    rng = np.random.RandomState(8)
+    base = rng.standard_normal((40, 7)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in base[i % 40]]) for i in range(200)], "id long, embedding array<float>")
+    centres = vectors.build_lists(df, str(tmp_path / "lists"), 5)
+    asked = df.where("id % 10 = 0")
+    found = vectors.ivf_search_all(str(tmp_path / "lists"), centres, asked, 6, centres.count(), block_rows=16)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    got = {}
+    for r in found.orderBy("query_id", F.desc("similarity"), "id").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    m = base.astype(np.float64)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    sims = np.round(m @ m.T, 9)
+    assert len(got) == 20
+    for q, ids in got.items():
+        assert ids == sorted((i for i in range(200) if i != q), key=lambda i: (-sims[q % 40, i % 40], i))[:6]
