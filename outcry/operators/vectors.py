@@ -20,6 +20,8 @@ from outcry.operators.paging import top_per_group
 
 # Rows of a block in block-wise comparison: two blocks and their similarities stay well below 200 MB in a task.
 BLOCK_ROWS = 4096
+# Vectors of one side that a task of knn_join holds, as doubles. It compares them block by block.
+GROUP_BYTES = 32_000_000
 
 
 def similar_to_vector(df: DataFrame, vector: list[float] | Column, k: int = 20, min_similarity: float = 0.0, *,
@@ -113,8 +115,8 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, *, left_id: str = "id",
              block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact ``k`` nearest rows of ``right`` for every row of ``left``: ``(left_id, right_id, similarity)``.
 
-    Both sides are cut into blocks of at most about ``block_rows`` rows; each pair of blocks meets in one task and
-    returns only ``k`` rows per left row. When ``right`` is a single block (a checked count) it is sent to the tasks and
+    Both sides are cut into groups of about GROUP_BYTES, so that each row is moved once for each group of the other side; each
+    pair of groups meets in one task, is compared in blocks of ``block_rows`` rows and returns only ``k`` rows per left row. When ``right`` is a single block (a checked count) it is sent to the tasks and
     ``left`` is not moved at all.
     """
     lt, rt = left.schema[left_id].dataType, right.schema[right_id].dataType
@@ -142,7 +144,11 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, *, left_id: str = "id",
 
         found = a.mapInArrow(scan, schema)
     else:
-        n_lb, n_rb = max(1, math.ceil(a.count() / block_rows)), math.ceil(n_right / block_rows)
+        n_left, width = a.count(), b.agg(F.max(F.size("v"))).first()[0]
+        group = max(block_rows, GROUP_BYTES // (8 * max(1, width)))
+        # a small table still gives every core a group of the left side
+        n_lb = max(1, math.ceil(n_left / group), min(math.ceil(n_left / block_rows), left.sparkSession.sparkContext.defaultParallelism))
+        n_rb = math.ceil(n_right / group)
         from pyspark.sql.pandas.types import to_arrow_type
 
         right_type = to_arrow_type(rt)
@@ -153,8 +159,22 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, *, left_id: str = "id",
 
         def pair(x: pa.Table, y: pa.Table) -> pa.Table:
             y = y.sort_by("id")
-            return emit(x.column("id").combine_chunks(), x.column("v"),
-                        np.asarray(y.column("id").to_pylist(), dtype=object), unit(matrix(y.column("v"))))
+            lids, rids = (np.asarray(t.column("id").to_pylist(), dtype=object) for t in (x, y))
+            mine, other = unit(matrix(x.column("v"))), unit(matrix(y.column("v")))
+            best = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+            for i in range(0, len(mine), block_rows):
+                parts = []
+                for j in range(0, len(other), block_rows):
+                    rows, cols, values = _nearest(lids[i:i + block_rows], mine[i:i + block_rows], rids[j:j + block_rows], other[j:j + block_rows], k, skip_same)
+                    parts.append((rows + i, cols + j, values))
+                if parts:
+                    rows, cols, values = (np.concatenate(p) for p in zip(*parts, strict=True))
+                    order = np.lexsort((cols, -values, rows))
+                    rank = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+                    for kept, column in zip(best, (rows, cols, values), strict=True):
+                        kept.append(column[order[rank < k]])
+            rows, cols, values = (np.concatenate(p) for p in best)
+            return pa.table({"left_id": x.column("id").take(pa.array(rows)), "right_id": y.column("id").take(pa.array(cols)).cast(right_type), "similarity": pa.array(values, pa.float64())})
 
         found = (cut(a, "lb", n_lb, "rb", n_rb).groupBy("lb", "rb")
                  .cogroup(cut(b, "rb", n_rb, "lb", n_lb).groupBy("lb", "rb")).applyInArrow(pair, schema))

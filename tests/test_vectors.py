@@ -259,3 +259,17 @@ def test_search_in_lists_takes_blocks_and_equal_vectors_tie_by_id(spark, tmp_pat
     assert len(got) == 20
     for q, ids in got.items():
         assert ids == sorted((i for i in range(200) if i != q), key=lambda i: (-sims[q % 40, i % 40], i))[:6]
+
+
+def test_knn_join_in_groups_of_blocks(spark, monkeypatch):
+    """A row is moved once for each group of the other side, however small the blocks; several groups give the same."""
+    rng = np.random.RandomState(3)
+    m = rng.standard_normal((90, 5))
+    df = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(90)], "id long, embedding array<double>")
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -np.inf)
+    want = sorted((i, int(j)) for i in range(90) for j in np.argsort(-sims[i])[:3])
+    for size in (vectors.GROUP_BYTES, 20 * 5 * 8):
+        monkeypatch.setattr(vectors, "GROUP_BYTES", size)
+        assert sorted((r.left_id, r.right_id) for r in vectors.knn_join(df, df, 3, block_rows=7).collect()) == want
