@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from outcry.operators.joins import salted_join
 from outcry.operators.paging import top_per_group
-from outcry.operators.vectors import BLOCK_ROWS, matrix, to_list_array, unit, vector_mean
+from outcry.operators.vectors import BLOCK_ROWS, GROUP_BYTES, matrix, to_list_array, unit, vector_mean
 from outcry.session import cut_lineage
 
 SIMILARITY, MIN_SIZE, BATCH = 0.75, 5, 1000
@@ -160,12 +160,13 @@ def cluster_summary(assigned: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:
 
 
 def similarity_forest(vectors: DataFrame, threshold: float, *, id_col: str = "id", vec: str = "embedding",
-                      max_pivots: int = 512, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                      max_pivots: int = 512, block_rows: int | None = None) -> DataFrame:
     """Edges ``(a, b)`` that connect exactly the rows reachable over pairs of cosine >= ``threshold``.
 
     Rows are filed with their nearest pivot. Two rows within angle t of each other differ by at most 2t in how much
-    farther the one's pivot is from the other, so a row is compared only with the cells inside that margin. A cell is
-    cut into blocks, and each pair of blocks returns a spanning forest, at most one edge per row, never its pairs. Rows
+    farther the one's pivot is from the other, so a row is compared only with the cells inside that margin. Where the margin
+    leaves out little, a row goes to most cells; cells are therefore as large as GROUP_BYTES allows once every core has a pair of
+    them, unless ``block_rows`` says otherwise. A cell is cut into blocks, and each pair of blocks returns a spanning forest, at most one edge per row, never its pairs. Rows
     with equal vectors are linked to their first row beforehand.
     """
     id_type = vectors.schema[id_col].dataType
@@ -175,6 +176,10 @@ def similarity_forest(vectors: DataFrame, threshold: float, *, id_col: str = "id
     copies = present.join(distinct.withColumnRenamed("id", "first"), "v").where(F.col("id") != F.col("first")).select(
         F.col("id").alias("a"), F.col("first").alias("b"))
     n = distinct.count()
+    if block_rows is None:
+        width = distinct.agg(F.max(F.size("v"))).first()[0] or 1
+        cells = math.ceil(math.sqrt(2 * vectors.sparkSession.sparkContext.defaultParallelism))
+        block_rows = max(BLOCK_ROWS, min(GROUP_BYTES // (8 * width), math.ceil(n / cells)))
     pivots = distinct.orderBy(F.md5(F.col("id").cast("string")), "id").limit(min(max_pivots, max(1, math.ceil(n / block_rows))))
     shared = vectors.sparkSession.sparkContext.broadcast(unit(matrix(pivots.select("v").toArrow().column("v"))) if n else None)
     margin = 2 * math.acos(max(-1.0, min(1.0, threshold))) + 1e-9
@@ -217,6 +222,10 @@ def similarity_forest(vectors: DataFrame, threshold: float, *, id_col: str = "id
     return edges.unionByName(copies)
 
 
+#: Similarities that a task holds at once.
+SIMILARITIES = 8_000_000
+
+
 def local_roots(m: np.ndarray, home: np.ndarray, threshold: float) -> np.ndarray:
     """First position connected to each row inside one block pair; two visiting rows are not compared here.
 
@@ -228,9 +237,12 @@ def local_roots(m: np.ndarray, home: np.ndarray, threshold: float) -> np.ndarray
         start, front = rest[0], rest[:1]
         rest, left, at_home = rest[1:], left[1:], at_home[1:]
         while len(front) and len(rest):
-            near = left @ m[front].T >= threshold
-            near &= at_home[:, None] | home[front][None, :]
-            hit = near.any(axis=1)
+            hit = np.zeros(len(rest), bool)
+            step = max(1, SIMILARITIES // len(rest))
+            for some in (front[i:i + step] for i in range(0, len(front), step)):
+                near = left @ m[some].T >= threshold
+                near &= at_home[:, None] | home[some][None, :]
+                hit |= near.any(axis=1)
             front = rest[hit]
             if len(front):
                 root[front] = start
@@ -272,7 +284,7 @@ def connected_components(edges: DataFrame, salts: int = 16, max_rounds: int = 60
 
 
 def similarity_components(vectors: DataFrame, threshold: float = SIMILARITY, min_size: int = MIN_SIZE, *, id_col: str = "id",
-                          vec: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+                          vec: str = "embedding", block_rows: int | None = None) -> DataFrame:
     """Rows connected over similar pairs; small groups and loners are noise. No number of groups is preset."""
     found = connected_components(similarity_forest(vectors, threshold, id_col=id_col, vec=vec, block_rows=block_rows))
     rows = vectors.where(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"))

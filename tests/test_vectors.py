@@ -273,3 +273,18 @@ def test_knn_join_in_groups_of_blocks(spark, monkeypatch):
     for size in (vectors.GROUP_BYTES, 20 * 5 * 8):
         monkeypatch.setattr(vectors, "GROUP_BYTES", size)
         assert sorted((r.left_id, r.right_id) for r in vectors.knn_join(df, df, 3, block_rows=7).collect()) == want
+
+
+def test_blocks_of_the_forest_grow_with_the_table(spark, monkeypatch):
+    """Without a given size a row goes to no more cells than the cores need; tiles of the comparison change nothing."""
+    rng = np.random.RandomState(4)
+    m = rng.standard_normal((300, 6))
+    home = np.ones(300, bool)
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    want = cluster.local_roots(unit, home, 0.8)
+    monkeypatch.setattr(cluster, "SIMILARITIES", 700)
+    assert (cluster.local_roots(unit, home, 0.8) == want).all()
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 10)
+    df = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(300)], "id long, embedding array<double>")
+    got = {r.id: r.cluster_id for r in cluster.similarity_components(df, 0.8, 1).collect()}
+    assert [got[i] for i in range(300)] == [int(x) for x in want]
