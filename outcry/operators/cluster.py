@@ -166,8 +166,8 @@ def similarity_forest(vectors: DataFrame, threshold: float, *, id_col: str = "id
     Rows are filed with their nearest pivot. Two rows within angle t of each other differ by at most 2t in how much
     farther the one's pivot is from the other, so a row is compared only with the cells inside that margin. Where the margin
     leaves out little, a row goes to most cells; cells are therefore as large as GROUP_BYTES allows once every core has a pair of
-    them, unless ``block_rows`` says otherwise. A cell is cut into blocks, and each pair of blocks returns a spanning forest, at most one edge per row, never its pairs. Rows
-    with equal vectors are linked to their first row beforehand.
+    them, unless ``block_rows`` says otherwise. A cell is cut into blocks, and each pair of blocks returns a spanning forest, at
+    most one edge per row, never its pairs. Rows with equal vectors are linked to their first row beforehand.
     """
     id_type = vectors.schema[id_col].dataType
     arrow_id = to_arrow_type(id_type)
