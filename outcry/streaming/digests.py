@@ -27,6 +27,9 @@ from outcry.streaming.base import run_available, write_batch
 from outcry.streaming.windows import event_time, wall_time
 
 PERIODS = ("daily", "weekly")
+_KEYS = ["search_id", "period_start", "period_end"]
+#: Searches and periods that a task holds before it sends them on, and periods of a search that are merged before its state is asked.
+HELD_ROWS = 100_000
 _PARTIAL = "search_id string, period_start timestamp, period_end timestamp, first_at timestamp, last_at timestamp, n long"
 _OUT = T.StructType([T.StructField("search_id", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("period_start", "first_at", "last_at", "n"))])
 
@@ -43,11 +46,24 @@ def _folded(alerts: DataFrame, at: str) -> DataFrame:
     rows = alerts.where(F.col("frequency").isin(*PERIODS) & F.col("search_id").isNotNull() & F.col(at).isNotNull()).select(
         F.col("search_id").cast("string").alias("search_id"), event_time(start.cast("timestamp_ntz")).alias("period_start"), event_time(end.cast("timestamp_ntz")).alias("period_end"), event_time(F.col(at)).alias("at"))
 
+    def merged(parts: pa.Table, first: str, last: str, n: tuple[str, str]) -> pa.Table:
+        found = parts.group_by(_KEYS).aggregate([(first, "min"), (last, "max"), n])
+        return found.select([*_KEYS, f"{first}_min", f"{last}_max", "_".join(n)]).rename_columns([*_KEYS, "first_at", "last_at", "n"])
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the counts of the task so far, and parts not merged into them yet
+        held, waiting, size = [], [], 0
         for batch in batches:
-            found = pa.Table.from_batches([batch]).group_by(["search_id", "period_start", "period_end"]).aggregate([("at", "min"), ("at", "max"), ("at", "count")])
-            found = found.select(["search_id", "period_start", "period_end", "at_min", "at_max", "at_count"]).rename_columns(["search_id", "period_start", "period_end", "first_at", "last_at", "n"])
-            yield from found.combine_chunks().to_batches()
+            waiting.append(merged(pa.Table.from_batches([batch]), "at", "at", ("at", "count")))
+            size += waiting[-1].num_rows
+            if size >= HELD_ROWS:
+                table = merged(pa.concat_tables(held + waiting), "first_at", "last_at", ("n", "sum"))
+                held, waiting, size = [table], [], 0
+                if table.num_rows >= HELD_ROWS:
+                    yield from table.combine_chunks().to_batches()
+                    held = []
+        if held or waiting:
+            yield from merged(pa.concat_tables(held + waiting), "first_at", "last_at", ("n", "sum")).combine_chunks().to_batches()
 
     return rows.mapInArrow(fold, _PARTIAL)
 
@@ -61,19 +77,28 @@ class Digest(StatefulProcessor):
         self.open = handle.getMapState("open", T.StructType([T.StructField("ends", T.LongType())]), T.StructType(fields))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # parts of one period from several tasks are merged over chunks: the state is asked once for a period, not once for each chunk
+        held = None
         for chunk in rows:
-            # parts of one period from several tasks
-            periods = chunk.groupby(["period_start", "period_end"]).agg({"first_at": "min", "last_at": "max", "n": "sum"})
-            for (start, end), first, last, n in periods.itertuples(name=None):
-                start, end, first, last, n = (*(int(x.value // 1000) for x in (start, end, first, last)), int(n))
-                if self.open.containsKey((end,)):
-                    _, before, latest, seen = self.open.getValue((end,))
-                    first, last, n = min(first, before), max(last, latest), n + seen
-                else:
-                    self.handle.registerTimer(end // 1000)
-                self.open.updateValue((end,), (start, first, last, n))
+            held = chunk if held is None else pd.concat([held, chunk])
+            held = held.groupby(["period_start", "period_end"], as_index=False).agg({"first_at": "min", "last_at": "max", "n": "sum"})
+            if len(held) >= HELD_ROWS:
+                self._add(held)
+                held = None
+        if held is not None:
+            self._add(held)
         yield pd.DataFrame({f.name: pd.Series(dtype="object" if f.name == "search_id" else "int64") for f in _OUT})
 
+    def _add(self, periods: pd.DataFrame) -> None:
+        for start, end, first, last, n in periods[["period_start", "period_end", "first_at", "last_at", "n"]].itertuples(index=False, name=None):
+            start, end, first, last, n = (*(int(x.value // 1000) for x in (start, end, first, last)), int(n))
+            if self.open.containsKey((end,)):
+                _, before, latest, seen = self.open.getValue((end,))
+                first, last, n = min(first, before), max(last, latest), n + seen
+            else:
+                self.handle.registerTimer(end // 1000)
+            self.open.updateValue((end,), (start, first, last, n))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         end = (expiredTimerInfo.getExpiryTimeInMs() * 1000,)
         start, first, last, n = self.open.getValue(end)

@@ -93,3 +93,27 @@ def test_digests_come_once_when_their_period_is_over(spark, tmp_path):
     assert seen[0] == [] and [x[:3] for x in seen[1]] == [("a", 4, 3), ("a", 5, 1)]
     assert seen[-1] == [("a", 4, 3, at(4), at(4, 23)), ("a", 5, 1, at(5), at(5)), ("a", 10, 1, at(10), at(10)), ("b", 12, 1, at(12), at(12)), ("w", 3, 2, at(4), at(9)), ("w", 10, 1, at(12), at(12))]
     assert [r.search_id for r in base.read_batches(spark, f"{out}/immediate").collect()] == ["i"]
+
+
+def test_a_task_sends_one_row_for_a_search_and_period(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = spark.range(0, 600, 1, 1).select(
+            (F.col("id") % 2).cast("string").alias("search_id"), F.lit("daily").alias("frequency"),
+            F.expr("timestamp_ntz'2024-03-04' + make_dt_interval(cast(id % 3 as int), 0, cast(id div 3 as int))").alias("happened_at"))
+        got = sorted((r.search_id, r.period_start.day, r.n, r.first_at.minute + 60 * r.first_at.hour, r.last_at.minute + 60 * r.last_at.hour)
+                     for r in digests._folded(rows, "happened_at").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 6 and {x[2] for x in got} == {100} and {x[4] - x[3] for x in got} == {198}
+
+
+def test_more_searches_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(digests, "HELD_ROWS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        rows = spark.range(0, 300, 1, 1).select((F.col("id") % 30).cast("string").alias("search_id"), F.lit("weekly").alias("frequency"), F.expr("timestamp_ntz'2024-03-04'").alias("happened_at"))
+        got = digests._folded(rows, "happened_at").groupBy("search_id").agg(F.sum("n").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 30 and {r.n for r in got} == {10}
