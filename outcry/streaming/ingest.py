@@ -59,6 +59,7 @@ def stream_ingest_known(spark: SparkSession, source: str, target: str, rejected:
 
     A batch opens the keys of a bucket only where its filter may hold one of the batch's keys. Returns the buckets that each batch
     opened. Batch n adds version n of the keys; every ``compact_every`` batches the versions are merged before the batch starts.
+    ``blocks`` is the least number of blocks of a bucket's filter; a batch or merge of more keys than they hold takes more.
     """
     opened: list[list[int]] = []
 
@@ -67,13 +68,15 @@ def stream_ingest_known(spark: SparkSession, source: str, target: str, rejected:
         keys = KnownKeys(session, known, key, COMPLAINT[key].dataType, buckets, blocks)
         if number and number % compact_every == 0 and number - 1 > keys.merged():
             keys.drop_from(number)
-            keys.compact()
+            keys.compact(keys.blocks_for(keys.read(number).count()))
+            keys.blocks = blocks
         checked = check_bulk(batch)
         write_batch(quarantine(checked), rejected, number)
         first = cut_lineage(first_per_key(good(checked), key, order or [F.asc("date_added")]))
         new, used = keys.unknown(first, number)
         write_batch(new, target, number)
-        keys.add(session.read.schema(COMPLAINT).parquet(f"{target}/batch={number}"), number)
+        added = session.read.schema(COMPLAINT).parquet(f"{target}/batch={number}")
+        keys.add(added, number, keys.blocks_for(added.count()))
         opened.append(used)
 
     run_available(landed_feed(spark, source, fmt), handle, checkpoint)

@@ -20,13 +20,18 @@ from outcry.session import cut_lineage
 #: Bits of a block, given by Spark's bitmap functions.
 BITS = 32_768
 PROBES = 6
+#: Keys of a block that make one false "perhaps" in a hundred.
+BLOCK_KEYS = 3_000
+#: Keys of a bucket that one task sorts and writes.
+FILE_KEYS = 500_000
 
 
 class KnownKeys:
     """Keys of one column below the folder ``base``.
 
-    ``blocks`` filter blocks for each of the ``buckets``: some 3,000 keys a block make one false "perhaps" in a hundred. More keys
-    cost reading, not rightness; :meth:`compact` may raise the number. Buckets bound what the driver handles.
+    ``blocks`` filter blocks for each of the ``buckets``: BLOCK_KEYS keys a block make one false "perhaps" in a hundred. More keys
+    cost reading, not rightness; :meth:`add` and :meth:`compact` may take another number, such as :meth:`blocks_for` gives. Buckets
+    bound what the driver handles; a bucket of many keys is written in parts.
     """
 
     def __init__(self, spark: SparkSession, base: str, key: str, key_type: DataType, buckets: int = 64, blocks: int = 16):
@@ -43,6 +48,13 @@ class KnownKeys:
     def _block(self, blocks: Column) -> Column:
         return F.pmod(F.xxhash64(F.col(self.key), F.lit("block")), blocks).cast("int")
 
+    def blocks_for(self, keys: int) -> int:
+        """Blocks of a bucket that so many keys need. The number only doubles, so that a table has few of them."""
+        blocks = self.blocks
+        while blocks * self.buckets * BLOCK_KEYS < keys:
+            blocks *= 2
+        return blocks
+
     def _positions(self) -> Column:
         return F.array(*[F.pmod(F.xxhash64(F.col(self.key), F.lit(i)), F.lit(BITS)) for i in range(PROBES)])
 
@@ -92,16 +104,23 @@ class KnownKeys:
         rows = self._read("filters", self.filter_schema, before, only)
         return rows.groupBy("bucket", "blocks", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
 
-    def _write(self, keys: DataFrame, keys_path: str, filters_path: str) -> None:
-        """Filters first: the keys' ``_SUCCESS`` then stands for both."""
+    def _write(self, keys: DataFrame, keys_path: str, filters_path: str, blocks: int, once: bool = False) -> None:
+        """Filters first: the keys' ``_SUCCESS`` then stands for both. ``once`` writes a key that comes again one time."""
         rows = keys.select(self.key).where(F.col(self.key).isNotNull()).withColumn("bucket", self.bucket())
-        placed = rows.select("bucket", F.lit(self.blocks).alias("blocks"), self._block(F.lit(self.blocks)).alias("block"), F.explode(self._positions()).alias("at"))
+        # a block's keys meet before its bits are made, so keys are moved and not a bit string of every block from every task
+        placed = rows.withColumn("block", self._block(F.lit(blocks))).repartition("bucket", "block").select(
+            "bucket", F.lit(blocks).alias("blocks"), "block", F.explode(self._positions()).alias("at"))
         bits = placed.groupBy("bucket", "blocks", "block").agg(F.bitmap_construct_agg("at").alias("bits"))
-        self._put(bits, filters_path, ["bucket", "block"])
-        self._put(rows, keys_path, ["bucket", self.key])
+        self._put(bits.repartition(self.buckets, "bucket"), filters_path, ["bucket", "block"])
+        parts = -(-blocks * BLOCK_KEYS // FILE_KEYS)
+        split = rows.withColumn("part", self._block(F.lit(parts))).repartition(self.buckets * parts, "bucket", "part")
+        if once:
+            split = split.dropDuplicates(["bucket", "part", self.key])
+        self._put(split.drop("part"), keys_path, ["bucket", self.key])
 
-    def _put(self, rows: DataFrame, path: str, order: list[str]) -> None:
-        rows.repartition(self.buckets, "bucket").sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    @staticmethod
+    def _put(rows: DataFrame, path: str, order: list[str]) -> None:
+        rows.sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
     # ---- batches ----
 
@@ -135,9 +154,9 @@ class KnownKeys:
         byte = F.substring(bits, F.floor(position / 8).cast("int") + 1, F.lit(1))
         return F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) != 0
 
-    def add(self, rows: DataFrame, version: int) -> None:
+    def add(self, rows: DataFrame, version: int, blocks: int | None = None) -> None:
         """Files of the keys of ``rows`` as what ``version`` added."""
-        self._write(rows, f"{self.base}/keys/version={version}", f"{self.base}/filters/version={version}")
+        self._write(rows, f"{self.base}/keys/version={version}", f"{self.base}/filters/version={version}", blocks or self.blocks)
 
     def drop_from(self, version: int) -> None:
         """Drops what ``version`` and later ones added: what a batch left that failed and now runs again."""
@@ -155,7 +174,7 @@ class KnownKeys:
         self.blocks = blocks or self.blocks
         if last > self.merged():
             place = f"{self.base}/merged/upto={last}"
-            self._write(self.read(last + 1).select(self.key).distinct(), f"{place}/keys", f"{place}/filters")
+            self._write(self.read(last + 1), f"{place}/keys", f"{place}/filters", self.blocks, once=True)
         for kind in ("keys", "filters"):
             for v in self._listed(f"{self.base}/{kind}", "version"):
                 if v <= last:

@@ -12,7 +12,7 @@ from outcry.operators.clean import check_bulk, good
 from outcry.plans.feeds_raw import raw_bulk
 from outcry.schemas import COMPLAINT
 from outcry.sources.sync import insert_new
-from outcry.streaming import base, ingest
+from outcry.streaming import base, ingest, known
 from outcry.streaming.known import KnownKeys
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
@@ -114,3 +114,38 @@ def test_equals_anti_join(spark, tmp_path_factory, batches):
         assert names(got) == names(want) == sorted(keys - held)
         t.add(got, version)
         held |= keys
+
+
+def test_filters_grow_with_their_keys(spark, tmp_path):
+    t = table(spark, tmp_path / "t", 2, 1)
+    old = spark.range(40_000).select(F.concat(F.lit("old"), "id").alias("k"))
+    assert (t.blocks_for(0), t.blocks_for(6_000), t.blocks_for(6_001), t.blocks_for(40_000)) == (1, 1, 2, 8)
+    fresh = rows(spark, [f"new{i}" for i in range(8)])
+    t.add(old, 0, t.blocks_for(40_000))
+    assert t.filters(1).count() == 16 and t.unknown(fresh, 1)[1] == []
+    assert t.unknown(old.limit(50).select("k", F.lit(7).alias("bucket"), F.lit(0).alias("n")), 1)[0].count() == 0
+
+
+def test_large_buckets_are_written_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(known, "FILE_KEYS", 500)
+    monkeypatch.setattr(known, "BLOCK_KEYS", 250)
+    t = table(spark, tmp_path / "t", 2, 8)
+    for version in (0, 1):  # the same keys twice
+        t.add(spark.range(4_000).select(F.concat(F.lit("old"), "id").alias("k")), version)
+    assert all(len(os.listdir(tmp_path / "t" / "keys" / "version=0" / f"bucket={b}")) > 2 for b in (0, 1))
+    t.compact()
+    assert t.read(2).count() == 4_000 == t.read(2).select("k").distinct().count()
+
+
+def test_stream_sizes_its_filters(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(known, "BLOCK_KEYS", 20)
+    out, opened = str(tmp_path), []
+    line = lambda i: (f"{i}", "ford", "20200101")
+    for n, part in enumerate((range(400), range(400, 500), range(300, 301))):
+        spark.createDataFrame([line(i) for i in part], "cmplid string, maketxt string, datea string").coalesce(1).write.mode("append").json(f"{out}/in")
+        opened += ingest.stream_ingest_known(spark, f"{out}/in", f"{out}/rows", f"{out}/bad", f"{out}/known", f"{out}/ck", buckets=2, blocks=1, compact_every=2)
+        if n == 0:
+            assert KnownKeys(spark, f"{out}/known", "source_id", StringType(), 2, 1).filters(1).select("blocks").distinct().collect() == [(16,)]
+    merged = KnownKeys(spark, f"{out}/known", "source_id", StringType(), 2, 1).filters(2)
+    assert base.read_batches(spark, f"{out}/rows", COMPLAINT).count() == 500 and {r.blocks for r in merged.collect()} == {16}
+    assert len(opened[2]) == 1
