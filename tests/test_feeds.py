@@ -2,6 +2,8 @@
 
 import datetime as dt
 import glob
+import gzip
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -53,3 +55,12 @@ def test_landings_of_a_stream_are_packed(spark, tmp_path):
     stream_queries.in_steps([feed.where(F.col("crash") == "N"), feed.where(F.col("crash") != "N")], str(tmp_path / "in"), lambda: taken.append(len(files(tmp_path / "in"))), "json")
     assert len(taken) == 2 and all(f.endswith(".json.gz") for f in files(tmp_path / "in"))
     assert len(readers.read_bulk_complaints(spark, str(tmp_path / "in")).select("cmplid").collect()) == 61
+
+
+def test_landings_are_packed_at_level_three(spark, tmp_path):
+    """The packing took as long as rendering the records at the default level."""
+    path = feeds_raw.land(spark, tables(spark, tmp_path, 4_000), "json")
+    text = max((gzip.open(f).read() for f in files(path)), key=len)
+    packed = sum(len(open(f, "rb").read()) for f in files(path) if gzip.open(f).read() == text)
+    sizes = {level: len(zlib.compress(text, level)) for level in (3, 6)}
+    assert abs(packed - sizes[3]) < abs(packed - sizes[6])
