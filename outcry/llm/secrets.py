@@ -48,12 +48,13 @@ CLASSES = {
     "alphanumeric": ("[A-Za-z0-9]", 3.7, ("digit", "upper", "lower")),
     "base64": ("[A-Za-z0-9+/_=-]", 3.8, ("digit", "upper", "lower")),
 }
-#: Candidates that are no secrets: UUIDs, placeholders, paths and names of words that a few digits follow.
+#: Candidates that are no secrets: UUIDs, placeholders, paths and names of words that a few digits follow; a
+#: word of two letters needs a longer one behind it.
 ALLOW = (
     "[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
     ".*(?:EXAMPLE|Example|example|PLACEHOLDER|placeholder|XXXX|xxxx).*",
     "[/_=+-]*+(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4})(?:[/_=+-]++(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}))*+[/_=+-]*",
-    "(?:[A-Z][a-z]{2,}+|[a-z]{3,}+)++[0-9]{0,4}",
+    "(?:(?:[A-Z][a-z])?[A-Z][a-z]{2,}+|[a-z]{3,}+)++[0-9]{0,4}",
 )
 
 
