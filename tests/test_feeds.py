@@ -3,11 +3,12 @@
 import datetime as dt
 import glob
 import gzip
+import os
 import zlib
 
 from pyspark.sql import functions as F
 
-from outcry.plans import feeds_raw, stream_queries
+from outcry.plans import clean_queries, feeds_raw, stream_queries
 from outcry.sources import readers
 
 
@@ -64,3 +65,37 @@ def test_landings_are_packed_at_level_three(spark, tmp_path):
     packed = sum(len(open(f, "rb").read()) for f in files(path) if gzip.open(f).read() == text)
     sizes = {level: len(zlib.compress(text, level)) for level in (3, 6)}
     assert abs(packed - sizes[3]) < abs(packed - sizes[6])
+
+
+#: Sizes of parts that have no component, an unreadable year or one that breaks the rules.
+SIZES = dict(enumerate((1, 2, 3, 10, 20, 49, 50)))
+
+
+def grown(spark, folder, query):
+    """What the query returns on a feed and on one of four times the records, and lines with a part, feed by feed. Landed bytes grow no
+    faster than records and stay below a third of the text."""
+    out, per_record = [], []
+    for n in (2_000, 8_000):
+        sf = tables(spark, folder / str(n), n)
+        spark.createDataFrame([(i, ("small bolt", "wide nut")[i % 2], f"Brand#{i + 1}", "ECO", size, 1.0) for i, size in SIZES.items()],
+                              "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.mode("overwrite").parquet(f"{sf}/part.parquet")
+        got = [tuple(r) for r in query(spark, sf).collect()]
+        lines = [r for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect() if r.l_partkey is not None]
+        per_record.append(sum(map(os.path.getsize, files(feeds_raw.land(spark, sf, "json")))) / len(lines))
+        out.append((got, lines))
+    assert per_record[1] <= 1.1 * per_record[0] and max(per_record) < 100, per_record
+    return out
+
+
+def landed_day(line):
+    return "2023" if line.l_tax >= 0.08 else "20231345" if line.l_tax >= 0.07 else f"{line.l_shipdate:%Y%m%d}"
+
+
+def key(line):
+    return f"{line.l_orderkey}-{line.l_linenumber}"
+
+
+def test_complaints_since_moves_no_more_than_its_feed(spark, tmp_path):
+    for got, lines in grown(spark, tmp_path, clean_queries.complaints_since):
+        want = [(key(r), landed_day(r)) for r in lines if landed_day(r) > "20010601"]
+        assert sorted(got) == sorted(want) and len(want) > 1_000 and [d for _, d in got] == sorted((d for _, d in want), reverse=True)
