@@ -99,3 +99,9 @@ def test_complaints_since_moves_no_more_than_its_feed(spark, tmp_path):
     for got, lines in grown(spark, tmp_path, clean_queries.complaints_since):
         want = [(key(r), landed_day(r)) for r in lines if landed_day(r) > "20010601"]
         assert sorted(got) == sorted(want) and len(want) > 1_000 and [d for _, d in got] == sorted((d for _, d in want), reverse=True)
+
+
+def test_complaints_by_component_moves_no_more_than_its_feed(spark, tmp_path):
+    for got, lines in grown(spark, tmp_path, clean_queries.complaints_by_component):
+        want = [(key(r), landed_day(r)) for r in lines if SIZES[r.l_partkey] not in (1, 2) and r.l_partkey % 2 == 0]
+        assert sorted(got) == sorted(want) and len(want) > 500 and [d for _, d in got] == sorted((d for _, d in want), reverse=True)
