@@ -105,3 +105,9 @@ def test_complaints_by_component_moves_no_more_than_its_feed(spark, tmp_path):
     for got, lines in grown(spark, tmp_path, clean_queries.complaints_by_component):
         want = [(key(r), landed_day(r)) for r in lines if SIZES[r.l_partkey] not in (1, 2) and r.l_partkey % 2 == 0]
         assert sorted(got) == sorted(want) and len(want) > 500 and [d for _, d in got] == sorted((d for _, d in want), reverse=True)
+
+def test_validate_complaint_moves_no_more_than_its_feed(spark, tmp_path):
+    years = {49: 0, 50: 9999}
+    for got, lines in grown(spark, tmp_path, clean_queries.validate_complaint):
+        want = [(key(r), f"Invalid year: {years[SIZES[r.l_partkey]]}") for r in lines if r.l_tax < 0.07 and SIZES[r.l_partkey] in years]
+        assert sorted(got) == sorted(want) and len(want) > 400
