@@ -111,3 +111,8 @@ def test_validate_complaint_moves_no_more_than_its_feed(spark, tmp_path):
     for got, lines in grown(spark, tmp_path, clean_queries.validate_complaint):
         want = [(key(r), f"Invalid year: {years[SIZES[r.l_partkey]]}") for r in lines if r.l_tax < 0.07 and SIZES[r.l_partkey] in years]
         assert sorted(got) == sorted(want) and len(want) > 400
+
+def test_count_where_moves_no_more_than_its_feed(spark, tmp_path):
+    for got, lines in grown(spark, tmp_path, clean_queries.count_where):
+        want = sum(r.l_returnflag == "R" and SIZES[r.l_partkey] == 50 for r in lines)
+        assert got == [(want,)] and want > 50
