@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import gzip
 import os
+import re
 import zlib
 
 from pyspark.sql import functions as F
@@ -116,3 +117,18 @@ def test_count_where_moves_no_more_than_its_feed(spark, tmp_path):
     for got, lines in grown(spark, tmp_path, clean_queries.count_where):
         want = sum(r.l_returnflag == "R" and SIZES[r.l_partkey] == 50 for r in lines)
         assert got == [(want,)] and want > 50
+
+
+
+def stretches(path):
+    """Of each landed file, how many stretches of records of one part it has, and of how many parts."""
+    for f in files(path):
+        seen = re.findall(rb"brand#(\d+)", gzip.open(f).read())
+        yield sum(a != b for a, b in zip(seen, [None, *seen])), len(set(seen))
+
+
+def test_complaints_since_reads_records_in_order_of_their_part(spark, tmp_path):
+    sf = tables(spark, tmp_path, 4_000)
+    assert clean_queries.complaints_since(spark, sf).count() > 2_000
+    path = feeds_raw.land(spark, sf, "json")
+    assert all(a == b for a, b in stretches(path)) and len(readers.read_bulk_complaints(spark, path).select("cmplid").collect()) == 4_001
