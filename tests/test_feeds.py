@@ -132,3 +132,18 @@ def test_complaints_since_reads_records_in_order_of_their_part(spark, tmp_path):
     assert clean_queries.complaints_since(spark, sf).count() > 2_000
     path = feeds_raw.land(spark, sf, "json")
     assert all(a == b for a, b in stretches(path)) and len(readers.read_bulk_complaints(spark, path).select("cmplid").collect()) == 4_001
+
+
+def test_complaints_by_component_lands_less_than_in_order_of_lines(spark, tmp_path):
+    """Parts whose texts are so many that a line seldom finds its part's among those just before."""
+    sf = tables(spark, tmp_path / "sf")
+    many = spark.range(24_000).selectExpr("id as l_orderkey", "id * 7919 % 2000 as l_partkey", "1 as l_linenumber", "id % 51 as l_quantity", "'R' as l_returnflag", "'O' as l_linestatus",
+                                          "0.0D as l_discount", "0.0D as l_tax", "timestamp_ntz'2001-01-01' + make_dt_interval(cast(id % 900 as int)) as l_shipdate")
+    many.write.mode("overwrite").parquet(f"{sf}/lineitem.parquet")
+    names = spark.range(2_000).selectExpr("id as p_partkey", "concat(md5(cast(id as string)), ' bolt') as p_name", "concat('Brand#', id) as p_brand", "'ECO' as p_type", "10 as p_size")
+    names.write.mode("overwrite").parquet(f"{sf}/part.parquet")
+    assert clean_queries.complaints_by_component(spark, sf).count() == 24_000
+    raw = readers.read_bulk_complaints(spark, feeds_raw.land(spark, sf, "json"))
+    feeds_raw.packed(raw.orderBy(F.col("odino").cast("int")).coalesce(1).write).json(str(tmp_path / "lines"))
+    landed, lines = (sum(map(os.path.getsize, files(x))) for x in (feeds_raw.land(spark, sf, "json"), tmp_path / "lines"))
+    assert landed < 0.7 * lines, (landed, lines)
