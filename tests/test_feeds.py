@@ -147,3 +147,16 @@ def test_complaints_by_component_lands_less_than_in_order_of_lines(spark, tmp_pa
     feeds_raw.packed(raw.orderBy(F.col("odino").cast("int")).coalesce(1).write).json(str(tmp_path / "lines"))
     landed, lines = (sum(map(os.path.getsize, files(x))) for x in (feeds_raw.land(spark, sf, "json"), tmp_path / "lines"))
     assert landed < 0.7 * lines, (landed, lines)
+
+
+def test_validate_complaint_meets_every_copy_of_a_part(spark, tmp_path):
+    """A part listed twice, and one that most lines have."""
+    sf = tables(spark, tmp_path / "first", 600)
+    line = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("l_partkey", F.expr("CASE WHEN l_orderkey < 120 THEN 2 ELSE l_partkey END"))
+    part = spark.read.parquet(f"{sf}/part.parquet").withColumn("p_size", F.expr("CASE p_partkey WHEN 1 THEN 49 WHEN 2 THEN 50 ELSE 10 END"))
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    part.union(part.where("p_partkey = 1")).write.parquet(f"{tmp_path}/part.parquet")
+    got = [r.errors for r in clean_queries.validate_complaint(spark, str(tmp_path)).collect()]
+    good = [r.l_partkey for r in line.collect() if r.l_tax < 0.07]
+    assert got.count("Invalid year: 9999") == good.count(2) > 300 and got.count("Invalid year: 0") == 2 * good.count(1) > 20 and len(set(got)) == 2
+    assert all(a == b for a, b in stretches(feeds_raw.land(spark, str(tmp_path), "json")))
