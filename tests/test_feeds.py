@@ -160,3 +160,14 @@ def test_validate_complaint_meets_every_copy_of_a_part(spark, tmp_path):
     good = [r.l_partkey for r in line.collect() if r.l_tax < 0.07]
     assert got.count("Invalid year: 9999") == good.count(2) > 300 and got.count("Invalid year: 0") == 2 * good.count(1) > 20 and len(set(got)) == 2
     assert all(a == b for a, b in stretches(feeds_raw.land(spark, str(tmp_path), "json")))
+
+
+def test_count_where_and_the_other_feeds_have_records_in_order_of_their_part(spark, tmp_path):
+    sf = tables(spark, tmp_path / "first", 4_000)
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{sf}/part.parquet").withColumn("p_size", F.expr("CASE WHEN p_partkey = 3 THEN 50 ELSE 10 END")).write.parquet(f"{tmp_path}/part.parquet")
+    want = sum(r.l_returnflag == "R" and r.l_partkey == 3 for r in line.collect())
+    assert [tuple(r) for r in clean_queries.count_where(spark, str(tmp_path)).collect()] == [(want,)] and want > 100
+    for kind in ("json", "csv", "api"):
+        assert all(a == b for a, b in stretches(feeds_raw.land(spark, str(tmp_path), kind))), kind
