@@ -25,8 +25,8 @@ def run_available(stream: DataFrame, handle: Handler, checkpoint: str, mode: str
      .option("checkpointLocation", checkpoint).start().awaitTermination())
 
 
-def write_batch(df: DataFrame, base: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{base}/batch={batch}")
+def write_batch(df: DataFrame, base: str, batch: int, **options: str) -> None:
+    df.write.mode("overwrite").options(**options).parquet(f"{base}/batch={batch}")
 
 
 def read_batches(spark: SparkSession, base: str, schema: StructType | None = None, before: int | None = None) -> DataFrame:

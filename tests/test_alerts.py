@@ -55,6 +55,52 @@ def test_rows_meet_only_searches_of_their_rarest_term(spark):
     assert alerts.match_searches(rows, asked, ["source_id"]).where("source_id = '7'").count() == 50
 
 
+def test_rows_meet_only_searches_whose_texts_and_flags_they_hold(spark):
+    rows = spark.range(1000).select(F.col("id").alias("row"), F.col("id").cast("string").alias("source_id"), F.lit("Ford").alias("make"), F.lit("m").alias("model"), F.lit(2000).alias("model_year"), F.when(F.col("id") < 501, "red").otherwise("blue").alias("component"),
+                                    F.when(F.col("id") >= 500, "a BOLT").otherwise("a ring").alias("description"), (F.col("id") % 2 == 0).alias("crash"), F.lit(False).alias("fire"), F.lit(0).alias("injuries"), F.lit(0).alias("deaths"))
+    # each of the things they ask for is in half of all rows, all of them only in row 500
+    asked = spark.createDataFrame([(str(i), "ford", None, "RED", 1990 + i % 20, None, True, None, None, None, "bolt", False) for i in range(50)], alerts.SEARCH)
+    terms = alerts.row_terms(rows, asked)
+    under = alerts.filed(asked, terms.groupBy("term").agg(F.count("*").alias("rows")), rows.select("model_year").distinct())
+    assert terms.join(under, "term").select("row").distinct().collect()[0].row == 500 and terms.count() == 1  # a row for each of 500 before
+    assert sorted(int(r.search_id) for r in alerts.match_searches(rows, asked, ["source_id"]).collect()) == [i for i in range(50) if i % 20 <= 10]
+
+
+def test_searches_in_many_turns_lists_and_parts(spark, monkeypatch):
+    rng = random.Random(11)
+    rows, asked = complaints(spark, rng, 150).persist(), searches(spark, rng, 20)
+    # equal but for their ids
+    asked = asked.crossJoin(spark.range(5)).withColumn("search_id", F.concat("search_id", F.lit("-"), F.col("id").cast("string"))).drop("id").persist()
+    want = one_by_one(rows, asked)
+    for name, value in (("SETS", 7), ("REMEMBERED", 2), ("HANDED", 3), ("PAIRS", 10), ("IDS", 2)):
+        monkeypatch.setattr(alerts, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = alerts.match_searches(rows.repartition(3), asked, ["source_id"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == want and len(want) > 1000
+
+
+def test_equal_searches_are_written_as_one_list(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    rows = complaints(spark, rng, 50).persist()
+    asked = spark.range(300).select(F.col("id").cast("string").alias("search_id"), F.lit("ford").alias("make"), *[F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in alerts.SEARCH.split(", ")[2:])])
+    monkeypatch.setattr(alerts, "scratch_path", lambda session, name: str(tmp_path / name))
+    found = alerts.match_searches(rows, asked, ["source_id"])
+    assert [len(r.ids) for r in spark.read.parquet(str(tmp_path / "search-lists")).collect()] == [300]
+    assert found.count() == 300 * rows.where("lower(make) LIKE '%ford%'").count() > 0
+
+
+def test_alerts_of_rows_with_null_years_and_texts(spark):
+    rows = spark.createDataFrame([("a", None, None, None, None, None, None, None, None, None), ("b", "Ford", None, None, None, None, None, None, None, None), ("c", None, None, 2000, None, "Ford", True, None, 1, None)],
+                                 "source_id string, make string, model string, model_year int, component string, description string, crash boolean, fire boolean, injuries int, deaths int")
+    ask = lambda i, **k: tuple([i, *(k.get(n.split()[0]) for n in alerts.SEARCH.split(", ")[1:])])
+    asked = spark.createDataFrame([ask("all"), ask("from", year_from=1990), ask("upto", year_to=1990), ask("ford", make="FORD"), ask("text", search="for", has_injury=True), ask("both", make="ford", year_to=2020), ask(None)], alerts.SEARCH)
+    got = sorted(map(tuple, alerts.match_searches(rows, asked, ["source_id"]).collect()))
+    assert got == [("all", "a"), ("all", "b"), ("all", "c"), ("ford", "b"), ("from", "c"), ("text", "c")]
+
+
 def test_only_matching_pairs_take_texts_along(spark):
     rng = random.Random(5)
     rows, asked = complaints(spark, rng, 120).withColumn("row", F.monotonically_increasing_id()).persist(), searches(spark, rng, 30).where("NOT coalesce(paused, false)").persist()
